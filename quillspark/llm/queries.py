@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import arc_convert, fair_mix, html_blocks, rabitq
+from quillspark.llm import arc_convert, fair_mix, html_blocks, near_dup, rabitq
 from quillspark.llm.common import drop_scratch, materialize, scratch_path, table
 
 
@@ -33,6 +33,10 @@ def op9_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fair_mix.mix(table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, repeats=2)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_html_blocks, op3_rabitq, op8_arc_to_warc, op9_fair_mix)}
+def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_html_blocks, op3_rabitq, op8_arc_to_warc, op9_fair_mix, op10_near_dup)}
 
 ORACLE_SQL: dict[str, str] = {}
