@@ -148,6 +148,47 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return joined.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
+def shared_shingles(texts: DataFrame, repeated: DataFrame) -> DataFrame:
+    """For each document of texts: rep, n (its shingles) and common (those that another document of texts has too).
+
+    A document whose id is in `repeated` stands for several texts; all its shingles count as common.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = WordHashes()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                sets = [shingles(t.as_py(), memo) for t in part.column(1)]
+                ids = np.repeat(part.column(0).to_numpy(), [len(s) for s in sets])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.concatenate(sets).view(np.int64))], ["rep", "shingle"])
+
+    rows = texts.select("doc_id", "text").mapInArrow(run, "rep long, shingle long")
+    owners = rows.groupBy("shingle").agg(F.min("rep").alias("rep"), F.count("*").alias("n")).where("n = 1")
+    own = owners.groupBy("rep").agg(F.count("*").alias("own")).join(repeated.select(F.col("doc_id").alias("rep")), "rep", "left_anti")
+    n = rows.groupBy("rep").agg(F.count("*").alias("n"))
+    return n.join(own, "rep", "left").select("rep", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("common"))
+
+
+def possible(placed: DataFrame, percent: int, step: float = 1.04) -> DataFrame:
+    """Pairs (a, b) across components of a bucket whose sizes do not rule out the similarity.
+
+    placed: bucket, rep, part, main, n, common. Two sets share at most the smaller `common`, so x of size n
+    with c common shingles needs a partner of size from t * n to n / t and at most c / t - (n - c). Classes are
+    joined on bucket and on steps of size within those limits.
+    """
+    t = percent / 100
+    stair = lambda size: F.floor(F.log(size) / F.log(F.lit(step)) + 1e-9).cast("int")
+    low, high = F.col("n") * t, F.least(F.col("n") / t, F.col("common") / t - (F.col("n") - F.col("common")))
+    x = placed.where("part <> main").where(high >= F.greatest(low - 1e-6, F.lit(1.0)))
+    x = x.select("bucket", F.col("rep").alias("x"), F.col("part").alias("x_part"), F.col("n").alias("x_n"), F.col("common").alias("x_common"), F.explode(F.sequence(stair(F.greatest(low, F.lit(1.0))), stair(high))).alias("stair"))
+    y = placed.select("bucket", "rep", "part", "n", "common", stair(F.col("n")).alias("stair"))
+    most = F.least("common", "x_common")
+    fits = 100 * most >= percent * (F.col("n") + F.col("x_n") - most)
+    on = (x["bucket"] == y["bucket"]) & (x["stair"] == y["stair"]) & (F.col("part") != F.col("x_part")) & fits
+    return x.join(y, on).select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75, miss: float = 1e-6, seed: int = 5) -> DataFrame:
     """Components of documents linked by 100 * |A & B| >= percent * |A | B| of their 5-word shingle sets.
 
@@ -155,11 +196,12 @@ def near_duplicates(docs: DataFrame, percent: int = 75, miss: float = 1e-6, seed
     reachable), kept (doc_id = component_id).
 
     Rows with the same set are one class, represented by its smallest doc_id. Classes that share a band are
-    candidates: first each against the smallest of its bucket, then, where a bucket holds several components,
-    those outside its largest one against all that are not in theirs. So a bucket costs a pass over its
-    members unless it really is divided, and a link between components of a bucket is never missed.
-    Candidates are pruned by `likely` with miss probability `miss`; survivors are compared on full sets, first
-    the best candidate of each class, then what would still join two components.
+    candidates. First each is compared with the most central class of its bucket, the one with the smallest
+    share of shingles that no other candidate has. Then, where that leaves a bucket with several components,
+    those outside its largest one are compared with classes of other components whose sizes and numbers of
+    shared shingles allow the similarity at all. So a bucket of copies costs a pass over its members, and a link
+    between components of a bucket is never missed. Candidates are pruned by `likely` with miss probability
+    `miss`; survivors are compared on full sets, of the first kind only the best of each class.
 
     Null or empty text and text without words: n_shingles 0, its own component, kept. Null doc_id: component
     null, kept, and linked with nothing. Rows that share a doc_id are linked. An empty table gives no rows.
@@ -169,26 +211,28 @@ def near_duplicates(docs: DataFrame, percent: int = 75, miss: float = 1e-6, seed
     rows = materialize(sketch(named, seed), "near-sketch")
     known = rows.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     classes = materialize(known.groupBy("set_key", "bands", "sig").agg(F.min("doc_id").alias("rep")), "near-classes")
-    buckets = classes.select("rep", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(F.substring(F.col("bands"), i * 8 + 1, F.lit(8))))).alias("bucket"))
-    shared = buckets.groupBy("bucket").agg(F.min("rep").alias("head"), F.max("rep").alias("tail")).where("head < tail").drop("tail")
+    key = lambda i: F.xxhash64(F.substring(F.col("bands"), i * 8 + 1, F.lit(8)))
+    buckets = classes.select("rep", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), key)).alias("bucket"))
+    shared = buckets.groupBy("bucket").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least < most").select("bucket")
     buckets = materialize(buckets.join(shared, "bucket"), "near-buckets")
     wanted = buckets.select(F.col("rep").alias("doc_id")).distinct()
     texts = materialize(named.join(wanted, "doc_id", "left_semi"), "near-texts")
-
-    pairs = buckets.where("rep > head").select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct()
-    best = likely(pairs, classes, percent / 100, miss).groupBy("b").agg(F.max_by("a", F.struct("matches", -F.col("a"))).alias("a"))
     repeated = known.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    sizes = materialize(shared_shingles(texts, repeated), "near-sizes")
+
+    central = F.struct((F.col("n") - F.col("common")) / F.col("n"), "rep")
+    heads = buckets.join(sizes, "rep").groupBy("bucket").agg(F.min(central).alias("head")).select("bucket", F.col("head.rep").alias("head"))
+    pairs = buckets.join(heads, "bucket").where("rep <> head").select(F.least("head", "rep").alias("a"), F.greatest("head", "rep").alias("b"), "rep").distinct()
+    best = likely(pairs.select("a", "b").distinct(), classes, percent / 100, miss).join(pairs, ["a", "b"]).groupBy("rep").agg(F.max_by(F.struct("a", "b"), F.struct("matches", -F.col("a"), -F.col("b"))).alias("e")).select("e.*").distinct()
     several = known.join(repeated, "doc_id", "left_semi").select("doc_id", "set_key").distinct().join(classes.select("set_key", "rep"), "set_key").select(F.col("doc_id").alias("src"), F.col("rep").alias("dst"))
     edges = cut(verified(best, texts, percent).select(F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(several))
     parts = cut(connected_components(edges))
 
     part_of = parts.select(F.col("node").alias("rep"), F.col("component").alias("part"))
-    placed = buckets.select("bucket", "rep").join(part_of, "rep", "left").select("bucket", "rep", F.coalesce("part", "rep").alias("part"))
-    sizes = placed.groupBy("bucket", "part").agg(F.count("*").alias("n"))
-    divided = sizes.groupBy("bucket").agg(F.count("*").alias("parts"), F.max(F.struct("n", "part")).alias("top")).where("parts > 1").select("bucket", F.col("top.part").alias("main"))
-    mixed = placed.join(divided, "bucket")
-    outside = mixed.where("part <> main").select("bucket", F.col("rep").alias("x"), F.col("part").alias("x_part"))
-    crossing = outside.join(mixed.select("bucket", "rep", "part"), "bucket").where("part <> x_part").select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b")).distinct()
+    placed = buckets.join(part_of, "rep", "left").select("bucket", "rep", F.coalesce("part", "rep").alias("part"))
+    counts = placed.groupBy("bucket", "part").agg(F.count("*").alias("members"))
+    divided = counts.groupBy("bucket").agg(F.count("*").alias("parts"), F.max(F.struct("members", "part")).alias("top")).where("parts > 1").select("bucket", F.col("top.part").alias("main"))
+    crossing = possible(placed.join(divided, "bucket").join(sizes, "rep"), percent)
     more = cut(verified(likely(crossing, classes, percent / 100, miss), texts, percent).select(F.col("a").alias("src"), F.col("b").alias("dst")))
     parts = cut(connected_components(more.unionByName(parts.select(F.col("node").alias("src"), F.col("component").alias("dst")))))
 
