@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import arc_convert, fair_mix, html_blocks, near_dup, rabitq
+from quillspark.llm import arc_convert, decontaminate, fair_mix, html_blocks, langid, line_dedup, near_dup, rabitq, separator_scan, toxicity
 from quillspark.llm.common import drop_scratch, materialize, scratch_path, table
 
 
@@ -15,11 +15,35 @@ def op1_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_blocks.extract(table(spark, sf_dir, "pages"))
 
 
+def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op3_rabitq(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return rabitq.search(vectors, vectors.where(F.col("vec_id") % 100 == 0), k=10)
 
 
+def op4_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = scratch_path(spark, "tokens")
+    separator_scan.write_token_files(table(spark, sf_dir, "documents"), at)
+    out = materialize(separator_scan.with_ids(separator_scan.scan(spark, at, head=separator_scan.ID_TOKENS)).select("doc_id", "n_tokens"), "token-counts")
+    drop_scratch(spark, at)
+    return out
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(table(spark, sf_dir, "documents"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = scratch_path(spark, "archives")
     arc_convert.write_arc(table(spark, sf_dir, "pages"), f"{at}/arc")
@@ -37,6 +61,6 @@ def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_html_blocks, op3_rabitq, op8_arc_to_warc, op9_fair_mix, op10_near_dup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_html_blocks, op2_langid, op3_rabitq, op4_separator_scan, op5_line_dedup, op6_toxicity, op7_decontaminate, op8_arc_to_warc, op9_fair_mix, op10_near_dup)}
 
 ORACLE_SQL: dict[str, str] = {}
