@@ -82,10 +82,15 @@ def slug(text: Text, separator: str = "-") -> Column:
     return F.regexp_replace(t, f"^{separator}+|{separator}+$", "")
 
 
+def bound(value: Column, use) -> Column:
+    """use(value) with value computed once, though `use` has it within a lambda of an array function."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def shingles(words: Column, n: int) -> Column:
     """Runs of n items of an array, joined by spaces; none if there are fewer."""
-    starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - n + 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))
+    starts = lambda w: F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - n + 1)).otherwise(F.array().cast("array<int>"))
+    return bound(words, lambda w: F.transform(starts(w), lambda i: F.array_join(F.slice(w, i, n), " ")))
 
 
 def fragments(text: Text, widths: tuple[int, ...] = (3, 2, 1), limit: int = 24) -> Column:
@@ -136,19 +141,19 @@ def character_error_rate(reference: Text, hypothesis: Text) -> Column:
 def word_error_rate(reference: Text, hypothesis: Text) -> Column:
     """As character_error_rate over words: each distinct word of the pair becomes one private character."""
     a, b = tokens(reference, r"\S+"), tokens(hypothesis, r"\S+")
-    known = F.array_union(a, b)
-    coded = lambda words: F.array_join(F.transform(words, lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(known, w) + 0xE000), 4, "0")), "UTF-16BE")), "")
+    letter = lambda known, w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(known, w) + 0xE000), 4, "0")), "UTF-16BE")
+    coded = lambda words: bound(F.array_union(a, b), lambda known: F.array_join(F.transform(words, lambda w: letter(known, w)), ""))
     return F.when(F.size(a) == 0, F.when(F.size(b) == 0, F.lit(0.0)).otherwise(F.lit(1.0))).otherwise(F.levenshtein(coded(a), coded(b)) / F.size(a))
 
 
-def readability(text: Text) -> Column:
-    """0 to 100: sentences near 18 words (65 %) of letters near 5.2 (35 %), to two places; 0 without words."""
+def readability(text: Text, places: int = 2) -> Column:
+    """0 to 100: sentences near 18 words (65 %) of letters near 5.2 (35 %); 0 without words."""
     found = F.regexp_count(_c(text), F.lit("[A-Za-z0-9]+"))
     letters = F.length(F.regexp_replace(_c(text), "[^A-Za-z0-9]", ""))
     stops = F.greatest(F.lit(1), F.regexp_count(_c(text), F.lit("[.!?]+")))
     sentence = F.greatest(F.lit(0.0), 1 - F.abs(found / stops - 18.0) / 30.0)
     word = F.greatest(F.lit(0.0), 1 - F.abs(letters / found - 5.2) / 5.0)
-    return F.when(found > 0, F.round(100 * (0.65 * sentence + 0.35 * word), 2)).otherwise(F.lit(0.0))
+    return F.when(found > 0, F.round(100 * (0.65 * sentence + 0.35 * word), places)).otherwise(F.lit(0.0))
 
 
 def letter_ratio(text: Text) -> Column:
@@ -183,8 +188,8 @@ def nearest_rank(values: Column, p: float) -> Column:
 def quantize8(vector: Text) -> Column:
     """Components scaled to 0..255 by the vector's least and greatest, cut to integers; a constant vector is 0."""
     v = F.transform(_c(vector), lambda x: x.cast("double"))
-    low, span = F.array_min(v), F.array_max(v) - F.array_min(v)
-    return F.transform(v, lambda x: ((x - low) / F.when(span == 0, F.lit(1.0)).otherwise(span) * 255).cast("int"))
+    limits = F.struct(F.array_min(v).alias("low"), (F.array_max(v) - F.array_min(v)).alias("span"))
+    return bound(limits, lambda s: F.transform(v, lambda x: ((x - s["low"]) / F.when(s["span"] == 0, F.lit(1.0)).otherwise(s["span"]) * 255).cast("int")))
 
 
 def dot(a: Text, b: Text) -> Column:
@@ -196,9 +201,10 @@ def dot(a: Text, b: Text) -> Column:
 def hashed_embedding(text: Text, dim: int = 384) -> Column:
     """Token counts in `dim` buckets of xxhash64, of unit length; all zero without tokens."""
     at = F.transform(tokens(text), lambda t: F.pmod(F.xxhash64(t), F.lit(dim)))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(at, lambda x: x == i)).cast("double"))
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(counts, lambda x: F.when(norm > 0, x / norm).otherwise(F.lit(0.0)))
+    counts = bound(at, lambda a: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(a, lambda x: x == i)).cast("double")))
+    norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x * x))
+    unit = lambda c: bound(norm(c), lambda n: F.transform(c, lambda x: F.when(n > 0, x / n).otherwise(F.lit(0.0))))
+    return bound(counts, unit)
 
 
 def content_hash(text: Text) -> Column:

@@ -10,7 +10,7 @@ def count_where(condition: Column) -> Column:
     return F.count_if(condition).cast("long")
 
 
-def run_stats(runs: DataFrame, results: DataFrame, keys: list[str], students: bool = False, latest_result: bool = False) -> DataFrame:
+def run_stats(runs: DataFrame, results: DataFrame, keys: list[str], students: bool = False, latest_result: bool = False, places: int = 2) -> DataFrame:
     """Statistics of runs(run_id, status, duration_ms, student_id, ...) with results(run_id, score, completion).
 
     A left join: a run with several results counts once for each, unless latest_result keeps only the result of
@@ -24,9 +24,9 @@ def run_stats(runs: DataFrame, results: DataFrame, keys: list[str], students: bo
         count_where(F.col("status") == "completed").alias("completed_runs"),
         count_where(F.col("status") == "failed").alias("failed_runs"),
         count_where(F.col("status").isin("created", "running", "paused")).alias("active_runs"),
-        F.round(F.avg("score"), 2).alias("average_score"),
-        F.round(F.avg("completion"), 2).alias("average_completion"),
-        F.round(F.avg("duration_ms"), 2).alias("average_duration_ms"),
+        F.round(F.avg("score"), places).alias("average_score"),
+        F.round(F.avg("completion"), places).alias("average_completion"),
+        F.round(F.avg("duration_ms"), places).alias("average_duration_ms"),
         F.coalesce(F.sum("duration_ms"), F.lit(0)).cast("long").alias("total_time_spent_ms"),
     ]
     if students:

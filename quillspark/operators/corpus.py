@@ -74,10 +74,9 @@ def lines_of(docs: DataFrame) -> DataFrame:
 def filter_lines(text: Column) -> Column:
     """A text without page numbers, imprint lines, repeated headers, and lines of at most 8 words that occur 3 times or more."""
     raw = F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(T.strip(x), r"[ \t]+", " "))
-    norm = F.transform(raw, T.normalize_text)
-    times = lambda n: F.size(F.filter(norm, lambda y: y == n))
-    drop = lambda x, n: (x != "") & (is_page_number(x) | x.rlike(IMPRINT) | (is_header_footer(x) & (times(n) > 1)) | ((T.word_count(x) <= 8) & (times(n) >= 3)))
-    kept = F.filter(raw, lambda x: ~drop(x, T.normalize_text(x)))
+    times = lambda norm, n: F.size(F.filter(norm, lambda y: y == n))
+    drop = lambda norm, x, n: (x != "") & (is_page_number(x) | x.rlike(IMPRINT) | (is_header_footer(x) & (times(norm, n) > 1)) | ((T.word_count(x) <= 8) & (times(norm, n) >= 3)))
+    kept = T.bound(F.transform(raw, T.normalize_text), lambda norm: F.filter(raw, lambda x: ~drop(norm, x, T.normalize_text(x))))
     joined = F.regexp_replace(F.array_join(kept, "\n"), r"(\w)-\n(\w)", "$1$2")
     return T.strip(F.regexp_replace(joined, r"\n{3,}", "\n\n"))
 

@@ -33,7 +33,7 @@ def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75,
     weighted = asked.join(df, "term").join(F.broadcast(stats)).withColumn("idf", F.log(1 + (F.col("documents") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     scored = wanted.join(weighted, "term")
     part = F.col("repeats") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.greatest(F.col("length"), F.lit(1)) / F.greatest(F.col("avgdl"), F.lit(1e-6))))
-    return scored.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("bm25"))
+    return scored.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 4).alias("bm25"))
 
 
 def top_hits(scores: DataFrame, score: str, k: int) -> DataFrame:

@@ -50,23 +50,23 @@ results as (select l_orderkey as run_id, l_extendedprice as score, 100*(1-l_disc
 j as (select r.*, s.score, s.completion from runs r left join results s on r.run_id=s.run_id)"""
 _STATS_SQL = """count(run_id) as total_runs, count(*) filter (status='completed') as completed_runs,
  count(*) filter (status='failed') as failed_runs, count(*) filter (status in ('created','running','paused')) as active_runs,
- round(avg(score),2) as average_score, round(avg(completion),2) as average_completion,
- round(avg(duration_ms),2) as average_duration_ms, cast(coalesce(sum(duration_ms),0) as bigint) as total_time_spent_ms"""
+ round(avg(score),6) as average_score, round(avg(completion),6) as average_completion,
+ round(avg(duration_ms),6) as average_duration_ms, cast(coalesce(sum(duration_ms),0) as bigint) as total_time_spent_ms"""
 
 
 @query(f"with {_RUNS_SQL} select student_id, {_STATS_SQL} from j group by student_id")
 def student_run_stats(spark, d):
-    return A.run_stats(_runs(spark, d), _results(spark, d), ["student_id"])
+    return A.run_stats(_runs(spark, d), _results(spark, d), ["student_id"], places=6)
 
 
 @query(f"with {_RUNS_SQL} select experiment_id, {_STATS_SQL}, count(distinct student_id) as unique_students from j group by experiment_id")
 def experiment_stats_distinct(spark, d):
-    return A.run_stats(_runs(spark, d), _results(spark, d), ["experiment_id"], students=True)
+    return A.run_stats(_runs(spark, d), _results(spark, d), ["experiment_id"], students=True, places=6)
 
 
 @query(f"with {_RUNS_SQL} select {_STATS_SQL}, count(distinct student_id) as unique_students, (select count(*) from events) as total_events, (select count(*) from lineitem) as total_results from j")
 def system_stats(spark, d):
-    stats = A.run_stats(_runs(spark, d), _results(spark, d), [], students=True)
+    stats = A.run_stats(_runs(spark, d), _results(spark, d), [], students=True, places=6)
     events = table(spark, d, "events").agg(F.count("*").alias("total_events"))
     results = table(spark, d, "lineitem").agg(F.count("*").alias("total_results"))
     return stats.join(F.broadcast(events)).join(F.broadcast(results))  # one row each
@@ -168,14 +168,14 @@ def tumbling_minute_metrics(spark, d):
     return table(spark, d, "events").groupBy(w.alias("w"), "event_type").agg(F.count("*").alias("events"), F.round(F.avg("value"), 4).alias("mean_value")).select(F.unix_timestamp("w.start").alias("minute_start"), "event_type", "events", "mean_value")
 
 
-@query("""with a as (select *, cast(floor(epoch(ts)) as bigint) as at from events), b as (select *, case when at - lag(at) over (partition by user_id order by ts,event_id) <= 7200 then 0 else 1 end as new from a),
+@query("""with a as (select *, cast(floor(epoch(ts)) as bigint) as sec from events), b as (select *, case when sec - lag(sec) over (partition by user_id order by ts,event_id) <= 7200 then 0 else 1 end as new from a),
 c as (select *, cast(sum(new) over (partition by user_id order by ts,event_id) as bigint) as session_no from b)
-select user_id, session_no, min(at) as started, max(at) as ended, count(*) as events from c group by 1,2""")
+select user_id, session_no, min(sec) as started, max(sec) as ended, count(*) as events from c group by 1,2""")
 def session_liveness(spark, d):
     return A.sessions(table(spark, d, "events"), "user_id", "ts", 7200)
 
 
-@query("""with a as (select *, cast(floor(epoch(ts)) as bigint) as at from events), b as (select event_type, coalesce(at - lag(at) over (partition by user_id,event_type order by ts,event_id) <= 86400, false) as hit from a)
+@query("""with a as (select *, cast(floor(epoch(ts)) as bigint) as sec from events), b as (select event_type, coalesce(sec - lag(sec) over (partition by user_id,event_type order by ts,event_id) <= 86400, false) as hit from a)
 select event_type, count(*) as lookups, count(*) filter (hit) as hits, round(100.0*count(*) filter (hit)/count(*),4) as hit_rate from b group by 1""")
 def cache_hit_rate_ttl(spark, d):
     hits = A.ttl_hits(table(spark, d, "events"), ["user_id", "event_type"], "ts", 86400)
@@ -200,8 +200,8 @@ _NORM = r"regexp_replace(regexp_replace(lower(coalesce({0},'')),'^\s+|\s+$','','
 _WORDS = r"len(regexp_extract_all({0},'[A-Za-z0-9]+'))"
 _TERMS = r"regexp_extract_all(lower({0}),'{1}')"
 _STOP = "[" + ",".join(f"'{w}'" for w in T.STOP_WORDS) + "]"
-_CONTENT = "list_filter(list_distinct(regexp_extract_all(lower({0}),'[a-z0-9]{{4,}}')), x -> not list_contains(" + _STOP + ", x))"
-_LINES = r"list_filter(list_transform(string_split({0},chr(10)), x -> regexp_replace(x,'^\s+|\s+$','','g')), x -> x<>'')"
+_CONTENT = "list_filter(list_distinct(regexp_extract_all(lower({0}),'[a-z0-9]{{4,}}')), lambda x: not list_contains(" + _STOP + ", x))"
+_LINES = r"list_filter(list_transform(string_split({0},chr(10)), lambda x: regexp_replace(x,'^\s+|\s+$','','g')), lambda x: x<>'')"
 
 
 @query(f"""with p as (select lang, {_WORDS.format('text')} as words, length(regexp_replace(text,'[^\\p{{L}}]','','g'))/greatest(length(text),1) as letters from documents),
@@ -264,9 +264,10 @@ def exact_dedup(spark, d):
     return C.exact_duplicates(table(spark, d, "documents"))
 
 
-_KEYS = f"""w as (select doc_id, string_split({_NORM.format('text')},' ') as w from documents),
-s as (select doc_id, list_sort(list_distinct(list_transform(range(1,len(w)-3), i -> array_to_string(w[i:i+4],' ')))) as s from w where len(w)>=10),
-k as (select doc_id, s, sha1(array_to_string(s[1:18],'|')) as key from s)"""
+_KEYS = f"""w as (select doc_id, unnest(w) as w, unnest(range(len(w))) as i, len(w) as n from (select doc_id, string_split({_NORM.format('text')},' ') as w from documents)),
+g as (select doc_id, n, i, w||' '||lead(w,1) over o||' '||lead(w,2) over o||' '||lead(w,3) over o||' '||lead(w,4) over o as s from w window o as (partition by doc_id order by i)),
+s as (select doc_id, list(distinct s) as s from g where n>=10 and s is not null group by doc_id),
+k as (select doc_id, s, sha1(array_to_string(list_sort(s)[1:18],'|')) as key from s)"""
 
 
 @query(f"with {_KEYS} select key, min(doc_id) as first_id, count(*) as documents from k group by key having count(*)>1")
@@ -274,8 +275,8 @@ def near_dup_key_groups(spark, d):
     return C.key_groups(table(spark, d, "documents"))
 
 
-@query(f"""with {_KEYS}, g as (select key, min(doc_id) as first_id from k group by key having count(*)>1),
-p as (select k.doc_id, first_id, k.s as a, f.s as b from k join g on k.key=g.key join k f on f.doc_id=g.first_id where k.doc_id<>first_id),
+@query(f"""with {_KEYS}, gr as (select key, min(doc_id) as first_id from k group by key having count(*)>1),
+p as (select k.doc_id, first_id, k.s as a, f.s as b from k join gr on k.key=gr.key join k f on f.doc_id=gr.first_id where k.doc_id<>first_id),
 j as (select doc_id, first_id, len(list_intersect(a,b)) as i, len(a) as na, len(b) as nb from p)
 select doc_id, first_id, round(i/(na+nb-i),4) as similarity from j where round(i/(na+nb-i),4)>=0.75""")
 def near_dup_jaccard_pairs(spark, d):
@@ -313,7 +314,7 @@ def sliding_windows(spark, d):
     return C.char_windows(table(spark, d, "documents"))
 
 
-@query(r"""with w as (select doc_id, list_filter(regexp_split_to_array(text,'\s+'), x -> x<>'') as w from documents), n as (select doc_id, w, len(w) as n, case when len(w)>450 then greatest(2, cast(ceil(len(w)/350) as bigint)) else 1 end as p from w where len(w)>0),
+@query(r"""with w as (select doc_id, list_filter(regexp_split_to_array(text,'\s+'), lambda x: x<>'') as w from documents), n as (select doc_id, w, len(w) as n, case when len(w)>450 then greatest(2, cast(ceil(len(w)/350) as bigint)) else 1 end as p from w where len(w)>0),
 e as (select doc_id, w, cast(ceil(n/p) as bigint) as e, unnest(range(p)) as piece_no from n), s as (select doc_id, piece_no, w[piece_no*e+1:piece_no*e+e] as part from e)
 select doc_id, piece_no, len(part) as n_words, array_to_string(part,' ') as text from s where len(part)>0""")
 def word_windows(spark, d):
@@ -330,8 +331,8 @@ def semantic_chunks(spark, d):
     return C.semantic_chunks(table(spark, d, "documents"))
 
 
-_TERM_ROWS = f"""tok as (select doc_id, unnest({_TERMS.format('text', '[a-z0-9]{4,}')}) as term, unnest(range(len({_TERMS.format('text', '[a-z0-9]{4,}')}))) as at from documents),
-tc as (select doc_id, term, count(*) as n, min(at) as first_at from tok where not list_contains({_STOP}, term) group by 1,2),
+_TERM_ROWS = f"""tok as (select doc_id, unnest({_TERMS.format('text', '[a-z0-9]{4,}')}) as term, unnest(range(len({_TERMS.format('text', '[a-z0-9]{4,}')}))) as pos from documents),
+tc as (select doc_id, term, count(*) as n, min(pos) as first_at from tok where not list_contains({_STOP}, term) group by 1,2),
 top as (select doc_id, term, n, row_number() over (partition by doc_id order by n desc, first_at) as rank from tc)"""
 
 
@@ -340,8 +341,8 @@ def top_terms_per_doc(spark, d):
     return K.top_terms(table(spark, d, "documents"))
 
 
-@query(f"""with w as (select source, list_filter({_TERMS.format('text', '[a-z0-9]+')}, x -> length(x)>=3 and not list_contains({_STOP}, x)) as w from documents),
-b as (select source, unnest(list_transform(range(1,len(w)), i -> w[i]||' '||w[i+1])) as bigram from w), n as (select source, bigram, count(*) as n from b group by 1,2 having count(*)>=2),
+@query(f"""with w as (select source, list_filter({_TERMS.format('text', '[a-z0-9]+')}, lambda x: length(x)>=3 and not list_contains({_STOP}, x)) as w from documents),
+b as (select source, unnest(list_transform(range(1,len(w)), lambda i: w[i]||' '||w[i+1])) as bigram from w), n as (select source, bigram, count(*) as n from b group by 1,2 having count(*)>=2),
 r as (select *, row_number() over (partition by source order by n desc, bigram) as rank from n) select * from r where rank<=20""")
 def frequent_bigrams(spark, d):
     return K.frequent_bigrams(table(spark, d, "documents"), ["source"])
@@ -358,7 +359,7 @@ def definition_glossary(spark, d):
 
 
 @query(rf"""with {_TERM_ROWS}, ts as (select doc_id, list(term) as terms from top where rank<=8 group by 1),
-sp as (select doc_id, list_filter(string_split(regexp_replace(text,'([.!?।])\s+','\1'||chr(31),'g'),chr(31)), x -> regexp_replace(x,'^\s+|\s+$','','g')<>'') as s from documents),
+sp as (select doc_id, list_filter(string_split(regexp_replace(text,'([.!?।])\s+','\1'||chr(31),'g'),chr(31)), lambda x: regexp_replace(x,'^\s+|\s+$','','g')<>'') as s from documents),
 e as (select doc_id, unnest(s) as sentence, unnest(range(len(s))) as sentence_no from sp),
 sc as (select e.doc_id, sentence_no, coalesce(len(list_intersect(list_distinct(regexp_extract_all(lower(sentence),'[a-z0-9]{{4,}}')), terms)),0)
  + case when regexp_matches(sentence,'[=+*/^]') then 2.5 else 0 end + case when regexp_matches(lower(sentence),'because|therefore|for example|means|is called') then 1.5 else 0 end + case when regexp_matches(sentence,'^[A-Z]') then 0.25 else 0 end as score
@@ -386,7 +387,7 @@ _BM25 = f"""q as (select query_id, term, count(*) as repeats from (select item_i
 dl as (select doc_id, text, len({_TERMS.format('text', '[a-z0-9]{4,}')}) as length from documents), st as (select count(*) as documents, avg(length) as avgdl from dl),
 pt as (select doc_id, length, term, count(*) as tf from (select doc_id, length, unnest({_TERMS.format('text', '[a-z0-9]{4,}')}) as term from dl) where term in (select term from q) group by 1,2,3),
 dq as (select term, count(*) as df from pt group by 1),
-bm as (select query_id, doc_id, round(sum(repeats*ln(1+(documents-df+0.5)/(df+0.5))*tf*2.5/(tf+1.5*(0.25+0.75*greatest(length,1)/greatest(avgdl,1e-6)))),6) as bm25 from pt join q using (term) join dq using (term), st group by 1,2)"""
+bm as (select query_id, doc_id, round(sum(repeats*ln(1+(documents-df+0.5)/(df+0.5))*tf*2.5/(tf+1.5*(0.25+0.75*greatest(length,1)/greatest(avgdl,1e-6)))),4) as bm25 from pt join q using (term) join dq using (term), st group by 1,2)"""
 
 
 @query(f"with {_BM25}, r as (select *, row_number() over (partition by query_id order by bm25 desc, doc_id) as rank from bm) select query_id, doc_id, bm25, rank from r where rank<=10")
@@ -394,7 +395,7 @@ def bm25_topk(spark, d):
     return R.top_hits(R.bm25(table(spark, d, "documents"), _questions(spark, d)), "bm25", 10)
 
 
-@query("""with s as (select q.vec_id as query_id, v.vec_id, round(list_sum(list_transform(range(1,len(q.embedding)+1), i -> cast(q.embedding[i] as double)*cast(v.embedding[i] as double))),6) as score
+@query("""with s as (select q.vec_id as query_id, v.vec_id, round(list_sum(list_transform(range(1,len(q.embedding)+1), lambda i: cast(q.embedding[i] as double)*cast(v.embedding[i] as double))),6) as score
  from embeddings q, embeddings v where q.vec_id<10 and q.vec_id<>v.vec_id), r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s) select * from r where rank<=10""")
 def dense_topk(spark, d):
     vectors = table(spark, d, "embeddings").select("vec_id", "embedding")
@@ -437,8 +438,8 @@ def overlap_search_eval(spark, d):
     return R.retrieval_accuracy(hits, relevant)
 
 
-@query("""with v as (select vec_id, list_transform(embedding, x -> cast(x as double)) as v from embeddings), m as (select vec_id, v, list_min(v) as lo, list_max(v)-list_min(v) as span from v)
-select vec_id, array_to_string(list_transform(v, x -> cast(trunc((x-lo)/case when span=0 then 1 else span end*255) as int)),',') as codes from m""")
+@query("""with v as (select vec_id, list_transform(embedding, lambda x: cast(x as double)) as v from embeddings), m as (select vec_id, v, list_min(v) as lo, list_max(v)-list_min(v) as span from v)
+select vec_id, array_to_string(list_transform(v, lambda x: cast(trunc((x-lo)/case when span=0 then 1 else span end*255) as int)),',') as codes from m""")
 def quantize_embeddings(spark, d):
     return table(spark, d, "embeddings").select("vec_id", F.array_join(F.transform(T.quantize8("embedding"), lambda x: x.cast("string")), ",").alias("codes"))
 
@@ -454,36 +455,38 @@ def _turns(spark, d):
 _TURNS = "tn as (select conv_id, turn, text as question, answer from (select *, lead(role) over w as next_role, lead(text) over w as answer from conversations window w as (partition by conv_id order by turn)) where role='user' and next_role='assistant')"
 
 
-@query(rf"""with {_TURNS}, s as (select *, list_distinct(regexp_extract_all(lower(answer),'[a-z][a-z0-9_-]{{3,}}')) as a, list_distinct(regexp_extract_all(lower(question),'[a-z][a-z0-9_-]{{3,}}')) as c, len(list_filter(regexp_split_to_array(answer,'\s+'), x -> x<>'')) as w from tn),
+@query(rf"""with {_TURNS}, s as (select *, list_distinct(regexp_extract_all(lower(answer),'[a-z][a-z0-9_-]{{3,}}')) as a, list_distinct(regexp_extract_all(lower(question),'[a-z][a-z0-9_-]{{3,}}')) as c, len(list_filter(regexp_split_to_array(answer,'\s+'), lambda x: x<>'')) as w from tn),
 o as (select *, case when len(a)=0 or len(c)=0 then 0.0 else len(list_intersect(a,c))/greatest(len(a),1) end as ov,
  case when w=0 then 0.0 else least(1.0, least(1.0,w/80)+case when regexp_matches(lower(answer),'for example|because|therefore|means|is called') then 0.15 else 0 end+case when regexp_matches(question,'\?\s*$') and w>=25 then 0.1 else 0 end) end as co from s)
 select conv_id, turn, round(ov,3) as context_overlap, round(co,3) as completeness, case when ov<0.03 and w>40 then 'high' when ov<0.08 then 'medium' else 'low' end as hallucination_risk,
- array_to_string(list_filter([case when ov<0.05 then 'low_context_overlap' end, case when w=0 then 'empty_answer' end, case when co<0.45 then 'low_completeness' end], x -> x is not null),',') as issues from o""")
+ array_to_string(list_filter([case when ov<0.05 then 'low_context_overlap' end, case when w=0 then 'empty_answer' end, case when co<0.45 then 'low_completeness' end], lambda x: x is not null),',') as issues from o""")
 def answer_evaluation(spark, d):
     return Q.answer_scores(_turns(spark, d).withColumn("context", F.col("question"))).select("conv_id", "turn", "context_overlap", "completeness", "hallucination_risk", "issues")
 
 
 @query(r"""with c as (select conv_id, turn, len(regexp_extract_all(text,'[A-Za-z0-9]+')) as n, length(regexp_replace(text,'[^A-Za-z0-9]','','g')) as l, greatest(1,len(regexp_extract_all(text,'[.!?]+'))) as s from conversations)
-select conv_id, turn, case when n>0 then round(100*(0.65*greatest(0.0,1-abs(n/s-18.0)/30.0)+0.35*greatest(0.0,1-abs(l/n-5.2)/5.0)),2) else 0.0 end as readability from c""")
+select conv_id, turn, case when n>0 then round(100*(0.65*greatest(0.0,1-abs(n/s-18.0)/30.0)+0.35*greatest(0.0,1-abs(l/n-5.2)/5.0)),5) else 0.0 end as readability from c""")
 def readability(spark, d):
-    return table(spark, d, "conversations").select("conv_id", "turn", T.readability("text").alias("readability"))
+    return table(spark, d, "conversations").select("conv_id", "turn", T.readability("text", 5).alias("readability"))
 
 
-@query(rf"""with {_TURNS}, p as (select conv_id, substring({_NORM.format('question')},1,200) as a, substring({_NORM.format('answer')},1,200) as b from tn),
+@query(rf"""with {_TURNS}, p as (select conv_id, regexp_replace({_NORM.format('question')},'[^ -~]','','g') as a, regexp_replace({_NORM.format('answer')},'[^ -~]','','g') as b from tn),
 e as (select conv_id%2 as half, conv_id%3 as third, case when length(a)=0 then case when length(b)=0 then 0.0 else 1.0 end else levenshtein(a,b)/length(a) end as cer from p)
 select half, third, count(*) as pairs, round(avg(cer),6) as mean_cer from e group by grouping sets ((half),(third),())""")
 def error_rates(spark, d):
-    """Character error rates of the first 200 characters of adjacent turns, as short utterances."""
+    """Character error rates of an answer against its question, over ASCII characters, as SQL compares bytes."""
     t = _turns(spark, d)
-    cut = lambda c: F.substring(T.normalize_text(c), 1, 200)
-    p = t.select("conv_id", cut("question").alias("reference"), cut("answer").alias("hypothesis"))
-    p = p.select((F.col("conv_id") % 2).alias("half"), (F.col("conv_id") % 3).alias("third"), T.character_error_rate("reference", "hypothesis").alias("cer"))
+    plain = lambda c: F.regexp_replace(T.normalize_text(c), "[^ -~]", "")
+    p = t.select("conv_id", plain("question").alias("reference"), plain("answer").alias("hypothesis"))
+    reference, hypothesis = F.col("reference"), F.col("hypothesis")
+    cer = F.when(F.length(reference) == 0, F.when(F.length(hypothesis) == 0, 0.0).otherwise(1.0)).otherwise(F.levenshtein(reference, hypothesis) / F.length(reference))
+    p = p.select((F.col("conv_id") % 2).alias("half"), (F.col("conv_id") % 3).alias("third"), cer.alias("cer"))
     return p.groupingSets([["half"], ["third"], []], "half", "third").agg(F.count("*").alias("pairs"), F.round(F.avg("cer"), 6).alias("mean_cer"))
 
 
 @query(rf"""with p as (select quality, text, {_WORDS.format('text')} as words, {_LINES.format('text')} as ls from documents join labels using (doc_id)),
 r as (select quality=1 as actual, words>=60 and not regexp_matches({_NORM.format('text')},'(?i)\b(isbn|copyright|all rights reserved|published by|printed at|reprint|contents|table of contents|answer key)\b')
- and not (len(ls)=0 or len(list_filter(ls, x -> regexp_matches(x,'^\d{{1,4}}$') or regexp_matches(x,'(?i)^(fig|table)\.?\s*\d+')))/greatest(len(ls),1)>0.2 or regexp_matches(text,'[\x07\x08\x{{fffd}}]'))
+ and not (len(ls)=0 or len(list_filter(ls, lambda x: regexp_matches(x,'^\d{{1,4}}$') or regexp_matches(x,'(?i)^(fig|table)\.?\s*\d+')))/greatest(len(ls),1)>0.2 or regexp_matches(text,'[\x07\x08\x{{fffd}}]'))
  and length(regexp_replace(text,'[^\p{{L}}]','','g'))/greatest(length(text),1)>0.45 as predicted from p),
 c as (select count(*) filter (predicted and actual) as tp, count(*) filter (predicted and not actual) as fp, count(*) filter (not predicted and actual) as fn, count(*) filter (not predicted and not actual) as tn from r)
 select *, case when tp+fp=0 then 100.0 else round(100.0*tp/(tp+fp),2) end as precision_pct, case when tp+fn=0 then 100.0 else round(100.0*tp/(tp+fn),2) end as recall_pct, case when 2*tp+fp+fn=0 then 100.0 else round(100.0*2*tp/(2*tp+fp+fn),2) end as f1_pct from c""")
@@ -494,7 +497,7 @@ def classifier_precision_recall(spark, d):
 
 @query(f"""with h as (select source, doc_id, {_WORDS.format('text')} as words, {_NORM.format('text')} as norm from documents), s as (select source, count(*) as documents, 1-count(distinct norm)/count(*) as dup, avg(words) as len, count(*) filter (words<10)/count(*) as short from h group by 1)
 select source, documents, round(dup,6) as duplicate_ratio, round(len,4) as average_words, f.failures, f.failures='' as passed from s,
- lateral (select array_to_string(list_filter([case when not dup<0.10 then 'duplicate_ratio' end, case when not (len between 200 and 400) then 'average_length' end, case when not short<0.05 then 'short_documents' end], x -> x is not null),',') as failures) f""")
+ lateral (select array_to_string(list_filter([case when not dup<0.10 then 'duplicate_ratio' end, case when not (len between 200 and 400) then 'average_length' end, case when not short<0.05 then 'short_documents' end], lambda x: x is not null),',') as failures) f""")
 def quality_gate(spark, d):
     h = table(spark, d, "documents").select("source", T.word_count("text").alias("words"), T.content_hash("text").alias("h"))
     s = h.groupBy("source").agg(F.count("*").alias("documents"), (1 - F.countDistinct("h") / F.count("*")).alias("dup"), F.avg("words").alias("len"), (F.count_if(F.col("words") < 10) / F.count("*")).alias("short"))
@@ -520,7 +523,7 @@ def stage_loss(spark, d):
     return Q.stage_of_loss(out, {"retrieval": F.col("documents") > 0, "dedup": F.col("kept") > 0, "extraction": F.col("tops") > 0})
 
 
-@query(r"""with u as (select page_id, url, regexp_extract(url,'^[a-z]+://([^/?#]+)',1) as host, list_filter(string_split(regexp_extract(url,'^[a-z]+://[^/?#]+([^?#]*)',1),'/'), x -> x<>'') as seg from pages)
+@query(r"""with u as (select page_id, url, regexp_extract(url,'^[a-z]+://([^/?#]+)',1) as host, list_filter(string_split(regexp_extract(url,'^[a-z]+://[^/?#]+([^?#]*)',1),'/'), lambda x: x<>'') as seg from pages)
 select page_id, host, regexp_extract(host,'([^.]+\.[^.]+)$',1) as site, coalesce(seg[1],'') as section, regexp_replace(regexp_replace(lower(coalesce(seg[len(seg)],'')),'[^a-z0-9]+','-','g'),'^-+|-+$','','g') as page, contains(url,'?') as has_query from u""")
 def url_metadata(spark, d):
     return table(spark, d, "pages").select("page_id", S.url_parts("url").alias("u")).select("page_id", "u.*")
