@@ -20,7 +20,7 @@ def path_metadata(path: str | F.Column) -> F.Column:
     p = F.col(path) if isinstance(path, str) else path
     parts = F.split(p, "/")
     name = F.element_at(parts, -1)
-    language = F.element_at(F.filter(parts, lambda x: T.language_code(x).isin("en", "hi", "kn", "ta", "te", "de", "fr", "es")), 1)
+    language = F.get(F.filter(parts, lambda x: T.language_code(x).isin("en", "hi", "kn", "ta", "te", "de", "fr", "es")), F.lit(0))
     return F.struct(T.grade_of(p).alias("grade"), T.subject_name(F.element_at(parts, -2)).alias("subject"), F.coalesce(T.language_code(language), F.lit("en")).alias("language"), T.chapter_title(name).alias("chapter"))
 
 
