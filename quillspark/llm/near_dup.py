@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import connected_components, cut, materialize
@@ -170,22 +170,46 @@ def shared_shingles(texts: DataFrame, repeated: DataFrame) -> DataFrame:
     return n.join(own, "rep", "left").select("rep", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("common"))
 
 
-def possible(placed: DataFrame, percent: int, step: float = 1.04) -> DataFrame:
-    """Pairs (a, b) across components of a bucket whose sizes do not rule out the similarity.
+def rare_first(texts: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """The rarest shingles of the documents in reps, so many that a linked pair shares one: rep, shingle, place, n.
 
-    placed: bucket, rep, part, main, n, common. Two sets share at most the smaller `common`, so x of size n
-    with c common shingles needs a partner of size from t * n to n / t and at most c / t - (n - c). Classes are
-    joined on bucket and on steps of size within those limits.
+    Shingles are ordered by how many of these documents have them. A partner has percent % of a set at least,
+    so it has one of the first n - ceil(n * percent / 100) + 1; shingles of one document only are left out.
     """
-    t = percent / 100
-    stair = lambda size: F.floor(F.log(size) / F.log(F.lit(step)) + 1e-9).cast("int")
-    low, high = F.col("n") * t, F.least(F.col("n") / t, F.col("common") / t - (F.col("n") - F.col("common")))
-    x = placed.where("part <> main").where(high >= F.greatest(low - 1e-6, F.lit(1.0)))
-    x = x.select("bucket", F.col("rep").alias("x"), F.col("part").alias("x_part"), F.col("n").alias("x_n"), F.col("common").alias("x_common"), F.explode(F.sequence(stair(F.greatest(low, F.lit(1.0))), stair(high))).alias("stair"))
-    y = placed.select("bucket", "rep", "part", "n", "common", stair(F.col("n")).alias("stair"))
-    most = F.least("common", "x_common")
-    fits = 100 * most >= percent * (F.col("n") + F.col("x_n") - most)
-    on = (x["bucket"] == y["bucket"]) & (x["stair"] == y["stair"]) & (F.col("part") != F.col("x_part")) & fits
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = WordHashes()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                sets = [shingles(t.as_py(), memo) for t in part.column(1)]
+                n = [len(s) for s in sets]
+                keys = [xxhash.xxh64_intdigest(s.tobytes()) for s in sets]
+                columns = [np.repeat(part.column(0).to_numpy(), n), np.repeat(np.array(keys, np.uint64).view(np.int64), n), np.repeat(np.array(n, np.int64), n), np.concatenate(sets).view(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["rep", "text_key", "n", "shingle"])
+
+    mixed = texts.join(reps.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi").select("doc_id", "text")
+    rows = mixed.mapInArrow(run, "rep long, text_key long, n long, shingle long")
+    common = rows.groupBy("shingle").agg(F.count("*").alias("owners")).where("owners > 1")
+    order = Window.partitionBy("rep", "text_key").orderBy(F.col("owners").asc_nulls_first(), "shingle")
+    placed = rows.join(common, "shingle", "left").withColumn("place", F.row_number().over(order))
+    return placed.where((F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)) + 1) & F.col("owners").isNotNull()).select("rep", "shingle", "place", "n")
+
+
+def possible(members: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that may be similar, of members(rep, part, outside).
+
+    One of the two is outside the largest component of a bucket. They share one of their rarest shingles, at
+    places that leave room for the similarity: with a shingle at place p the first to be shared, a set of size
+    n shares n - p + 1 at most, and t * (n + m) / (1 + t) are needed with a set of size m.
+    """
+    rows = rare_first(texts, members.select("rep").distinct(), percent).join(members, "rep")
+    most = F.floor((F.col("n") - F.col("place") + 1) * (100 + percent) / F.lit(percent) + 1e-9) - F.col("n")
+    rows = rows.withColumn("most", most)
+    x = rows.where("outside").select("shingle", F.col("rep").alias("x"), F.col("part").alias("x_part"), F.col("n").alias("x_n"), F.col("most").alias("x_most"))
+    y = rows.select("shingle", "rep", "part", "n", "most")
+    sizes = (100 * F.col("n") >= percent * F.col("x_n")) & (100 * F.col("x_n") >= percent * F.col("n"))
+    on = (x["shingle"] == y["shingle"]) & (F.col("part") != F.col("x_part")) & (F.col("n") <= F.col("x_most")) & (F.col("x_n") <= F.col("most")) & sizes
     return x.join(y, on).select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b")).distinct()
 
 
@@ -198,8 +222,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75, miss: float = 1e-6, seed
     Rows with the same set are one class, represented by its smallest doc_id. Classes that share a band are
     candidates. First each is compared with the most central class of its bucket, the one with the smallest
     share of shingles that no other candidate has. Then, where that leaves a bucket with several components,
-    those outside its largest one are compared with classes of other components whose sizes and numbers of
-    shared shingles allow the similarity at all. So a bucket of copies costs a pass over its members, and a link
+    those outside its largest one are compared with classes of other components that share one of their rarest
+    shingles, which every similar pair does. So a bucket of copies costs a pass over its members, and a link
     between components of a bucket is never missed. Candidates are pruned by `likely` with miss probability
     `miss`; survivors are compared on full sets, of the first kind only the best of each class.
 
@@ -232,7 +256,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75, miss: float = 1e-6, seed
     placed = buckets.join(part_of, "rep", "left").select("bucket", "rep", F.coalesce("part", "rep").alias("part"))
     counts = placed.groupBy("bucket", "part").agg(F.count("*").alias("members"))
     divided = counts.groupBy("bucket").agg(F.count("*").alias("parts"), F.max(F.struct("members", "part")).alias("top")).where("parts > 1").select("bucket", F.col("top.part").alias("main"))
-    crossing = possible(placed.join(divided, "bucket").join(sizes, "rep"), percent)
+    mixed = placed.join(divided, "bucket").groupBy("rep", "part").agg(F.bool_or(F.col("part") != F.col("main")).alias("outside"))
+    crossing = possible(mixed, texts, percent)
     more = cut(verified(likely(crossing, classes, percent / 100, miss), texts, percent).select(F.col("a").alias("src"), F.col("b").alias("dst")))
     parts = cut(connected_components(more.unionByName(parts.select(F.col("node").alias("src"), F.col("component").alias("dst")))))
 

@@ -63,4 +63,21 @@ def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_html_blocks, op2_langid, op3_rabitq, op4_separator_scan, op5_line_dedup, op6_toxicity, op7_decontaminate, op8_arc_to_warc, op9_fair_mix, op10_near_dup)}
 
-ORACLE_SQL: dict[str, str] = {}
+#: The others learn a model, search approximately, tokenise or depend on a hash that SQL doesn't have; tests
+#: hold them against brute force, round trips or held-out labels.
+ORACLE_SQL: dict[str, str] = {
+    "op8_arc_to_warc": """with p as (select page_id, cast(strlen(coalesce(html,'')) as bigint) as payload_bytes, sha1(coalesce(html,'')) as payload_digest from pages),
+w as (select *, max(page_id) over (partition by payload_digest) as top from p)
+select page_id, payload_bytes, payload_digest, case when payload_bytes>=1000 and page_id<top then 'revisit' else 'response' end as record_type,
+ case when payload_bytes>=1000 and page_id<top then top end as refers_to from w""",
+    "op10_near_dup": r"""with recursive d as (select doc_id, regexp_extract_all(translate(text,'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz'),'[^\x20\x09-\x0D]+') as w from documents),
+u as (select doc_id, unnest(w) as w, unnest(range(len(w))) as i, len(w) as n from d),
+g as (select doc_id, n, w||' '||lead(w,1) over o||' '||lead(w,2) over o||' '||lead(w,3) over o||' '||lead(w,4) over o as s from u window o as (partition by doc_id order by i)),
+s as (select distinct doc_id, s from (select doc_id, s from g where n>=5 and s is not null union all select doc_id, array_to_string(w,' ') from d where len(w) between 1 and 4)),
+c as (select doc_id, count(*) as n from s group by 1),
+p as (select a.doc_id as x, b.doc_id as y, count(*) as k from s a join s b on a.s=b.s and a.doc_id<>b.doc_id group by 1,2),
+e as (select x, y from p join c cx on cx.doc_id=x join c cy on cy.doc_id=y where 100*k>=75*(cx.n+cy.n-k)),
+r(doc_id, root) as (select doc_id, doc_id from documents union select e.y, r.root from r join e on e.x=r.doc_id),
+m as (select doc_id, min(root) as component_id from r group by 1)
+select d.doc_id, coalesce(c.n,0) as n_shingles, component_id, d.doc_id=component_id as kept from d join m on m.doc_id=d.doc_id left join c on c.doc_id=d.doc_id""",
+}
