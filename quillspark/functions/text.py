@@ -179,7 +179,7 @@ def clamp(x: Column, low: float, high: float) -> Column:
 def nearest_rank(values: Column, p: float) -> Column:
     """Aggregate: the value at index round-half-even(p * (n - 1)) of the sorted values.
 
-    Counted by value first, so a group's state is its distinct values, not its rows.
+    It holds the group's values, so it is for groups of bounded size; doc_text_profile ranks large ones.
     """
     ordered = F.array_sort(F.collect_list(values))
     return F.element_at(ordered, (F.rint(F.lit(p) * (F.size(ordered) - 1)) + 1).cast("int"))
