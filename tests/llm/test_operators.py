@@ -178,7 +178,7 @@ def brute_lines(docs):
     occurrences = defaultdict(list)
     for i, text in docs:
         for no, line in enumerate((text or "").split("\n")):
-            norm = " ".join(re.sub(r"[^\w]|_", " ", line.lower()).split())
+            norm = " ".join(x for x in re.split("[\\x00-/:-@\\[-`{-\\x7f]+", line.lower()) if x)
             if len(norm.split()) >= 5:
                 occurrences[norm].append((i, no))
     lines = sorted(occurrences)
