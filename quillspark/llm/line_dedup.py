@@ -14,8 +14,8 @@ PIECE = 127
 _ONES = 0x0101010101010101
 _LOW = (1 << 56) - 1
 _TOPS = -0x7F7F7F7F7F7F7F80  # 0x8080808080808080 as a signed long
-#: Codes of 63 bits are cut into four blocks. Codes that differ in at most two bits agree on two of them.
-BLOCKS = ((0, 16), (16, 16), (32, 16), (48, 15))
+#: Codes of 63 bits are cut into RADIUS + 2 blocks. Codes that differ in at most RADIUS bits agree on two of them.
+BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 12), (51, 12))
 RADIUS = 3
 #: Two lines that differ in more characters than this are not taken for one, however long they are.
 MOST_EDITS = 200
@@ -198,7 +198,7 @@ def dedup_lines(docs: DataFrame, least_words: int = 5, similarity: float = 0.9)
     """docs without repeated and fuzzily repeated lines; same columns, text changed, n_chars made to fit.
 
     Two lines of at least least_words words are linked if equal after normalising, or if their SimHash codes
-    agree on two of four blocks and differ in at most RADIUS of 63 bits, and their edit distance is at most 1 - similarity of the longer one's
+    differ in at most RADIUS of 63 bits, and their edit distance is at most 1 - similarity of the longer one's
     length and at most MOST_EDITS. Links make groups; of each group one occurrence stays. Lines that stay keep their exact text and
     order. Shorter and empty lines stay, as do lines of a document that loses nothing.
 

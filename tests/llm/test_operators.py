@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from quillspark.llm import arc_convert, decontaminate, fair_mix, html_blocks, langid, line_dedup, near_dup, rabitq, separator_scan, toxicity
 
@@ -234,6 +235,14 @@ def test_line_codes(spark):
     assert {r.doc_id: r.code for r in rows} == {i: code_of(x.split()) for i, x in enumerate(norms)}
 
 
+def test_line_blocks_cover_radius(spark):
+    r = random.Random(9)
+    codes = [r.getrandbits(63) for _ in range(300)]
+    pairs = [(x, x ^ sum(1 << i for i in r.sample(range(63), line_dedup.RADIUS))) for x in codes]
+    df = spark.createDataFrame(pairs, "x long, y long").select(F.arrays_overlap(line_dedup.block_keys(F.col("x")), line_dedup.block_keys(F.col("y"))).alias("meet"))
+    assert df.where("meet").count() == len(pairs)
+
+
 def test_line_dedup_odd(spark):
     odd = line_dedup.dedup_lines(odd_docs(spark))
     assert odd.columns == odd_docs(spark).columns
