@@ -15,8 +15,8 @@ _ONES = 0x0101010101010101
 _LOW = (1 << 56) - 1
 _TOPS = -0x7F7F7F7F7F7F7F80  # 0x8080808080808080 as a signed long
 #: Codes of 63 bits are cut into RADIUS + 2 blocks. Codes that differ in at most RADIUS bits agree on two of them.
-BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 12), (51, 12))
-RADIUS = 3
+BLOCKS = ((0, 9), (9, 9), (18, 9), (27, 9), (36, 9), (45, 9), (54, 9))
+RADIUS = 5
 #: Two lines that differ in more characters than this are not taken for one, however long they are.
 MOST_EDITS = 200
 #: Lines of more words than this have their codes from pieces.
@@ -79,24 +79,25 @@ def lines_of(docs: DataFrame, least_words: int, least_chars: int = 0) -> DataFra
 
 
 def codes_of(docs: DataFrame, least_words: int) -> DataFrame:
-    """Every line that takes part: doc_id, line_no, line (hash of its words), code (63-bit SimHash of its words).
+    """Every line that takes part: doc_id, line_no, line (hash of its words), code (63-bit SimHash of its words), chars (length of its words joined).
 
     Each occurrence of a word votes with the bits of its hash. Words are exploded and their votes summed in
     generated code: nine longs count seven bits each, in lanes of nine bits. A line of more than LONG_LINE
     words has the majority of the codes of its pieces, with pieces of pieces up to four levels; no line of
     fewer than 2 * LONG_LINE - 1 characters can be one, which spares the rest a second look.
     """
+    chars = F.length(F.array_join("words", " "))
     short = lines_of(docs, least_words).where(F.size("words") <= LONG_LINE)
-    words = short.select("doc_id", "line_no", F.xxhash64("words").alias("line"), F.explode("words").alias("word"))
-    votes = words.select("doc_id", "line_no", "line", F.xxhash64("word").alias("h"))
+    words = short.select("doc_id", "line_no", F.xxhash64("words").alias("line"), chars.alias("chars"), F.explode("words").alias("word"))
+    votes = words.select("doc_id", "line_no", "line", "chars", F.xxhash64("word").alias("h"))
     lane = lambda i: F.shiftrightunsigned("h", i).bitwiseAND(F.lit(_LANES))
-    sums = votes.groupBy("doc_id", "line_no", "line").agg(*[F.sum(lane(i)).alias(f"c{i}") for i in range(9)], F.count("*").alias("n"))
+    sums = votes.groupBy("doc_id", "line_no", "line").agg(*[F.sum(lane(i)).alias(f"c{i}") for i in range(9)], F.count("*").alias("n"), F.min("chars").alias("chars"))
     half = F.lit(255) - F.floor(F.col("n") / 2)
     bits = lambda i: F.shiftleft(F.shiftrightunsigned((F.col(f"c{i}") + half * F.lit(_LANES)).bitwiseAND(F.lit(_LANES << 8)), 8), i)
-    out = sums.select("doc_id", "line_no", "line", _union([bits(i) for i in range(9)]).alias("code"))
+    out = sums.select("doc_id", "line_no", "line", _union([bits(i) for i in range(9)]).alias("code"), "chars")
 
     long = lines_of(docs, least_words, 2 * LONG_LINE - 1).where(F.size("words") > LONG_LINE)
-    long = long.select("doc_id", "line_no", F.xxhash64("words").alias("line"), F.transform("words", lambda w: F.xxhash64(w)).alias("code"))
+    long = long.select("doc_id", "line_no", F.xxhash64("words").alias("line"), F.transform("words", lambda w: F.xxhash64(w)).alias("code"), chars.alias("chars"))
     for _ in range(4):
         long = long.withColumn("code", F.when(F.size("code") <= PIECE, F.col("code")).otherwise(_pieces(F.col("code"))))
     return out.unionByName(long.withColumn("code", _majority(F.col("code")).bitwiseAND(F.lit((1 << 63) - 1))))
@@ -134,6 +135,19 @@ def _perhaps_in(rows: DataFrame, column: str, bitmap: DataFrame) -> DataFrame:
     return keyed.join(F.broadcast(bitmap), "word").where(F.call_function("shiftrightunsigned", F.col("bits"), F.col("_bit")).bitwiseAND(F.lit(1)) == 1).select(*rows.columns)
 
 
+def _texts(docs: DataFrame, lines: DataFrame, nodes: DataFrame, pairs: DataFrame, label: str) -> DataFrame:
+    """line, norm (its words joined) of the lines in pairs."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("line")).distinct()
+    wanted = nodes.join(wanted, "line", "left_semi").select("line", F.col("first_doc").alias("doc_id"))
+    places = lines.join(wanted, ["line", "doc_id"]).groupBy("doc_id", "line").agg(F.min("line_no").alias("line_no"))
+    places = materialize(places.groupBy("doc_id").agg(F.collect_list(F.struct("line", "line_no")).alias("places")), f"{label}-places")
+    named = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    some = _perhaps_in(named, "doc_id", _bitmap(places, "doc_id")).join(places, "doc_id")
+    texts = some.select(F.split("text", "\n").alias("raw"), F.explode("places").alias("p"))
+    texts = texts.select("p.line", words_of(F.get("raw", F.col("p.line_no"))).alias("words")).where(F.xxhash64("words") == F.col("line"))
+    return materialize(texts.select("line", F.array_join("words", " ").alias("norm")).distinct(), f"{label}-texts")
+
+
 def line_groups(docs: DataFrame, lines: DataFrame, least_words: int = 5, similarity: float = 0.9) -> DataFrame:
     """Distinct normalised lines that occur more than once or are linked to another line.
 
@@ -142,37 +156,36 @@ def line_groups(docs: DataFrame, lines: DataFrame, least_words: int = 5, similar
 
     Lines in a bucket, that is with two equal blocks, are first compared with the commonest line of the bucket;
     where that leaves a bucket with several components, lines outside its largest one are compared with those
-    of other components. So a bucket of one group costs a pass, and no link is missed. Texts are fetched for
-    lines that may be linked only, from the first document that has them.
+    of other components. So a bucket of one group costs a pass, and no link is missed. Texts are fetched twice,
+    for each pass those of lines whose codes and lengths allow a link, from the first document that has them.
     """
-    nodes = materialize(lines.groupBy("line", "code").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n")), "line-nodes")
-    buckets = nodes.select("line", "code", "n", F.explode(block_keys(F.col("code"))).alias("bucket"))
+    nodes = materialize(lines.groupBy("line", "code").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n"), F.min("chars").alias("chars")), "line-nodes")
+    buckets = nodes.select("line", "code", "n", "chars", F.explode(block_keys(F.col("code"))).alias("bucket"))
     running = Window.partitionBy("bucket").orderBy(F.desc("n"), "line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    star = buckets.select("bucket", F.col("line").alias("b"), F.col("code").alias("code_b"), F.first("line").over(running).alias("a"), F.first("code").over(running).alias("code_a")).where("a <> b")
+    star = buckets.select("bucket", F.col("line").alias("b"), F.col("code").alias("b_code"), F.col("chars").alias("b_chars"), *[F.first(c).over(running).alias(a) for c, a in (("line", "a"), ("code", "a_code"), ("chars", "a_chars"))]).where("a <> b")
     star = materialize(star, "line-stars")
-    close = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= RADIUS
-    several = star.groupBy("bucket").agg(F.count("*").alias("others")).where("others > 1").select("bucket")
-    wanted = star.where(close("code_a", "code_b")).select(F.explode(F.array("a", "b")).alias("line")).unionByName(star.join(several, "bucket", "left_semi").select(F.col("b").alias("line"))).distinct()
-    wanted = nodes.join(wanted, "line", "left_semi").select("line", F.col("first_doc").alias("doc_id"))
-    places = lines.join(wanted, ["line", "doc_id"]).groupBy("doc_id", "line").agg(F.min("line_no").alias("line_no"))
-    places = materialize(places.groupBy("doc_id").agg(F.collect_list(F.struct("line", "line_no")).alias("places")), "line-places")
-    named = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    some = _perhaps_in(named, "doc_id", _bitmap(places, "doc_id")).join(places, "doc_id")
-    texts = some.select(F.split("text", "\n").alias("raw"), F.explode("places").alias("p"))
-    texts = texts.select("p.line", words_of(F.get("raw", F.col("p.line_no"))).alias("words")).where(F.xxhash64("words") == F.col("line"))
-    texts = materialize(texts.select("line", F.array_join("words", " ").alias("norm")).distinct(), "line-texts")
-    edges = cut(_similar(star.where(close("code_a", "code_b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), texts, similarity))
+
+    def close(x: str, y: str) -> Column:
+        """Codes within RADIUS, and lengths that the similarity allows."""
+        most = F.floor((1 - F.lit(similarity)) * F.greatest(x + "_chars", y + "_chars"))
+        return (F.bit_count(F.col(x + "_code").bitwiseXOR(F.col(y + "_code"))) <= RADIUS) & (F.abs(F.col(x + "_chars") - F.col(y + "_chars")) <= most)
+
+    def linked(pairs: DataFrame, label: str) -> DataFrame:
+        pairs = materialize(pairs, f"{label}-pairs")
+        return cut(_similar(pairs, _texts(docs, lines, nodes, pairs, label), similarity))
+
+    edges = linked(star.where(close("a", "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "line-star")
     parts = cut(connected_components(edges))
 
-    members = star.select("bucket", F.col("b").alias("line"), F.col("code_b").alias("code")).unionByName(star.select("bucket", F.col("a").alias("line"), F.col("code_a").alias("code")).distinct())
-    placed = members.join(parts.withColumnRenamed("node", "line"), "line", "left").select("bucket", "line", "code", F.coalesce("component", "line").alias("part"))
+    members = star.select("bucket", F.col("b").alias("line"), F.col("b_code").alias("y_code"), F.col("b_chars").alias("y_chars")).unionByName(star.select("bucket", F.col("a").alias("line"), F.col("a_code").alias("y_code"), F.col("a_chars").alias("y_chars")).distinct())
+    placed = members.join(parts.withColumnRenamed("node", "line"), "line", "left").select("bucket", "line", "y_code", "y_chars", F.coalesce("component", "line").alias("part"))
     sizes = placed.groupBy("bucket", "part").agg(F.count("*").alias("n"))
     divided = sizes.groupBy("bucket").agg(F.count("*").alias("parts"), F.max(F.struct("n", "part")).alias("top")).where("parts > 1").select("bucket", F.col("top.part").alias("main"))
     mixed = placed.join(divided, "bucket")
-    outside = mixed.where("part <> main").select("bucket", F.col("line").alias("x"), F.col("code").alias("x_code"), F.col("part").alias("x_part"))
-    other = mixed.select("bucket", "line", "code", "part")
-    crossing = outside.join(other, (outside["bucket"] == other["bucket"]) & (F.col("part") != F.col("x_part")) & close("x_code", "code")).select(F.least("x", "line").alias("a"), F.greatest("x", "line").alias("b")).distinct()
-    more = cut(_similar(crossing, texts, similarity))
+    outside = mixed.where("part <> main").select("bucket", F.col("line").alias("x"), F.col("y_code").alias("x_code"), F.col("y_chars").alias("x_chars"), F.col("part").alias("x_part"))
+    other = mixed.select("bucket", "line", "y_code", "y_chars", "part")
+    crossing = outside.join(other, (outside["bucket"] == other["bucket"]) & (F.col("part") != F.col("x_part")) & close("x", "y")).select(F.least("x", "line").alias("a"), F.greatest("x", "line").alias("b")).distinct()
+    more = linked(crossing, "line-crossing")
     parts = cut(connected_components(more.unionByName(parts.select(F.col("node").alias("src"), F.col("component").alias("dst")))))
 
     named = nodes.join(parts.withColumnRenamed("node", "line"), "line", "left")

@@ -243,6 +243,21 @@ def test_line_blocks_cover_radius(spark):
     assert df.where("meet").count() == len(pairs)
 
 
+def test_line_dedup_links_lightly_edited_lines():
+    """Recall of edit similarity >= 0.9 on lines of 40 words with one word replaced."""
+    r = random.Random(4)
+    vocabulary = ["".join(r.choice("abcdefghij") for _ in range(r.randint(2, 8))) for _ in range(3000)]
+    near = []
+    while len(near) < 200:
+        w = r.choices(vocabulary, [1 / (i + 1) for i in range(3000)], k=40)
+        x = [*w]
+        x[r.randrange(40)] = r.choice(vocabulary)
+        a, b = " ".join(w), " ".join(x)
+        if a != b and edit(a, b) <= int(0.1 * max(len(a), len(b)) + 1e-9):
+            near.append(bin(code_of(w) ^ code_of(x)).count("1") <= line_dedup.RADIUS)
+    assert sum(near) >= 0.75 * len(near)
+
+
 def test_line_dedup_odd(spark):
     odd = line_dedup.dedup_lines(odd_docs(spark))
     assert odd.columns == odd_docs(spark).columns
