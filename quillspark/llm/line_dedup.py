@@ -17,8 +17,6 @@ _TOPS = -0x7F7F7F7F7F7F7F80  # 0x8080808080808080 as a signed long
 #: Codes of 63 bits are cut into RADIUS + 2 blocks. Codes that differ in at most RADIUS bits agree on two of them.
 BLOCKS = ((0, 9), (9, 9), (18, 9), (27, 9), (36, 9), (45, 9), (54, 9))
 RADIUS = 5
-#: Two lines that differ in more characters than this are not taken for one, however long they are.
-MOST_EDITS = 200
 #: Lines of more words than this have their codes from pieces.
 LONG_LINE = 500
 #: Seven lanes of nine bits.
@@ -114,9 +112,9 @@ def block_keys(code: Column) -> Column:
 
 
 def _similar(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of lines whose edit distance is at most (1 - similarity) of the longer one's length, and MOST_EDITS."""
+    """Pairs (a, b) of lines whose edit distance is at most (1 - similarity) of the longer one's length."""
     joined = pairs.select("a", "b").join(texts.select(F.col("line").alias("b"), F.col("norm").alias("norm_b")), "b").join(texts.select(F.col("line").alias("a"), F.col("norm").alias("norm_a")), "a")
-    most = f"cast(least({MOST_EDITS}, floor((1 - {similarity!r}D) * greatest(length(norm_a), length(norm_b)))) as int)"
+    most = f"cast(floor((1 - {similarity!r}D) * greatest(length(norm_a), length(norm_b)) + 1e-9D) as int)"
     near = F.abs(F.length("norm_a") - F.length("norm_b")) <= F.expr(most)
     return joined.where(near & F.expr(f"levenshtein(norm_a, norm_b, {most}) >= 0")).select(F.col("a").alias("src"), F.col("b").alias("dst"))
 
@@ -167,7 +165,7 @@ def line_groups(docs: DataFrame, lines: DataFrame, least_words: int = 5, similar
 
     def close(x: str, y: str) -> Column:
         """Codes within RADIUS, and lengths that the similarity allows."""
-        most = F.floor((1 - F.lit(similarity)) * F.greatest(x + "_chars", y + "_chars"))
+        most = F.floor((1 - F.lit(similarity)) * F.greatest(x + "_chars", y + "_chars") + 1e-9)
         return (F.bit_count(F.col(x + "_code").bitwiseXOR(F.col(y + "_code"))) <= RADIUS) & (F.abs(F.col(x + "_chars") - F.col(y + "_chars")) <= most)
 
     def linked(pairs: DataFrame, label: str) -> DataFrame:
@@ -212,7 +210,7 @@ def dedup_lines(docs: DataFrame, least_words: int = 5, similarity: float = 0.9)
 
     Two lines of at least least_words words are linked if equal after normalising, or if their SimHash codes
     differ in at most RADIUS of 63 bits, and their edit distance is at most 1 - similarity of the longer one's
-    length and at most MOST_EDITS. Links make groups; of each group one occurrence stays. Lines that stay keep their exact text and
+    length. Links make groups; of each group one occurrence stays. Lines that stay keep their exact text and
     order. Shorter and empty lines stay, as do lines of a document that loses nothing.
 
     A row all of whose lines of least_words words are dropped goes as a whole, as nothing but scraps would

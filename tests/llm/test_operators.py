@@ -258,6 +258,18 @@ def test_line_dedup_links_lightly_edited_lines():
     assert sum(near) >= 0.75 * len(near)
 
 
+def test_line_dedup_long_lines(spark):
+    """Edits are bound by the length alone; a tenth of it is allowed exactly."""
+    base = " ".join(f"w{i % 97}x{i % 89}" for i in range(480))
+    far = base[:-1600] + base[-1600:].replace("x", "y").replace("w1", "u1")
+    edge = "abcd " * 20
+    pairs = spark.createDataFrame([(1, 2), (3, 4), (3, 5)], "a long, b long")
+    texts = [(1, base), (2, far), (3, edge), (4, edge.replace("a", "z", 10)), (5, edge.replace("a", "z", 11))]
+    assert 200 < sum(x != y for x, y in zip(base, far, strict=True)) <= len(base) // 10
+    got = line_dedup._similar(pairs, spark.createDataFrame(texts, "line long, norm string"), 0.9).collect()
+    assert {(r.src, r.dst) for r in got} == {(1, 2), (3, 4)}
+
+
 def test_line_dedup_odd(spark):
     odd = line_dedup.dedup_lines(odd_docs(spark))
     assert odd.columns == odd_docs(spark).columns
