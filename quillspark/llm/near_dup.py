@@ -175,6 +175,7 @@ def rare_first(texts: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
 
     Shingles are ordered by how many of these documents have them. A partner has percent % of a set at least,
     so it has one of the first n - ceil(n * percent / 100) + 1; shingles of one document only are left out.
+    Rows of one doc_id with the same set count once.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,7 +190,9 @@ def rare_first(texts: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["rep", "text_key", "n", "shingle"])
 
     mixed = texts.join(reps.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi").select("doc_id", "text")
-    rows = mixed.mapInArrow(run, "rep long, text_key long, n long, shingle long")
+    repeated = texts.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id")
+    of = lambda docs: docs.mapInArrow(run, "rep long, text_key long, n long, shingle long")
+    rows = of(mixed.join(repeated, "doc_id", "left_anti")).unionByName(of(mixed.join(repeated, "doc_id", "left_semi")).distinct())
     common = rows.groupBy("shingle").agg(F.count("*").alias("owners")).where("owners > 1")
     order = Window.partitionBy("rep", "text_key").orderBy(F.col("owners").asc_nulls_first(), "shingle")
     placed = rows.join(common, "shingle", "left").withColumn("place", F.row_number().over(order))
@@ -240,8 +243,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75, miss: float = 1e-6, seed
     shared = buckets.groupBy("bucket").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least < most").select("bucket")
     buckets = materialize(buckets.join(shared, "bucket"), "near-buckets")
     wanted = buckets.select(F.col("rep").alias("doc_id")).distinct()
-    texts = materialize(named.join(wanted, "doc_id", "left_semi"), "near-texts")
     repeated = known.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    texts = named.join(wanted, "doc_id", "left_semi")
+    texts = materialize(texts.join(repeated, "doc_id", "left_anti").unionByName(texts.join(repeated, "doc_id", "left_semi").distinct()), "near-texts")
     sizes = materialize(shared_shingles(texts, repeated), "near-sizes")
 
     central = F.struct((F.col("n") - F.col("common")) / F.col("n"), "rep")

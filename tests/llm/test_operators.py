@@ -447,6 +447,23 @@ def test_near_duplicates_against_brute_force(spark):
     assert ids(kept) == sorted({c for _, c in want.values()})
 
 
+def test_possible_with_repeated_rows(spark):
+    """Every similar pair is possible, however often the rows of a document are repeated, and whatever their case."""
+    r = random.Random(8)
+    docs = []
+    for i in range(0, 40, 2):
+        w = [f"w{i}x{k}" for k in range(100)]
+        x = [*w]
+        x[20], x[70] = "other", "another"
+        docs += [(i, " ".join(w)), (i + 1, " ".join(x))]
+    want = {(i, i + 1) for i in range(0, 40, 2)}
+    assert {(i, c) for i, (_, c) in brute_components(docs).items() if i != c} == {(b, a) for a, b in want}
+    rows = [(i, t.upper() if k % 2 and i % 4 else t) for i, t in docs for k in range(r.randint(3, 6) if i % 2 == 0 else 1)]
+    members = spark.createDataFrame([(i, i, True) for i, _ in docs], "rep long, part long, outside boolean")
+    got = {(x.a, x.b) for x in near_dup.possible(members, spark.createDataFrame(rows, "doc_id long, text string"), 75).collect()}
+    assert got == want
+
+
 def test_near_duplicates_odd(spark):
     out = near_dup.near_duplicates(odd_docs(spark)).collect()
     assert sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in out) == [(0, 0, True), (1, 1, True), (1, 1, True), (2, 2, True), (3, 3, True), (4, 4, True), (5, 5, True)]
