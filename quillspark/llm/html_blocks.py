@@ -16,10 +16,12 @@ BESIDE = ("nav", "footer", "aside", "form", "dialog", "menu")
 #: Elements that begin and end a line. Others are inline.
 BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody tfoot thead tr ul caption".split())
 #: Elements that may carry a name that marks their content as being beside the article.
-HOLDERS = frozenset("div section ul ol p span table td tr li header details figure main".split())
-#: Parts of class, id or role values that mark menus, adverts, notices, comments and the like.
+HOLDERS = frozenset("div section ul ol p span table td tr li header details figure main article".split())
+#: Class, id or role values, each as a whole, that mark menus, adverts, notices, comments and the like. A mark may have a name before it that says where or whose, and one after it that says what it looks like.
 MARKS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|adsense|banner|breadcrumbs?|combx|comments?|commentlist|complementary|contentinfo|cookies?|consent|copyright|disclaimer|discussion|disqus|foot|footer|gdpr|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|alert|popup|promo|promoted|related|recommended|replies|search|share|sharing|sidebar|side|skip|social|sponsor|sponsored|subscribe|toolbar|topbar|widget|site-header|page-header)(?:$|[\s_-])",
+    r"(?:^|\s)(?:(?:site|page|main|top|bottom|left|right|global|post|entry|blog|user|reader|cookie|social|primary|secondary)[_-])*"
+    r"(?:ads?|adverts?|advertisement|adsense|banner|breadcrumbs?|combx|comments?|commentlist|complementary|contentinfo|cookies?|consent|copyright|disclaimer|discussion|disqus|foot|footer|gdpr|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|alert|popup|promo|promoted|related|recommended|replies|search|share|sharing|sidebar|side|skip|social|sponsor|sponsored|subscribe|toolbar|topbar|widget|site-header|page-header)"
+    r"(?:[_-](?:area|bar|block|body|box|buttons?|container|content|form|items?|links?|list|menu|notice|panel|posts?|section|text|thread|wrap|wrapper|\d+))*(?=$|\s)",
     re.I,
 )
 NAMED = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -27,12 +29,22 @@ TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?
 ENDS = {name: re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I) for name in RAW}
 
 
+def _closes(page: str, at: int, name: str, depth: int) -> bool:
+    """Whether an element that is open `depth` deep is closed after a place in a page."""
+    for m in TOKEN.finditer(page, at):
+        if m[2] is not None and m[2].lower() == name and not m[3].rstrip().endswith("/"):
+            depth += -1 if m[1] else 1
+            if depth <= 0:
+                return True
+    return False
+
+
 def page_lines(page: str) -> list[tuple[str, int, bool]]:
     """Lines of a page in order: (text, characters in links, inside an article). Stripped parts leave empty lines."""
     lines: list[tuple[str, int, bool]] = []
     parts: list[str] = []
     linked = at = article = link_from = 0
-    skip, depth, in_link = "", 0, False
+    skip, depth, in_link, held = "", 0, False, None
 
     def flush() -> None:
         nonlocal parts, linked
@@ -66,7 +78,9 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
             continue
         name, closing = m[2].lower(), bool(m[1])
         if skip:
-            if name in ("article", "main") and not closing and skip not in ("article", "main"):
+            if name in ("article", "main") and not closing and skip not in ("article", "main") and held is None:
+                held = skip not in ("header", "form") and name == "article" and _closes(page, at, skip, depth)
+            if name in ("article", "main") and not closing and skip not in ("article", "main") and not held:
                 skip = ""  # an unclosed element beside the article
             elif name == skip:
                 if m[3].rstrip().endswith("/"):
@@ -97,7 +111,7 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
                 beside = any(MARKS.search(next(filter(None, v), "")) for v in NAMED.findall(m[3]))
             if beside:
                 gap()
-                skip, depth, in_link = name, 1, False
+                skip, depth, in_link, held = name, 1, False, None
                 continue
         if name in BLOCK:
             flush()
@@ -114,8 +128,8 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
 def main_text(page: str | None, window: int = 3, surge: int = 30, link_share: float = 0.5) -> str:
     """The text between surge and dive points of one page.
 
-    Each line weighs its characters outside links (0 where a page has an article and the line stands outside
-    it). The block at a line is the sum of weights of `window` lines from it, where an empty line, left by
+    Each line weighs its characters outside links. Where a page has an article, lines outside it weigh a
+    quarter, stretches end at its borders, and all lines inside it are kept. The block at a line is the sum of weights of `window` lines from it, where an empty line, left by
     stripped parts, ends the block. A surge is a line whose block reaches `surge` after the stretch before it
     was empty, a dive the point where the block falls to 0. Lines from surge to dive are kept. Where no block
     surges, the heaviest stretch is kept.
@@ -123,7 +137,8 @@ def main_text(page: str | None, window: int = 3, surge: int = 30, link_share: fl
     lines = page_lines(page) if page else []
     has_article = any(inside and text for text, _, inside in lines)
     stretches: list[tuple[int, list[str]]] = []
-    weights = [0 if has_article and not inside else len(t) - n if n < link_share * len(t) or inside and has_article else 0 for t, n, inside in lines]
+    share = [1 if inside or not has_article else 0.25 for _, _, inside in lines]
+    weights = [(len(t) - n) * by if n < link_share * len(t) or inside and has_article else 0 for (t, n, inside), by in zip(lines, share, strict=True)]
     texts = [t for t, _, _ in lines]
     i = 0
     while i < len(lines):
@@ -131,17 +146,17 @@ def main_text(page: str | None, window: int = 3, surge: int = 30, link_share: fl
             i += 1
             continue
         j, best = i, 0
-        while j < len(lines) and weights[j]:
+        while j < len(lines) and weights[j] and share[j] == share[i]:
             block = 0
             for k in range(j, min(j + window, len(lines))):
-                if not weights[k]:
+                if not weights[k] or share[k] != share[i]:
                     break
                 block += weights[k]
             best = max(best, block)
             j += 1
-        stretches.append((best, texts[i:j]))
+        stretches.append((max(best, surge) if has_article and share[i] == 1 else best, texts[i:j]))
         i = j
-    kept = [s for s in stretches if s[0] >= surge or has_article]
+    kept = [s for s in stretches if s[0] >= surge]
     if not kept and stretches:
         kept = [max(stretches, key=lambda s: s[0])]
     return "\n\n".join(t for _, s in kept for t in s)

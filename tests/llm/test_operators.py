@@ -52,6 +52,17 @@ def test_html_blocks_cases():
         assert html_blocks.main_text(page) == text
 
 
+def test_html_blocks_articles_beside_the_text():
+    text = "The main text of this page stands in an element of no special kind. " * 4
+    main = f"<div><p>{text}</p></div>"
+    want = text.strip()
+    said = "<p>A reader says that this is a very good text about something.</p>"
+    pages = [f"{main}<section id=comments><article>{said}</article><article>{said}</article></section>", f"{main}<article class='comment'>{said}</article>", f"{main}<aside><article>{said}</article></aside>", f"<main class='site-main no-sidebar'><p>{text}</p></main>", f"<div class='content has-sidebar'><p>{text}</p></div>", f"{main}<div class='post-comments'>{said}</div>"]
+    assert [html_blocks.main_text(p) for p in pages] == [want] * len(pages)
+    teaser = f"{main}<article><p>Read on elsewhere.</p></article>"
+    assert html_blocks.main_text(teaser) == want + "\n\nRead on elsewhere."
+
+
 def test_html_blocks_on_pages(spark, sf):
     pages = table(spark, sf, "pages")
     got = {r.page_id: r for r in html_blocks.extract(pages).collect()}
