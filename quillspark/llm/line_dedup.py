@@ -2,29 +2,30 @@
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import connected_components, cut, materialize
 
-#: Words of a piece of a line; counts of a bit in a piece fit seven bits.
-PIECE = 127
-_ONES = 0x0101010101010101
-_LOW = (1 << 56) - 1
-_TOPS = -0x7F7F7F7F7F7F7F80  # 0x8080808080808080 as a signed long
-#: Codes of 63 bits are cut into RADIUS + 2 blocks. Codes that differ in at most RADIUS bits agree on two of them.
-BLOCKS = ((0, 9), (9, 9), (18, 9), (27, 9), (36, 9), (45, 9), (54, 9))
-RADIUS = 5
-#: Lines of more words than this have their codes from pieces.
-LONG_LINE = 500
-#: Seven lanes of nine bits.
+#: Codes of linked lines differ in at most so many of 63 bits.
+RADIUS = 14
+#: Votes for a bit are counted in lanes of nine bits; lines of more voting words have no code either.
+CODED_WORDS = 511
 _LANES = sum(1 << (9 * i) for i in range(7))
+#: Sixteen longs of two blocks each: a word's hash falls in one of 32 blocks.
+LONGS = 16
+#: Blocks joined two by two are drawn from these sets, so any four of eight blocks hold a pair, and any three of four.
+PAIRS_OF_8 = [(i, j) for group in ((0, 1, 2), (3, 4, 5), (6, 7)) for i in group for j in group if i < j]
+PAIRS_OF_4 = [(i, j) for i in range(4) for j in range(i)]
+#: Keys by the words of a line: (fewest words, most words, blocks of a line, blocks a key has). A range goes on past
+#: the start of the next, as a line may have fewer words than one it is linked with.
+FAMILIES = ((0, 22, 4, PAIRS_OF_4), (13, 66, 8, PAIRS_OF_8), (58, 132, 8, None), (116, 264, 16, None), (232, None, 32, None))
+#: Only words of so many characters vote, as the commonest words are short and would make all long lines alike. Lines
+#: with fewer such words than VOTERS have no code and are held to the edit similarity alone.
+LEAST_CHARS, VOTERS = 5, 4
 #: Words of 64 bits of a bitmap of ids; a broadcast bitmap has at most so many rows, whatever the input.
 BITMAP_WORDS = 1 << 18
 
-
 #: ASCII characters that are no letters or digits. Every run of them separates words.
 SEPARATORS = "[\\x00-/:-@\\[-`{-\\x7f]+"
 
@@ -34,25 +35,13 @@ def words_of(line: Column) -> Column:
     return F.array_remove(F.split(F.lower(line), SEPARATORS), "")
 
 
-def _majority(hashes: Column) -> Column:
-    """For up to PIECE 64-bit hashes, the bits that more than half of them have.
-
-    Each of eight longs counts eight of the bits, in lanes of eight bits, so adding a hash is eight additions.
-    """
-    lanes = [f"c{i}" for i in range(8)]
-    zero = F.struct(*[F.lit(0).cast("long").alias(c) for c in lanes])
-    add = lambda s, h: F.struct(*[(s[c] + F.shiftrightunsigned(h, i).bitwiseAND(F.lit(_ONES))).alias(c) for i, c in enumerate(lanes)])
+def row_key(docs: DataFrame) -> Column:
+    """What tells rows apart: equal only for rows of the same doc_id and text."""
+    return F.xxhash64(docs["doc_id"].cast("long"), docs["text"])
 
-    half = F.lit(127) - F.floor(F.size(hashes) / 2)
 
-    def over(c: Column) -> Column:
-        """The lowest bit of each lane: whether the lane and `half` reach 128. The top lane is apart, as it would overflow."""
-        low = c.bitwiseAND(F.lit(_LOW)) + half * F.lit(_ONES & _LOW)
-        top = F.shiftleft(F.shiftrightunsigned(c, 56) + half, 56)
-        return F.shiftrightunsigned(low.bitwiseOR(top).bitwiseAND(F.lit(_TOPS)), 7)
-
-    finish = lambda s: _union([F.shiftleft(over(s[c]), i) for i, c in enumerate(lanes)])
-    return F.aggregate(hashes, zero, add, finish)
+def _named(docs: DataFrame) -> DataFrame:
+    return docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), row_key(docs).alias("row"), "text")
 
 
 def _union(parts: list[Column]) -> Column:
@@ -62,61 +51,90 @@ def _union(parts: list[Column]) -> Column:
     return out
 
 
-def _pieces(hashes: Column) -> Column:
-    """The majority of each piece of PIECE hashes."""
-    starts = F.sequence(F.lit(0), F.floor((F.size(hashes) - 1) / PIECE).cast("int"))
-    return F.transform(starts, lambda i: _majority(F.slice(hashes, i * PIECE + 1, PIECE)))
+def block_keys() -> Column:
+    """The keys of a line, from its blocks x0 to x15 and its number of words n; null in place of keys of empty blocks."""
+    blocks = {
+        32: [b for i in range(LONGS) for b in (F.col(f"x{i}").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(f"x{i}", 32))],
+        16: [F.col(f"x{i}") for i in range(LONGS)],
+        8: [F.xxhash64(f"x{2 * i}", f"x{2 * i + 1}") for i in range(8)],
+        4: [F.xxhash64(*[f"x{4 * i + j}" for j in range(4)]) for i in range(4)],
+    }
+    empty = F.xxhash64(*[F.lit(0).cast("long")] * 4)  # of four longs, as the blocks are hashed
+    empty = {8: F.xxhash64(*[F.lit(0).cast("long")] * 2), 4: empty}
 
+    def filled(a: Column, b: Column, parts: int) -> Column:
+        """Whether a pair of blocks says enough: of eight both must hold words, of four one."""
+        return (a != empty[parts]) & (b != empty[parts]) if parts == 8 else (a != empty[parts]) | (b != empty[parts])
 
-def lines_of(docs: DataFrame, least_words: int, least_chars: int = 0) -> DataFrame:
-    """Lines that take part: doc_id, line_no (from 0), words. Those of fewer than least_words words are left out."""
-    lines = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    if least_chars:
-        lines = lines.where(F.length("line") >= least_chars)
-    return lines.select("doc_id", "line_no", words_of(F.col("line")).alias("words")).where(F.size("words") >= least_words)
+    keys = []
+    for no, (least, most, parts, pairs) in enumerate(FAMILIES):
+        x = blocks[parts]
+        own = [F.when(x[i] != empty.get(parts, 0), F.xxhash64(x[i], F.lit(64 * no + i))) for i in range(parts)] if pairs is None else [F.when(filled(x[i], x[j], parts), F.xxhash64(x[i], x[j], F.lit(64 * no + k))) for k, (i, j) in enumerate(pairs)]
+        keys.append(F.when((F.col("n") >= least) & (F.col("n") <= (1 << 30 if most is None else most)), F.array(*own)).otherwise(F.array().cast("array<long>")))
+    return F.concat(*keys)
 
 
-def codes_of(docs: DataFrame, least_words: int) -> DataFrame:
-    """Every line that takes part: doc_id, line_no, line (hash of its words), code (63-bit SimHash of its words), chars (length of its words joined).
+def sketches(docs: DataFrame, least_words: int) -> DataFrame:
+    """Every line of least_words words: doc_id, row, line_no (from 0), line (hash of its words in order), chars (length of its words joined), code, keys.
 
-    Each occurrence of a word votes with the bits of its hash. Words are exploded and their votes summed in
-    generated code: nine longs count seven bits each, in lanes of nine bits. A line of more than LONG_LINE
-    words has the majority of the codes of its pieces, with pieces of pieces up to four levels; no line of
-    fewer than 2 * LONG_LINE - 1 characters can be one, which spares the rest a second look.
+    Each occurrence of a word of LEAST_CHARS votes with 63 bits of its hash for the SimHash code. Every word falls into one of 32
+    blocks; a block is the exclusive or of the hashes of its words, so a changed word changes the blocks of the old
+    and of the new word and no other. Larger blocks are unions of those. All is summed in one pass of generated code.
+    """
+    uid = F.monotonically_increasing_id()  # keeps repeated rows apart within the pass
+    lines = _named(docs).select("doc_id", "row", uid.alias("uid"), F.posexplode(F.split("text", "\n")).alias("line_no", "raw"))
+    words = lines.select("doc_id", "row", "uid", "line_no", F.posexplode(words_of(F.col("raw"))).alias("at", "word"))
+    h = words.select("doc_id", "row", "uid", "line_no", "at", F.xxhash64("word").alias("h"), F.length("word").alias("len"))
+    half = F.when(F.col("h").bitwiseAND(F.lit(1)) == 0, F.shiftrightunsigned("h", 32)).otherwise(F.shiftleft(F.shiftrightunsigned("h", 32), 32))
+    h = h.withColumns({"half": half, "long": F.shiftright("h", 1).bitwiseAND(F.lit(LONGS - 1))})
+    none = F.lit(0).cast("long")
+    h = h.withColumn("vote", F.when(F.col("len") >= LEAST_CHARS, F.col("h")).otherwise(none))
+    lane = lambda i: F.shiftrightunsigned("vote", i).bitwiseAND(F.lit(_LANES))
+    sums = h.groupBy("doc_id", "row", "uid", "line_no").agg(
+        *[F.bit_xor(F.when(F.col("long") == i, F.col("half")).otherwise(none)).alias(f"x{i}") for i in range(LONGS)],
+        *[F.try_sum(lane(i)).alias(f"c{i}") for i in range(9)],
+        F.count("*").alias("n"), F.count_if(F.col("len") >= LEAST_CHARS).alias("voters"), F.sum("len").alias("len"), F.bit_xor(F.xxhash64("h", "at")).alias("line"),
+    )
+    over = F.lit(255) - F.floor(F.col("voters") / 2)
+    bits = lambda i: F.shiftleft(F.shiftrightunsigned((F.col(f"c{i}") + over * F.lit(_LANES)).bitwiseAND(F.lit(_LANES << 8)), 8), i)
+    code = F.when(F.col("voters").between(VOTERS, CODED_WORDS), _union([bits(i) for i in range(9)]))
+    return sums.where(F.col("n") >= least_words).select("doc_id", "row", "line_no", "line", (F.col("len") + F.col("n") - 1).cast("int").alias("chars"), code.alias("code"), block_keys().alias("keys"))
+
+
+def most_edits(a: str, b: str, similarity: float) -> Column:
+    """Edits that the similarity allows between lines of these lengths."""
+    return F.floor((1 - F.lit(similarity)) * F.greatest(a, b) + 1e-9).cast("int")
+
+
+def _close(x: str, y: str, similarity: float) -> Column:
+    """Codes within RADIUS, and lengths that the similarity allows."""
+    near = F.coalesce(F.bit_count(F.col(x + "_code").bitwiseXOR(F.col(y + "_code"))) <= RADIUS, F.lit(True))
+    return near & (F.abs(F.col(x + "_chars") - F.col(y + "_chars")) <= most_edits(x + "_chars", y + "_chars", similarity))
+
+
+def _between(words: str, before: str, after: str) -> Column:
+    """The words between the first `before` and the last `after`, each with a space behind it."""
+    part = F.slice(words, F.col(before) + 1, F.size(words) - F.col(before) - F.col(after))
+    return F.when(F.size(part) > 0, F.concat(F.array_join(part, " "), F.lit(" "))).otherwise("")
+
+
+def edits(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) with edits, their edit distance as far as the similarity allows (null beyond), and most, what it allows.
+
+    Words that both lines begin or end with add nothing to the distance and are left out. Distances are sought
+    within an eighth of the bound first, then a third, then the bound, as the work grows with it.
     """
-    chars = F.length(F.array_join("words", " "))
-    short = lines_of(docs, least_words).where(F.size("words") <= LONG_LINE)
-    words = short.select("doc_id", "line_no", F.xxhash64("words").alias("line"), chars.alias("chars"), F.explode("words").alias("word"))
-    votes = words.select("doc_id", "line_no", "line", "chars", F.xxhash64("word").alias("h"))
-    lane = lambda i: F.shiftrightunsigned("h", i).bitwiseAND(F.lit(_LANES))
-    sums = votes.groupBy("doc_id", "line_no", "line").agg(*[F.sum(lane(i)).alias(f"c{i}") for i in range(9)], F.count("*").alias("n"), F.min("chars").alias("chars"))
-    half = F.lit(255) - F.floor(F.col("n") / 2)
-    bits = lambda i: F.shiftleft(F.shiftrightunsigned((F.col(f"c{i}") + half * F.lit(_LANES)).bitwiseAND(F.lit(_LANES << 8)), 8), i)
-    out = sums.select("doc_id", "line_no", "line", _union([bits(i) for i in range(9)]).alias("code"), "chars")
-
-    long = lines_of(docs, least_words, 2 * LONG_LINE - 1).where(F.size("words") > LONG_LINE)
-    long = long.select("doc_id", "line_no", F.xxhash64("words").alias("line"), F.transform("words", lambda w: F.xxhash64(w)).alias("code"), chars.alias("chars"))
-    for _ in range(4):
-        long = long.withColumn("code", F.when(F.size("code") <= PIECE, F.col("code")).otherwise(_pieces(F.col("code"))))
-    return out.unionByName(long.withColumn("code", _majority(F.col("code")).bitwiseAND(F.lit((1 << 63) - 1))))
-
-
-def block_keys(code: Column) -> Column:
-    """A key for every two blocks of a code."""
-    keys = []
-    for no, pair in enumerate(combinations(BLOCKS, 2)):
-        mask = sum(((1 << width) - 1) << at for at, width in pair)
-        mask -= (1 << 64) if mask >= 1 << 63 else 0
-        keys.append(F.xxhash64(code.bitwiseAND(F.lit(mask)), F.lit(no)))
-    return F.array(*keys)
-
-
-def _similar(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of lines whose edit distance is at most (1 - similarity) of the longer one's length."""
     joined = pairs.select("a", "b").join(texts.select(F.col("line").alias("b"), F.col("norm").alias("norm_b")), "b").join(texts.select(F.col("line").alias("a"), F.col("norm").alias("norm_a")), "a")
-    most = f"cast(floor((1 - {similarity!r}D) * greatest(length(norm_a), length(norm_b)) + 1e-9D) as int)"
-    near = F.abs(F.length("norm_a") - F.length("norm_b")) <= F.expr(most)
-    return joined.where(near & F.expr(f"levenshtein(norm_a, norm_b, {most}) >= 0")).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    joined = joined.withColumn("most", F.floor((1 - F.lit(similarity)) * F.greatest(F.length("norm_a"), F.length("norm_b")) + 1e-9).cast("int"))
+    joined = joined.where(F.abs(F.length("norm_a") - F.length("norm_b")) <= F.col("most")).select("a", "b", "most", F.split("norm_a", " ").alias("wa"), F.split("norm_b", " ").alias("wb"))
+    same = lambda x, y: F.array_position(F.zip_with(x, y, lambda v, w: F.coalesce(v == w, F.lit(False))), False).cast("int")
+    size = F.least(F.size("wa"), F.size("wb"))
+    first = F.when(same("wa", "wb") == 0, size).otherwise(same("wa", "wb") - 1)
+    joined = joined.withColumn("before", first).withColumn("after", F.least(size - F.col("before"), F.when(same(F.reverse("wa"), F.reverse("wb")) == 0, size).otherwise(same(F.reverse("wa"), F.reverse("wb")) - 1)))
+    tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    mid = joined.repartition(tasks, "a", "b").select("a", "b", "most", _between("wa", "before", "after").alias("x"), _between("wb", "before", "after").alias("y"))
+    within = [f"nullif(levenshtein(x, y, {bound}), -1)" for bound in ("most div 8", "most div 3", "most")]
+    return mid.select("a", "b", "most", F.expr(f"cast(coalesce({', '.join(within)}) as int)").alias("edits"))
 
 
 def _bitmap(ids: DataFrame, column: str) -> DataFrame:
@@ -134,104 +152,125 @@ def _perhaps_in(rows: DataFrame, column: str, bitmap: DataFrame) -> DataFrame:
 
 
 def _texts(docs: DataFrame, lines: DataFrame, nodes: DataFrame, pairs: DataFrame, label: str) -> DataFrame:
-    """line, norm (its words joined) of the lines in pairs."""
+    """line, norm (its words joined) of the lines in pairs, each read from one row that has it."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("line")).distinct()
-    wanted = nodes.join(wanted, "line", "left_semi").select("line", F.col("first_doc").alias("doc_id"))
-    places = lines.join(wanted, ["line", "doc_id"]).groupBy("doc_id", "line").agg(F.min("line_no").alias("line_no"))
-    places = materialize(places.groupBy("doc_id").agg(F.collect_list(F.struct("line", "line_no")).alias("places")), f"{label}-places")
-    named = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    some = _perhaps_in(named, "doc_id", _bitmap(places, "doc_id")).join(places, "doc_id")
+    wanted = nodes.select("line", "row").join(wanted, "line", "left_semi")
+    places = lines.select("line", "row", "line_no").join(wanted, ["line", "row"]).groupBy("row", "line").agg(F.min("line_no").alias("line_no"))
+    places = materialize(places.groupBy("row").agg(F.collect_list(F.struct("line", "line_no")).alias("places")), f"{label}-places")
+    some = _perhaps_in(_named(docs).select("row", "text"), "row", _bitmap(places, "row")).join(places, "row")
     texts = some.select(F.split("text", "\n").alias("raw"), F.explode("places").alias("p"))
-    texts = texts.select("p.line", words_of(F.get("raw", F.col("p.line_no"))).alias("words")).where(F.xxhash64("words") == F.col("line"))
-    return materialize(texts.select("line", F.array_join("words", " ").alias("norm")).distinct(), f"{label}-texts")
+    texts = texts.select("p.line", F.array_join(words_of(F.get("raw", F.col("p.line_no"))), " ").alias("norm"))
+    return materialize(texts.groupBy("line").agg(F.min("norm").alias("norm")), f"{label}-texts")
 
 
-def line_groups(docs: DataFrame, lines: DataFrame, least_words: int = 5, similarity: float = 0.9) -> DataFrame:
+def line_groups(docs: DataFrame, lines: DataFrame, similarity: float = 0.9) -> DataFrame:
     """Distinct normalised lines that occur more than once or are linked to another line.
 
-    lines: codes_of(docs, least_words). Returns line (hash of the normalised line), part (smallest line of its
-    component), keeper (smallest doc_id of the component). Lines that occur once without a link are left out.
+    lines: sketches(docs). Returns line (hash of the normalised line) and part (smallest line of its component).
+    Lines that occur once without a link are left out.
 
-    Lines in a bucket, that is with two equal blocks, are first compared with the commonest line of the bucket;
-    where that leaves a bucket with several components, lines outside its largest one are compared with those
-    of other components. So a bucket of one group costs a pass, and no link is missed. Texts are fetched twice,
-    for each pass those of lines whose codes and lengths allow a link, from the first document that has them.
+    Lines that share a key are in a bucket. They are first compared with the head of the bucket, the line that
+    shares most of its keys, as an unedited line shares more than its edited copies. Where that leaves a bucket
+    with several components, lines outside its largest one are compared with those of other components, but for
+    pairs whose distances from the head differ by more than a link allows. So a bucket of one group costs a pass,
+    and no link within a bucket is missed.
     """
-    nodes = materialize(lines.groupBy("line", "code").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n"), F.min("chars").alias("chars")), "line-nodes")
-    buckets = nodes.select("line", "code", "n", "chars", F.explode(block_keys(F.col("code"))).alias("bucket"))
-    running = Window.partitionBy("bucket").orderBy(F.desc("n"), "line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    star = buckets.select("bucket", F.col("line").alias("b"), F.col("code").alias("b_code"), F.col("chars").alias("b_chars"), *[F.first(c).over(running).alias(a) for c, a in (("line", "a"), ("code", "a_code"), ("chars", "a_chars"))]).where("a <> b")
-    star = materialize(star, "line-stars")
-
-    def close(x: str, y: str) -> Column:
-        """Codes within RADIUS, and lengths that the similarity allows."""
-        most = F.floor((1 - F.lit(similarity)) * F.greatest(x + "_chars", y + "_chars") + 1e-9)
-        return (F.bit_count(F.col(x + "_code").bitwiseXOR(F.col(y + "_code"))) <= RADIUS) & (F.abs(F.col(x + "_chars") - F.col(y + "_chars")) <= most)
-
-    def linked(pairs: DataFrame, label: str) -> DataFrame:
+    nodes = materialize(lines.groupBy("line").agg(F.min("row").alias("row"), F.count("*").alias("n"), F.min("code").alias("code"), F.min("chars").alias("chars")), "line-nodes")
+    keys = lines.select("line", F.explode("keys").alias("bucket")).where("bucket is not null")
+    shared = keys.groupBy("bucket").agg(F.min("line").alias("lo"), F.max("line").alias("hi")).where("lo < hi").select("bucket")
+    members = materialize(keys.join(shared.hint("shuffle_hash"), "bucket", "left_semi").distinct(), "line-members")
+    rank = F.shiftleft(F.least(F.count("*"), F.lit((1 << 20) - 1)), 43).bitwiseOR(F.col("line").bitwiseAND(F.lit((1 << 43) - 1)))
+    facts = members.groupBy("line").agg(rank.alias("rank")).join(nodes.select("line", "code", "chars"), "line")
+    members = materialize(members.join(facts, "line").select("bucket", "rank", F.col("line").alias("b"), F.col("code").alias("b_code"), F.col("chars").alias("b_chars")), "line-facts")
+    heads = members.groupBy("bucket").agg(*[F.max_by(f"b{c}", "rank").alias(f"a{c}") for c in ("", "_code", "_chars")])
+    star = members.join(heads, "bucket").where((F.col("a") != F.col("b")) & _close("a", "b", similarity))
+
+    def measured(pairs: DataFrame, label: str) -> DataFrame:
         pairs = materialize(pairs, f"{label}-pairs")
-        return cut(_similar(pairs, _texts(docs, lines, nodes, pairs, label), similarity))
+        return cut(edits(pairs, _texts(docs, lines, nodes, pairs, label), similarity))
 
-    edges = linked(star.where(close("a", "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "line-star")
+    near = measured(star.select("a", "b").distinct(), "line-star")
+    link = lambda pairs: pairs.where("edits <= most").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    edges = link(near)
     parts = cut(connected_components(edges))
 
-    members = star.select("bucket", F.col("b").alias("line"), F.col("b_code").alias("y_code"), F.col("b_chars").alias("y_chars")).unionByName(star.select("bucket", F.col("a").alias("line"), F.col("a_code").alias("y_code"), F.col("a_chars").alias("y_chars")).distinct())
-    placed = members.join(parts.withColumnRenamed("node", "line"), "line", "left").select("bucket", "line", "y_code", "y_chars", F.coalesce("component", "line").alias("part"))
+    placed = members.join(parts.select(F.col("node").alias("b"), "component"), "b", "left").withColumn("part", F.coalesce("component", "b"))
     sizes = placed.groupBy("bucket", "part").agg(F.count("*").alias("n"))
-    divided = sizes.groupBy("bucket").agg(F.count("*").alias("parts"), F.max(F.struct("n", "part")).alias("top")).where("parts > 1").select("bucket", F.col("top.part").alias("main"))
-    mixed = placed.join(divided, "bucket")
-    outside = mixed.where("part <> main").select("bucket", F.col("line").alias("x"), F.col("y_code").alias("x_code"), F.col("y_chars").alias("x_chars"), F.col("part").alias("x_part"))
-    other = mixed.select("bucket", "line", "y_code", "y_chars", "part")
-    crossing = outside.join(other, (outside["bucket"] == other["bucket"]) & (F.col("part") != F.col("x_part")) & close("x", "y")).select(F.least("x", "line").alias("a"), F.greatest("x", "line").alias("b")).distinct()
-    more = linked(crossing, "line-crossing")
+    divided = sizes.groupBy("bucket").agg(F.count("*").alias("parts"), F.max_by("part", F.struct("n", "part")).alias("main")).where("parts > 1").select("bucket", "main")
+    mixed = placed.join(divided, "bucket").join(heads.select("bucket", "a"), "bucket").join(near, ["a", "b"], "left")
+    far = F.lit(1 << 30)
+    known = mixed.withColumns({"least": F.when(F.col("a") == F.col("b"), 0).when(F.col("most").isNull(), 0).otherwise(F.coalesce("edits", F.col("most") + 1)), "upmost": F.when(F.col("a") == F.col("b"), 0).otherwise(F.coalesce("edits", far))})
+    known = materialize(known.select("bucket", "part", "main", "least", "upmost", F.col("b").alias("y"), F.col("b_code").alias("y_code"), F.col("b_chars").alias("y_chars")), "line-divided")
+    outside = known.where("part <> main").select("bucket", *[F.col(c).alias("x_" + c) for c in ("part", "least", "upmost")], F.col("y").alias("x"), F.col("y_code").alias("x_code"), F.col("y_chars").alias("x_chars"))
+    allowed = most_edits("x_chars", "y_chars", similarity)
+    metric = (F.col("x_least") - F.col("upmost") <= allowed) & (F.col("least") - F.col("x_upmost") <= allowed)
+    once = (F.col("part") == F.col("main")) | (F.col("x") < F.col("y"))
+    crossing = outside.join(known, (outside["bucket"] == known["bucket"]) & (F.col("part") != F.col("x_part")) & once & metric & _close("x", "y", similarity))
+    crossing = crossing.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    more = link(measured(crossing, "line-crossing"))
     parts = cut(connected_components(more.unionByName(parts.select(F.col("node").alias("src"), F.col("component").alias("dst")))))
 
-    named = nodes.join(parts.withColumnRenamed("node", "line"), "line", "left")
-    repeated = named.where(F.col("component").isNotNull() | (F.col("n") > 1)).select("line", F.coalesce("component", "line").alias("part"), "first_doc")
-    keepers = repeated.groupBy("part").agg(F.min("first_doc").alias("keeper"))
-    return repeated.select("line", "part").distinct().join(keepers, "part").select("line", "part", "keeper")
+    named = nodes.select("line", "n").join(parts.withColumnRenamed("node", "line"), "line", "left")
+    return named.where(F.col("component").isNotNull() | (F.col("n") > 1)).select("line", F.coalesce("component", "line").alias("part"))
 
 
 def duplicate_lines(docs: DataFrame, least_words: int = 5, similarity: float = 0.9) -> DataFrame:
-    """The lines to drop of each document: doc_id, drop (sorted line numbers from 0); only documents that drop any.
+    """The lines to drop of each row: doc_id, row (see row_key), drop (sorted line numbers from 0); only rows that drop any.
 
-    Of each connected group of lines one occurrence stays: that of smallest doc_id, the first there.
+    Of each connected group of lines one occurrence stays: that of smallest doc_id, row and line number.
     """
-    lines = materialize(codes_of(docs, least_words), "line-codes")
-    groups = materialize(line_groups(docs, lines, least_words, similarity), "line-groups")
-    found = lines.select("doc_id", "line_no", "line").join(groups, "line")
-    by_doc = found.groupBy("doc_id", "part", "keeper").agg(F.min("line_no").alias("first_no"), F.collect_list("line_no").alias("nos"))
-    drop = F.when(F.col("doc_id") == F.col("keeper"), F.array_remove("nos", F.col("first_no"))).otherwise(F.col("nos"))
-    return by_doc.select("doc_id", F.explode(drop).alias("no")).groupBy("doc_id").agg(F.array_sort(F.collect_set("no")).alias("drop"))
+    lines = materialize(sketches(docs, least_words), "line-sketches")
+    groups = materialize(line_groups(docs, lines, similarity), "line-groups")
+    found = lines.select("line", F.struct("doc_id", "row", "line_no").alias("at")).join(groups, "line").select("part", "at")
+    keepers = found.groupBy("part").agg(F.min("at").alias("keeper"))
+    return found.join(keepers, "part").where("at <> keeper").groupBy("at.doc_id", "at.row").agg(F.array_sort(F.collect_set("at.line_no")).alias("drop"))
+
+
+def _with_drops(docs: DataFrame, least_words: int, similarity: float) -> DataFrame:
+    """docs with _quill_drop (lines to drop, null if none). Of repeated rows, of one doc_id and text, all but one drop every line of least_words words."""
+    drops = duplicate_lines(docs, least_words, similarity).select(F.col("doc_id").alias("_quill_id"), F.col("row").alias("_quill_row"), F.col("drop").alias("_quill_drop"))
+    keyed = docs.withColumns({"_quill_id": F.when(F.col("text").isNotNull(), F.col("doc_id").cast("long")), "_quill_row": row_key(docs)})
+    repeated = materialize(keyed.where(F.col("_quill_id").isNotNull()).groupBy("_quill_id", "_quill_row").agg(F.count("*").alias("rows")).where("rows > 1").drop("rows"), "line-repeated")
+    joined = keyed.join(drops, ["_quill_id", "_quill_row"], "left")
+    if repeated.isEmpty():
+        return joined
+    copy_no = F.row_number().over(Window.partitionBy("_quill_id", "_quill_row").orderBy("_quill_row"))
+    copies = joined.join(repeated, ["_quill_id", "_quill_row"], "left_semi").withColumn("_quill_copy", copy_no)
+    full = F.filter(F.sequence(F.lit(0), F.size(F.split("text", "\n")) - 1), lambda i: F.size(words_of(F.get(F.split("text", "\n"), i))) >= least_words)
+    copies = copies.withColumn("_quill_drop", F.when((F.col("_quill_copy") > 1) & (F.size(full) > 0), full).otherwise(F.col("_quill_drop"))).drop("_quill_copy")
+    return joined.join(repeated, ["_quill_id", "_quill_row"], "left_anti").unionByName(copies)
+
+
+def _applied(docs: DataFrame, least_words: int, similarity: float) -> DataFrame:
+    """_with_drops with _quill_text, the lines that stay, and _quill_whole: whether nothing of least_words words stays of a row that drops lines."""
+    joined = _with_drops(docs, least_words, similarity)
+    kept = F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.struct(x.alias("line"), i.alias("no"))), lambda s: ~F.array_contains("_quill_drop", s["no"]))
+    text = F.when(F.col("_quill_drop").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda s: s["line"]), "\n"))
+    substance = F.exists(F.split("_quill_text", "\n"), lambda x: F.size(words_of(x)) >= least_words)
+    return joined.withColumn("_quill_text", text).withColumn("_quill_whole", F.col("_quill_drop").isNotNull() & ~substance)
 
 
 def dedup_lines(docs: DataFrame, least_words: int = 5, similarity: float = 0.9) -> DataFrame:
     """docs without repeated and fuzzily repeated lines; same columns, text changed, n_chars made to fit.
 
-    Two lines of at least least_words words are linked if equal after normalising, or if their SimHash codes
-    differ in at most RADIUS of 63 bits, and their edit distance is at most 1 - similarity of the longer one's
-    length. Links make groups; of each group one occurrence stays. Lines that stay keep their exact text and
-    order. Shorter and empty lines stay, as do lines of a document that loses nothing.
+    Two lines of at least least_words words are linked if equal after normalising, or if they share a key, their
+    SimHash codes differ in at most RADIUS of 63 bits and their edit distance is at most 1 - similarity of the
+    longer one's length. Links make groups; of each group one occurrence stays. Lines that stay keep their exact
+    text and order. Shorter and empty lines stay, as do lines of a document that loses nothing.
 
     A row all of whose lines of least_words words are dropped goes as a whole, as nothing but scraps would
-    stay; rows without such lines stay. Null or empty text and rows with null doc_id stay as they are. Rows
-    that share a doc_id all lose the lines that the id loses; equal rows stay equal. An empty table stays empty.
+    stay (report marks such rows); rows without such lines stay. Null or empty text and rows with null doc_id stay
+    as they are. Rows that share a doc_id but not a text are documents of their own; of rows that share both, one
+    stays. An empty table stays empty.
     """
-    drops = duplicate_lines(docs, least_words, similarity).select(F.col("doc_id").alias("_quill_id"), F.col("drop").alias("_quill_drop"))
-    joined = docs.join(drops, docs["doc_id"].cast("long") == drops["_quill_id"], "left")
-    lines = F.split("text", "\n")
-    kept = F.filter(F.transform(lines, lambda x, i: F.struct(x.alias("line"), i.alias("no"))), lambda s: ~F.array_contains("_quill_drop", s["no"]))
-    text = F.when(F.col("_quill_drop").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda s: s["line"]), "\n"))
-    substance = F.exists(F.split("_quill_text", "\n"), lambda x: F.size(words_of(x)) >= least_words)
-    out = joined.withColumn("_quill_text", text).where(F.col("_quill_drop").isNull() | substance)
-    columns = [F.col("_quill_text").alias(c) if c == "text" else F.when(F.col("_quill_drop").isNull(), F.col(c)).otherwise(F.length("_quill_text")).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else docs[c] for c in docs.columns]
+    out = _applied(docs, least_words, similarity).where(~F.col("_quill_whole"))
+    columns = [F.col("_quill_text").alias(c) if c == "text" else F.when(F.col("_quill_drop").isNull(), F.col(c)).otherwise(F.length("_quill_text")).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
     return out.select(*columns)
 
 
 def report(docs: DataFrame, least_words: int = 5, similarity: float = 0.9) -> DataFrame:
-    """One row for each row of docs(doc_id, text): doc_id, n_lines, n_dropped, dropped (line numbers from 0)."""
-    drops = duplicate_lines(docs, least_words, similarity).select(F.col("doc_id").alias("_quill_id"), "drop")
-    counted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.regexp_count("text", F.lit("\n")) + 1, F.lit(0)).cast("long").alias("n_lines"))
-    out = counted.join(drops, counted["doc_id"] == drops["_quill_id"], "left")
+    """One row for each row of docs(doc_id, text): doc_id, n_lines, n_dropped, dropped (line numbers from 0), gone (whether dedup_lines drops the row)."""
+    out = _applied(docs.select("doc_id", "text"), least_words, similarity)
     none = F.array().cast("array<int>")
-    return out.select("doc_id", "n_lines", F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_dropped"), F.coalesce("drop", none).alias("dropped"))
+    n = F.coalesce(F.regexp_count("text", F.lit("\n")) + 1, F.lit(0)).cast("long")
+    return out.select(F.col("doc_id").cast("long").alias("doc_id"), n.alias("n_lines"), F.coalesce(F.size("_quill_drop"), F.lit(0)).cast("long").alias("n_dropped"), F.coalesce("_quill_drop", none).alias("dropped"), F.col("_quill_whole").alias("gone"))
