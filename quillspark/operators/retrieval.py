@@ -19,8 +19,8 @@ def postings(docs: DataFrame, doc_id: str = "doc_id", pattern: str = TERM) -> Da
     return t.select(doc_id, F.size("terms").cast("long").alias("length"), F.explode("terms").alias("term")).groupBy(doc_id, "length", "term").agg(F.count("*").alias("tf"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75, pattern: str = TERM) -> DataFrame:
-    """query_id, doc_id, bm25 of documents that share a term with a query; a term repeated in a query counts each time.
+def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75, pattern: str = TERM, places: int = 4) -> DataFrame:
+    """query_id, doc_id, bm25 (to `places`) of documents that share a term with a query; a term repeated in a query counts each time.
 
     Only postings of terms that occur in a query are shuffled.
     """
@@ -33,7 +33,7 @@ def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75,
     weighted = asked.join(df, "term").join(F.broadcast(stats)).withColumn("idf", F.log(1 + (F.col("documents") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     scored = wanted.join(weighted, "term")
     part = F.col("repeats") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.greatest(F.col("length"), F.lit(1)) / F.greatest(F.col("avgdl"), F.lit(1e-6))))
-    return scored.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 4).alias("bm25"))
+    return scored.groupBy("query_id", "doc_id").agg(F.round(F.sum(part.cast("decimal(38,14)")).cast("double"), places).alias("bm25"))
 
 
 def top_hits(scores: DataFrame, score: str, k: int) -> DataFrame:
@@ -42,15 +42,16 @@ def top_hits(scores: DataFrame, score: str, k: int) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 
 
-def dense(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def dense(vectors: DataFrame, queries: DataFrame, k: int, block_rows: int = 256) -> DataFrame:
     """Best k of vectors(vec_id, embedding) for each query vector by inner product: query_id, vec_id, score, rank.
 
-    Queries are a bounded request; their vectors are packed in one row, scored in a pass over the vectors, and
-    cut to k by query and task before the shuffle.
+    Queries are packed in hash blocks of about block_rows; every vector meets every block, and what it scores is
+    cut to the k best of each query and task before the shuffle.
     """
-    asked = queries.agg(F.collect_list(F.struct(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))).alias("asked"))
-    # the request: one row
-    rows = vectors.join(F.broadcast(asked)).select("vec_id", "embedding", F.explode("asked").alias("a"))
+    blocks = max(1, -(-queries.count() // block_rows))
+    packed = queries.select(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"), F.struct(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")).alias("a"))
+    packed = packed.groupBy("block").agg(F.collect_list("a").alias("asked"))
+    rows = vectors.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(packed, "block").select("vec_id", "embedding", F.explode("asked").alias("a"))
     scored = rows.select("a.query_id", "vec_id", F.round(T.dot("embedding", "a.q"), 6).alias("score")).where("query_id <> vec_id")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return scored.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)

@@ -17,18 +17,20 @@ def metadata_filter(spark, d):
     return U.metadata_filter(table(spark, d, "documents"), {"lang": ["EN", "de"], "source": "Src3", "text": None}).select("doc_id", "lang", "source")
 
 
-@query("""with r as (select c_custkey as request_id, 'Brand#'||(c_custkey%5+1) as b, c_custkey%50 as s from customer where c_custkey<=60),
-a as (select request_id, p_partkey, 0 as attempt from r join part on p_size=s and p_brand=b union all select request_id, p_partkey, 1 from r join part on p_size=s),
-f as (select request_id, min(attempt) as attempt from a group by 1) select request_id, p_partkey, attempt from a join f using (request_id, attempt)""")
+@query("""with r as (select c_custkey as request_id, 'Brand#'||(c_custkey%5+1) as b, c_custkey%50 as s from customer),
+x as (select p_size, p_brand, min(p_partkey) as first_part, count(*) as parts from part group by 1,2), y as (select p_size, min(p_partkey) as first_part, count(*) as parts from part group by 1),
+a as (select request_id, first_part, parts, 0 as attempt from r join x on p_size=s and p_brand=b union all select request_id, first_part, parts, 1 from r join y on p_size=s),
+f as (select request_id, min(attempt) as attempt from a group by 1) select request_id, first_part, parts, attempt from a join f using (request_id, attempt)""")
 def cascading_fallback(spark, d):
-    """Parts of a size and brand, else of the size alone."""
+    """Parts of a size and brand, else of the size alone, for every customer: the first and their number."""
     from quillspark.operators.retrieval import cascade
 
-    r = table(spark, d, "customer").where("c_custkey <= 60").select(F.col("c_custkey").alias("request_id"), F.concat(F.lit("Brand#"), F.col("c_custkey") % 5 + 1).alias("b"), (F.col("c_custkey") % 50).alias("s"))
-    part = table(spark, d, "part")
-    exact = r.join(part, (part.p_size == r.s) & (part.p_brand == r.b)).select("request_id", "p_partkey")
-    loose = r.join(part, part.p_size == r.s).select("request_id", "p_partkey")
-    return cascade(r.select("request_id"), [exact, loose]).select("request_id", "p_partkey", "attempt")
+    r = table(spark, d, "customer").select(F.col("c_custkey").alias("request_id"), F.concat(F.lit("Brand#"), F.col("c_custkey") % 5 + 1).alias("b"), (F.col("c_custkey") % 50).alias("s"))
+    part, found = table(spark, d, "part"), [F.min("p_partkey").alias("first_part"), F.count("*").alias("parts")]
+    exact, loose = part.groupBy("p_size", "p_brand").agg(*found), part.groupBy("p_size").agg(*found)
+    exact = r.join(exact, (exact.p_size == r.s) & (exact.p_brand == r.b)).select("request_id", "first_part", "parts")
+    loose = r.join(loose, loose.p_size == r.s).select("request_id", "first_part", "parts")
+    return cascade(r.select("request_id"), [exact, loose]).select("request_id", "first_part", "parts", "attempt")
 
 
 @query("select p_brand as key, array_to_string(list_sort(list(distinct p_type)),'|') as members, count(distinct p_type) as n from part group by 1")
@@ -97,10 +99,10 @@ def latest_result_per_run(spark, d):
     return A.latest_per_key(table(spark, d, "lineitem"), ["l_orderkey"], [F.desc("l_shipdate"), F.desc("l_linenumber"), F.desc("l_extendedprice")]).select("l_orderkey", "l_linenumber", "l_extendedprice")
 
 
-@query("""select p_partkey, lower(p_brand)||'_ch'||lpad(cast(row_number() over (partition by p_brand order by p_name, p_partkey)-1 as varchar),3,'0') as chapter_id from part where p_size<10""")
+@query("""select p_partkey, lower(p_brand)||'_ch'||lpad(cast(row_number() over (partition by p_brand order by p_name, p_partkey)-1 as varchar),3,'0') as chapter_id from part""")
 def chapter_sequence(spark, d):
     w = Window.partitionBy("p_brand").orderBy("p_name", "p_partkey")
-    return table(spark, d, "part").where("p_size < 10").select("p_partkey", F.format_string("%s_ch%03d", F.lower("p_brand"), F.row_number().over(w) - 1).alias("chapter_id"))
+    return table(spark, d, "part").select("p_partkey", F.format_string("%s_ch%03d", F.lower("p_brand"), F.row_number().over(w) - 1).alias("chapter_id"))
 
 
 @query(r"""with s as (select p_partkey, regexp_replace(regexp_replace(lower(p_name),'[^a-z0-9]+','-','g'),'^-+|-+$','','g') as slug from part), n as (select *, row_number() over (partition by slug order by p_partkey) as i from s)
@@ -115,11 +117,11 @@ def best_and_worst(spark, d):
 
 
 @query(f"""with {_TERM_ROWS}, t as (select doc_id, term from top where rank<=8), ed as (select a.term as src, b.term as dst from t a join t b on a.doc_id=b.doc_id and a.term<>b.term group by 1,2 having count(*)>=2),
-q as (select item_id as query_id, unnest(list_distinct(regexp_extract_all(lower(text),'[a-z0-9]{{4,}}'))) as topic from benchmark where item_id<20),
+q as (select item_id as query_id, unnest(list_distinct(regexp_extract_all(lower(text),'[a-z0-9]{{4,}}'))) as topic from benchmark),
 x as (select query_id, topic from q where topic in (select src from ed) union select query_id, dst from q join ed on src=topic) select query_id, count(distinct topic) as topics from x group by 1""")
 def topic_expansion(spark, d):
     edges = K.co_occurrence(K.top_terms(table(spark, d, "documents")), "doc_id", "term").where("weight >= 2")
-    asked = table(spark, d, "benchmark").where("item_id < 20").select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(T.tokens("text", "[a-z0-9]{4,}"))).alias("topic"))
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(T.tokens("text", "[a-z0-9]{4,}"))).alias("topic"))
     asked = asked.join(edges.select(F.col("src").alias("topic")).distinct(), "topic", "left_semi")
     return K.expand_topics(asked, edges).select("query_id", F.size("topics").cast("long").alias("topics"))
 

@@ -387,7 +387,7 @@ _BM25 = f"""q as (select query_id, term, count(*) as repeats from (select item_i
 dl as (select doc_id, text, len({_TERMS.format('text', '[a-z0-9]{4,}')}) as length from documents), st as (select count(*) as documents, avg(length) as avgdl from dl),
 pt as (select doc_id, length, term, count(*) as tf from (select doc_id, length, unnest({_TERMS.format('text', '[a-z0-9]{4,}')}) as term from dl) where term in (select term from q) group by 1,2,3),
 dq as (select term, count(*) as df from pt group by 1),
-bm as (select query_id, doc_id, round(sum(repeats*ln(1+(documents-df+0.5)/(df+0.5))*tf*2.5/(tf+1.5*(0.25+0.75*greatest(length,1)/greatest(avgdl,1e-6)))),4) as bm25 from pt join q using (term) join dq using (term), st group by 1,2)"""
+bm as (select query_id, doc_id, round(sum(repeats*ln(1+(documents-df+0.5)/(df+0.5))*tf*2.5/(tf+1.5*(0.25+0.75*greatest(length,1)/greatest(avgdl,1e-6)))),4) as bm25, sum(repeats*ln(1+(documents-df+0.5)/(df+0.5))*tf*2.5/(tf+1.5*(0.25+0.75*greatest(length,1)/greatest(avgdl,1e-6)))) as raw from pt join q using (term) join dq using (term), st group by 1,2)"""
 
 
 @query(f"with {_BM25}, r as (select *, row_number() over (partition by query_id order by bm25 desc, doc_id) as rank from bm) select query_id, doc_id, bm25, rank from r where rank<=10")
@@ -396,13 +396,13 @@ def bm25_topk(spark, d):
 
 
 @query("""with s as (select q.vec_id as query_id, v.vec_id, round(list_sum(list_transform(range(1,len(q.embedding)+1), lambda i: cast(q.embedding[i] as double)*cast(v.embedding[i] as double))),6) as score
- from embeddings q, embeddings v where q.vec_id<10 and q.vec_id<>v.vec_id), r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s) select * from r where rank<=10""")
+ from embeddings q, embeddings v where q.vec_id%20=0 and q.vec_id<>v.vec_id), r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s) select * from r where rank<=10""")
 def dense_topk(spark, d):
     vectors = table(spark, d, "embeddings").select("vec_id", "embedding")
-    return R.dense(vectors, vectors.where("vec_id < 10"), 10)
+    return R.dense(vectors, vectors.where("vec_id % 20 = 0"), 10)
 
 
-@query(f"""with {_BM25}, f as (select bm.query_id, bm.doc_id, bm25, lang, source, round(0.55*(shared/greatest(n,1))+0.35*bm25+case when lang='en' then 0.10 else 0 end+case when source='src0' then 0.10 else 0 end,6) as fused
+@query(f"""with {_BM25}, f as (select bm.query_id, bm.doc_id, bm25, lang, source, round(0.55*(shared/greatest(n,1))+0.35*raw+case when lang='en' then 0.10 else 0 end+case when source='src0' then 0.10 else 0 end,6) as fused
  from bm join (select q2.query_id, t.doc_id, count(*) as shared from (select distinct query_id, term from q) q2 join pt t on q2.term=t.term group by 1,2) o on bm.query_id=o.query_id and bm.doc_id=o.doc_id
  join (select query_id, count(distinct term) as n from q group by 1) c on c.query_id=bm.query_id join documents on documents.doc_id=bm.doc_id),
 r as (select query_id, doc_id, fused, row_number() over (partition by query_id order by fused desc, doc_id) as rank from f where fused>0) select * from r where rank<=10""")
@@ -412,7 +412,7 @@ def hybrid_fusion(spark, d):
     asked = questions.select("query_id", F.explode(F.array_distinct(T.tokens("text", R.TERM))).alias("term"))
     n = asked.groupBy("query_id").agg(F.count("*").alias("n"))
     shared = R.postings(docs).join(asked, "term").groupBy("query_id", "doc_id").agg(F.count("*").alias("shared")).join(n, "query_id")
-    hits = R.bm25(docs, questions).join(shared, ["query_id", "doc_id"]).join(docs.select("doc_id", "lang", "source"), "doc_id")
+    hits = R.bm25(docs, questions, places=12).join(shared, ["query_id", "doc_id"]).join(docs.select("doc_id", "lang", "source"), "doc_id")
     fused = R.fuse(F.col("shared") / F.greatest(F.col("n"), F.lit(1)), F.col("bm25"), [F.col("lang") == "en", F.col("source") == "src0"])
     return R.top_hits(hits.select("query_id", "doc_id", fused.alias("fused")).where("fused > 0"), "fused", 10)
 
