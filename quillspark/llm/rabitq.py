@@ -39,6 +39,13 @@ def usable(vectors: DataFrame) -> DataFrame:
     return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & fine & F.exists("embedding", lambda x: x != 0))
 
 
+def _once(rows: DataFrame) -> DataFrame:
+    """rows with repeats of an id and vector once; ids are counted first, as vectors need only be dealt out where some repeat."""
+    if rows.groupBy("vec_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        return rows
+    return rows.dropDuplicates(["vec_id", "embedding"])
+
+
 def build_index(vectors: DataFrame, dim: int, seed: int = 11) -> DataFrame:
     """The code of every vector: vec_id, embedding, code (packed bits), norm (distance from the centre), corr.
 
@@ -62,7 +69,7 @@ def build_index(vectors: DataFrame, dim: int, seed: int = 11) -> DataFrame:
             corr = np.abs(o).sum(1) / math.sqrt(dim)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([r.tobytes() for r in _pack(bits)], pa.binary()), pa.array(norm), pa.array(corr)], ["vec_id", "embedding", "code", "norm", "corr"])
 
-    coded = vectors.mapInArrow(run, "vec_id long, embedding array<float>, code binary, norm double, corr double")
+    coded = vectors.mapInArrow(run, f"vec_id long, embedding {vectors.schema['embedding'].dataType.simpleString()}, code binary, norm double, corr double")
     return coded.withColumn("centre", F.array(*[F.lit(float(x)) for x in centre]))
 
 
@@ -128,22 +135,23 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, seed: int = 11,
 
     Vectors that are null, empty, zero or hold null or non-finite components, and rows with null vec_id, take
     no part. Only vectors of the commonest length take part, the smaller length at a tie. Copies of a vector
-    are all candidates. Fewer than k candidates: all of them. No queries or no vectors: no rows.
+    under other ids are all candidates; repeated rows count once, in queries too. Fewer than k candidates: all of them. No queries or no vectors: no rows.
     """
     schema = "query_id long, vec_id long, score double"
     spark = vectors.sparkSession
-    good = usable(vectors)
+    good = _once(usable(vectors))
     by_length = good.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    ask = usable(queries)
+    ask = _once(usable(queries))
     asked = ask.where(F.size("embedding") == by_length["d"]).count() if by_length else 0
     if not asked:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dim, rows = by_length["d"], by_length["count"]
     same = F.size("embedding") == dim
-    index = build_index(good.where(same).select("vec_id", F.col("embedding").cast("array<float>").alias("embedding")), dim, seed)
+    kind = "array<double>" if "array<double>" in (vectors.schema["embedding"].dataType.simpleString(), queries.schema["embedding"].dataType.simpleString()) else "array<float>"
+    index = build_index(good.where(same).select("vec_id", F.col("embedding").cast(kind).alias("embedding")), dim, seed)
     q_blocks, v_blocks = math.ceil(asked / query_rows), math.ceil(rows / block_rows)
     left = index.withColumn("v", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(v_blocks))).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
-    right = ask.where(same).withColumn("q", F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(q_blocks)).cast("int")).withColumn("v", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(v_blocks - 1).cast("long")))).select("vec_id", F.col("embedding").cast("array<float>").alias("embedding"), "q", "v")
+    right = ask.where(same).withColumn("q", F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(q_blocks)).cast("int")).withColumn("v", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(v_blocks - 1).cast("long")))).select("vec_id", F.col("embedding").cast(kind).alias("embedding"), "q", "v")
 
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
         empty = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
@@ -156,5 +164,6 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, seed: int = 11,
         return pa.table({"query_id": pa.array(empty[0], pa.int64()), "vec_id": pa.array(empty[1], pa.int64()), "score": pa.array(empty[2], pa.float64())})
 
     found = left.groupBy("q", "v").cogroup(right.groupBy("q", "v")).applyInArrow(run, schema)
+    found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))  # an id may have several vectors
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
