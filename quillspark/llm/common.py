@@ -21,6 +21,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder the cluster names in spark.checkpoint.dir; where that is unset (tests), a folder of our own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = os.path.join(tempfile.gettempdir(), "checkpoints")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(base)

@@ -112,17 +112,17 @@ def _close(x: str, y: str, similarity: float) -> Column:
     return near & (F.abs(F.col(x + "_chars") - F.col(y + "_chars")) <= most_edits(x + "_chars", y + "_chars", similarity))
 
 
-def _between(words: str, before: str, after: str) -> Column:
-    """The words between the first `before` and the last `after`, each with a space behind it."""
-    part = F.slice(words, F.col(before) + 1, F.size(words) - F.col(before) - F.col(after))
-    return F.when(F.size(part) > 0, F.concat(F.array_join(part, " "), F.lit(" "))).otherwise("")
+def _between(words: str) -> Column:
+    """The words of a line without the first `before` and the last `after`."""
+    return F.slice(words, F.col("before") + 1, F.size(words) - F.col("before") - F.col("after"))
 
 
 def edits(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """Pairs (a, b) with edits, their edit distance as far as the similarity allows (null beyond), and most, what it allows.
 
-    Words that both lines begin or end with add nothing to the distance and are left out. Distances are sought
-    within an eighth of the bound first, then a third, then the bound, as the work grows with it.
+    Words that both lines begin or end with add nothing to the distance and are left out. As the work grows with the
+    bound, distances are first sought within the length of the words that one line has and the other has not, which
+    is seldom too little, then within what the similarity allows.
     """
     joined = pairs.select("a", "b").join(texts.select(F.col("line").alias("b"), F.col("norm").alias("norm_b")), "b").join(texts.select(F.col("line").alias("a"), F.col("norm").alias("norm_a")), "a")
     joined = joined.withColumn("most", F.floor((1 - F.lit(similarity)) * F.greatest(F.length("norm_a"), F.length("norm_b")) + 1e-9).cast("int"))
@@ -132,9 +132,12 @@ def edits(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     first = F.when(same("wa", "wb") == 0, size).otherwise(same("wa", "wb") - 1)
     joined = joined.withColumn("before", first).withColumn("after", F.least(size - F.col("before"), F.when(same(F.reverse("wa"), F.reverse("wb")) == 0, size).otherwise(same(F.reverse("wa"), F.reverse("wb")) - 1)))
     tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    mid = joined.repartition(tasks, "a", "b").select("a", "b", "most", _between("wa", "before", "after").alias("x"), _between("wb", "before", "after").alias("y"))
-    within = [f"nullif(levenshtein(x, y, {bound}), -1)" for bound in ("most div 8", "most div 3", "most")]
-    return mid.select("a", "b", "most", F.expr(f"cast(coalesce({', '.join(within)}) as int)").alias("edits"))
+    mid = joined.repartition(tasks, "a", "b").select("a", "b", "most", _between("wa").alias("wa"), _between("wb").alias("wb"))
+    alone = lambda x, y: F.length(F.array_join(F.array_except(x, y), " "))
+    flat = lambda w: F.concat(F.array_join(w, " "), F.when(F.size(w) > 0, " ").otherwise(""))
+    mid = mid.select("a", "b", "most", F.least("most", F.greatest(alone("wa", "wb"), alone("wb", "wa")) + 4).alias("guess"), flat("wa").alias("x"), flat("wb").alias("y"))
+    found = F.expr("coalesce(nullif(levenshtein(x, y, guess), -1), case when guess < most then nullif(levenshtein(x, y, most), -1) end)")
+    return mid.select("a", "b", "most", found.cast("int").alias("edits"))
 
 
 def _bitmap(ids: DataFrame, column: str) -> DataFrame:
@@ -215,7 +218,7 @@ def line_groups(docs: DataFrame, lines: DataFrame, similarity: float = 0.9) -> D
 
 
 def duplicate_lines(docs: DataFrame, least_words: int = 5, similarity: float = 0.9) -> DataFrame:
-    """The lines to drop of each row: doc_id, row (see row_key), drop (sorted line numbers from 0); only rows that drop any.
+    """The lines to drop of each row: doc_id, row (see row_key), drop (sorted line numbers from 0), gone (whether no line of least_words words stays); only rows that drop any.
 
     Of each connected group of lines one occurrence stays: that of smallest doc_id, row and line number.
     """
@@ -223,31 +226,36 @@ def duplicate_lines(docs: DataFrame, least_words: int = 5, similarity: float = 0
     groups = materialize(line_groups(docs, lines, similarity), "line-groups")
     found = lines.select("line", F.struct("doc_id", "row", "line_no").alias("at")).join(groups, "line").select("part", "at")
     keepers = found.groupBy("part").agg(F.min("at").alias("keeper"))
-    return found.join(keepers, "part").where("at <> keeper").groupBy("at.doc_id", "at.row").agg(F.array_sort(F.collect_set("at.line_no")).alias("drop"))
+    drops = found.join(keepers, "part").where("at <> keeper").groupBy("at.doc_id", "at.row").agg(F.array_sort(F.collect_set("at.line_no")).alias("drop"))
+    full = lines.groupBy("doc_id", "row").agg(F.count_distinct("line_no").alias("full"))
+    return drops.join(full, ["doc_id", "row"]).select("doc_id", "row", "drop", (F.size("drop") == F.col("full")).alias("gone"))
 
 
-def _with_drops(docs: DataFrame, least_words: int, similarity: float) -> DataFrame:
-    """docs with _quill_drop (lines to drop, null if none). Of repeated rows, of one doc_id and text, all but one drop every line of least_words words."""
-    drops = duplicate_lines(docs, least_words, similarity).select(F.col("doc_id").alias("_quill_id"), F.col("row").alias("_quill_row"), F.col("drop").alias("_quill_drop"))
-    keyed = docs.withColumns({"_quill_id": F.when(F.col("text").isNotNull(), F.col("doc_id").cast("long")), "_quill_row": row_key(docs)})
-    repeated = materialize(keyed.where(F.col("_quill_id").isNotNull()).groupBy("_quill_id", "_quill_row").agg(F.count("*").alias("rows")).where("rows > 1").drop("rows"), "line-repeated")
-    joined = keyed.join(drops, ["_quill_id", "_quill_row"], "left")
+def _with_drops(docs: DataFrame, keyed: DataFrame, least_words: int, similarity: float) -> DataFrame:
+    """keyed (docs with _quill_id and _quill_row, and no need of its text) with _quill_drop, null if none, and _quill_gone.
+
+    Of repeated rows, of one doc_id and text, all but one drop every line of least_words words.
+    """
+    drops = duplicate_lines(docs, least_words, similarity).select(F.col("doc_id").alias("_quill_id"), F.col("row").alias("_quill_row"), F.col("drop").alias("_quill_drop"), F.col("gone").alias("_quill_gone"))
+    joined = keyed.join(drops, ["_quill_id", "_quill_row"], "left").withColumn("_quill_gone", F.coalesce("_quill_gone", F.lit(False)))
+    rows = docs.select(*_keys(docs)).where("_quill_id is not null").groupBy("_quill_id", "_quill_row").agg(F.count("*").alias("rows"))
+    repeated = materialize(rows.where("rows > 1").drop("rows"), "line-repeated")
     if repeated.isEmpty():
         return joined
+    named = docs.select("doc_id", "text", *_keys(docs)).join(repeated, ["_quill_id", "_quill_row"], "left_semi").dropDuplicates(["_quill_id", "_quill_row"])
+    raw = F.split("text", "\n")
+    full = F.filter(F.sequence(F.lit(0), F.size(raw) - 1), lambda i: F.size(words_of(F.get(raw, i))) >= least_words)
+    full = named.select("_quill_id", "_quill_row", full.alias("_quill_full"))
     copy_no = F.row_number().over(Window.partitionBy("_quill_id", "_quill_row").orderBy("_quill_row"))
-    copies = joined.join(repeated, ["_quill_id", "_quill_row"], "left_semi").withColumn("_quill_copy", copy_no)
-    full = F.filter(F.sequence(F.lit(0), F.size(F.split("text", "\n")) - 1), lambda i: F.size(words_of(F.get(F.split("text", "\n"), i))) >= least_words)
-    copies = copies.withColumn("_quill_drop", F.when((F.col("_quill_copy") > 1) & (F.size(full) > 0), full).otherwise(F.col("_quill_drop"))).drop("_quill_copy")
-    return joined.join(repeated, ["_quill_id", "_quill_row"], "left_anti").unionByName(copies)
+    copies = joined.join(full, ["_quill_id", "_quill_row"]).withColumn("_quill_copy", copy_no)
+    later = (F.col("_quill_copy") > 1) & (F.size("_quill_full") > 0)
+    copies = copies.withColumns({"_quill_drop": F.when(later, F.col("_quill_full")).otherwise(F.col("_quill_drop")), "_quill_gone": later | F.col("_quill_gone")})
+    return joined.join(repeated, ["_quill_id", "_quill_row"], "left_anti").unionByName(copies.drop("_quill_copy", "_quill_full"))
 
 
-def _applied(docs: DataFrame, least_words: int, similarity: float) -> DataFrame:
-    """_with_drops with _quill_text, the lines that stay, and _quill_whole: whether nothing of least_words words stays of a row that drops lines."""
-    joined = _with_drops(docs, least_words, similarity)
-    kept = F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.struct(x.alias("line"), i.alias("no"))), lambda s: ~F.array_contains("_quill_drop", s["no"]))
-    text = F.when(F.col("_quill_drop").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda s: s["line"]), "\n"))
-    substance = F.exists(F.split("_quill_text", "\n"), lambda x: F.size(words_of(x)) >= least_words)
-    return joined.withColumn("_quill_text", text).withColumn("_quill_whole", F.col("_quill_drop").isNotNull() & ~substance)
+def _keys(docs: DataFrame) -> list[Column]:
+    """What _with_drops joins by: _quill_id, null for rows that take no part, and _quill_row."""
+    return [F.when(docs["text"].isNotNull(), docs["doc_id"].cast("long")).alias("_quill_id"), row_key(docs).alias("_quill_row")]
 
 
 def dedup_lines(docs: DataFrame, least_words: int = 5, similarity: float = 0.9) -> DataFrame:
@@ -263,14 +271,17 @@ def dedup_lines(docs: DataFrame, least_words: int = 5, similarity: float = 0.9)
     as they are. Rows that share a doc_id but not a text are documents of their own; of rows that share both, one
     stays. An empty table stays empty.
     """
-    out = _applied(docs, least_words, similarity).where(~F.col("_quill_whole"))
+    out = _with_drops(docs, docs.select("*", *_keys(docs)), least_words, similarity).where(~F.col("_quill_gone"))
+    kept = F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.struct(x.alias("line"), i.alias("no"))), lambda s: ~F.array_contains("_quill_drop", s["no"]))
+    out = out.withColumn("_quill_text", F.when(F.col("_quill_drop").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda s: s["line"]), "\n")))
     columns = [F.col("_quill_text").alias(c) if c == "text" else F.when(F.col("_quill_drop").isNull(), F.col(c)).otherwise(F.length("_quill_text")).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
     return out.select(*columns)
 
 
 def report(docs: DataFrame, least_words: int = 5, similarity: float = 0.9) -> DataFrame:
     """One row for each row of docs(doc_id, text): doc_id, n_lines, n_dropped, dropped (line numbers from 0), gone (whether dedup_lines drops the row)."""
-    out = _applied(docs.select("doc_id", "text"), least_words, similarity)
-    none = F.array().cast("array<int>")
     n = F.coalesce(F.regexp_count("text", F.lit("\n")) + 1, F.lit(0)).cast("long")
-    return out.select(F.col("doc_id").cast("long").alias("doc_id"), n.alias("n_lines"), F.coalesce(F.size("_quill_drop"), F.lit(0)).cast("long").alias("n_dropped"), F.coalesce("_quill_drop", none).alias("dropped"), F.col("_quill_whole").alias("gone"))
+    keyed = docs.select(docs["doc_id"].cast("long").alias("doc_id"), n.alias("n_lines"), *_keys(docs))
+    out = _with_drops(docs, keyed, least_words, similarity)
+    none = F.array().cast("array<int>")
+    return out.select("doc_id", "n_lines", F.coalesce(F.size("_quill_drop"), F.lit(0)).cast("long").alias("n_dropped"), F.coalesce("_quill_drop", none).alias("dropped"), F.col("_quill_gone").alias("gone"))

@@ -123,6 +123,9 @@ def test_rabitq(spark):
             assert x.score == pytest.approx(d[x.vec_id], abs=1e-12)
         assert [(got[i].score, got[i].vec_id) for i in range(1, 11)] == sorted((x.score, x.vec_id) for x in got.values())
     assert hits / (10 * len(by)) >= 0.97
+    twice = df.unionByName(df.where("vec_id % 100 = 0 or vec_id < 50"))
+    again = rabitq.search(twice, twice.where("vec_id % 100 = 0"), k=10, block_rows=400, query_rows=6).collect()
+    assert sorted((x.query_id, x["rank"], x.vec_id) for x in again) == sorted((x.query_id, x["rank"], x.vec_id) for x in out)
     few = spark.createDataFrame(rows[:3], "vec_id long, embedding array<float>")
     assert rabitq.search(few, few.where("vec_id = 0")).count() == 2
     assert rabitq.search(few.limit(0), few).count() == 0
