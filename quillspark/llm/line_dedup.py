@@ -117,8 +117,8 @@ def _between(words: str) -> Column:
     return F.slice(words, F.col("before") + 1, F.size(words) - F.col("before") - F.col("after"))
 
 
-def edits(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) with edits, their edit distance as far as the similarity allows (null beyond), and most, what it allows.
+def edits(pairs: DataFrame, texts: DataFrame, similarity: float, reach: int = 1) -> DataFrame:
+    """Pairs (a, b) with most, what the similarity allows, and edits, their edit distance as far as `reach` times that (null beyond).
 
     Words that both lines begin or end with add nothing to the distance and are left out. As the work grows with the
     bound, distances are first sought within the length of the words that one line has and the other has not, which
@@ -126,7 +126,7 @@ def edits(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """
     joined = pairs.select("a", "b").join(texts.select(F.col("line").alias("b"), F.col("norm").alias("norm_b")), "b").join(texts.select(F.col("line").alias("a"), F.col("norm").alias("norm_a")), "a")
     joined = joined.withColumn("most", F.floor((1 - F.lit(similarity)) * F.greatest(F.length("norm_a"), F.length("norm_b")) + 1e-9).cast("int"))
-    joined = joined.where(F.abs(F.length("norm_a") - F.length("norm_b")) <= F.col("most")).select("a", "b", "most", F.split("norm_a", " ").alias("wa"), F.split("norm_b", " ").alias("wb"))
+    joined = joined.select("a", "b", "most", F.split("norm_a", " ").alias("wa"), F.split("norm_b", " ").alias("wb"))
     same = lambda x, y: F.array_position(F.zip_with(x, y, lambda v, w: F.coalesce(v == w, F.lit(False))), False).cast("int")
     size = F.least(F.size("wa"), F.size("wb"))
     first = F.when(same("wa", "wb") == 0, size).otherwise(same("wa", "wb") - 1)
@@ -136,7 +136,7 @@ def edits(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     alone = lambda x, y: F.length(F.array_join(F.array_except(x, y), " "))
     flat = lambda w: F.concat(F.array_join(w, " "), F.when(F.size(w) > 0, " ").otherwise(""))
     mid = mid.select("a", "b", "most", F.least("most", F.greatest(alone("wa", "wb"), alone("wb", "wa")) + 4).alias("guess"), flat("wa").alias("x"), flat("wb").alias("y"))
-    found = F.expr("coalesce(nullif(levenshtein(x, y, guess), -1), case when guess < most then nullif(levenshtein(x, y, most), -1) end)")
+    found = F.expr("coalesce(nullif(levenshtein(x, y, guess), -1), case when guess < most then nullif(levenshtein(x, y, most), -1) end" + (f", nullif(levenshtein(x, y, {reach} * most), -1))" if reach > 1 else ")"))
     return mid.select("a", "b", "most", found.cast("int").alias("edits"))
 
 
@@ -173,26 +173,27 @@ def line_groups(docs: DataFrame, lines: DataFrame, similarity: float = 0.9) -> D
     Lines that occur once without a link are left out.
 
     Lines that share a key are in a bucket. They are first compared with the head of the bucket, the line that
-    shares most of its keys, as an unedited line shares more than its edited copies. Where that leaves a bucket
+    shares the largest part of its keys, as an unedited line shares more than its edited copies. Where that leaves a bucket
     with several components, lines outside its largest one are compared with those of other components, but for
     pairs whose distances from the head differ by more than a link allows. So a bucket of one group costs a pass,
     and no link within a bucket is missed.
     """
-    nodes = materialize(lines.groupBy("line").agg(F.min("row").alias("row"), F.count("*").alias("n"), F.min("code").alias("code"), F.min("chars").alias("chars")), "line-nodes")
+    nodes = materialize(lines.groupBy("line").agg(F.min("row").alias("row"), F.count("*").alias("n"), F.min("code").alias("code"), F.min("chars").alias("chars"), F.min(F.size("keys")).alias("n_keys")), "line-nodes")
     keys = lines.select("line", F.explode("keys").alias("bucket")).where("bucket is not null")
     shared = keys.groupBy("bucket").agg(F.min("line").alias("lo"), F.max("line").alias("hi")).where("lo < hi").select("bucket")
     members = materialize(keys.join(shared.hint("shuffle_hash"), "bucket", "left_semi").distinct(), "line-members")
-    rank = F.shiftleft(F.least(F.count("*"), F.lit((1 << 20) - 1)), 43).bitwiseOR(F.col("line").bitwiseAND(F.lit((1 << 43) - 1)))
-    facts = members.groupBy("line").agg(rank.alias("rank")).join(nodes.select("line", "code", "chars"), "line")
+    share = F.floor(F.least(F.col("shared") / F.col("n_keys"), F.lit(1.0)) * ((1 << 20) - 1)).cast("long")
+    rank = F.shiftleft(share, 43).bitwiseOR(F.col("line").bitwiseAND(F.lit((1 << 43) - 1)))
+    facts = members.groupBy("line").agg(F.count("*").alias("shared")).join(nodes, "line").select("line", "code", "chars", rank.alias("rank"))
     members = materialize(members.join(facts, "line").select("bucket", "rank", F.col("line").alias("b"), F.col("code").alias("b_code"), F.col("chars").alias("b_chars")), "line-facts")
     heads = members.groupBy("bucket").agg(*[F.max_by(f"b{c}", "rank").alias(f"a{c}") for c in ("", "_code", "_chars")])
     star = members.join(heads, "bucket").where((F.col("a") != F.col("b")) & _close("a", "b", similarity))
 
-    def measured(pairs: DataFrame, label: str) -> DataFrame:
+    def measured(pairs: DataFrame, label: str, reach: int) -> DataFrame:
         pairs = materialize(pairs, f"{label}-pairs")
-        return cut(edits(pairs, _texts(docs, lines, nodes, pairs, label), similarity))
+        return cut(edits(pairs, _texts(docs, lines, nodes, pairs, label), similarity, reach))
 
-    near = measured(star.select("a", "b").distinct(), "line-star")
+    near = measured(star.select("a", "b").distinct(), "line-star", 2)
     link = lambda pairs: pairs.where("edits <= most").select(F.col("a").alias("src"), F.col("b").alias("dst"))
     edges = link(near)
     parts = cut(connected_components(edges))
@@ -202,7 +203,7 @@ def line_groups(docs: DataFrame, lines: DataFrame, similarity: float = 0.9) -> D
     divided = sizes.groupBy("bucket").agg(F.count("*").alias("parts"), F.max_by("part", F.struct("n", "part")).alias("main")).where("parts > 1").select("bucket", "main")
     mixed = placed.join(divided, "bucket").join(heads.select("bucket", "a"), "bucket").join(near, ["a", "b"], "left")
     far = F.lit(1 << 30)
-    known = mixed.withColumns({"least": F.when(F.col("a") == F.col("b"), 0).when(F.col("most").isNull(), 0).otherwise(F.coalesce("edits", F.col("most") + 1)), "upmost": F.when(F.col("a") == F.col("b"), 0).otherwise(F.coalesce("edits", far))})
+    known = mixed.withColumns({"least": F.when(F.col("a") == F.col("b"), 0).when(F.col("most").isNull(), 0).otherwise(F.coalesce("edits", 2 * F.col("most") + 1)), "upmost": F.when(F.col("a") == F.col("b"), 0).otherwise(F.coalesce("edits", far))})
     known = materialize(known.select("bucket", "part", "main", "least", "upmost", F.col("b").alias("y"), F.col("b_code").alias("y_code"), F.col("b_chars").alias("y_chars")), "line-divided")
     outside = known.where("part <> main").select("bucket", *[F.col(c).alias("x_" + c) for c in ("part", "least", "upmost")], F.col("y").alias("x"), F.col("y_code").alias("x_code"), F.col("y_chars").alias("x_chars"))
     allowed = most_edits("x_chars", "y_chars", similarity)
@@ -210,7 +211,7 @@ def line_groups(docs: DataFrame, lines: DataFrame, similarity: float = 0.9) -> D
     once = (F.col("part") == F.col("main")) | (F.col("x") < F.col("y"))
     crossing = outside.join(known, (outside["bucket"] == known["bucket"]) & (F.col("part") != F.col("x_part")) & once & metric & _close("x", "y", similarity))
     crossing = crossing.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    more = link(measured(crossing, "line-crossing"))
+    more = link(measured(crossing, "line-crossing", 1))
     parts = cut(connected_components(more.unionByName(parts.select(F.col("node").alias("src"), F.col("component").alias("dst")))))
 
     named = nodes.select("line", "n").join(parts.withColumnRenamed("node", "line"), "line", "left")
