@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: A word is a run of characters other than the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Edges that one task of connected_components takes, and its tasks at least.
+EDGES_A_TASK, LEAST_TASKS = 100_000, 8
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,22 +68,26 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Returns (node, component), one row for each node of a non-loop edge.
 
     Alternating large-star and small-star rounds: each is one aggregation and one join, hubs are split by
-    AQE's skew join, and the driver sees only a count and a checksum per round.
+    AQE's skew join, and the driver sees only a count and a checksum per round. The number of tasks that write a
+    round's edges follows their number, so few edges don't leave a file in every shuffle partition.
     """
+    most = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pairs = edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).where("u <> v").distinct()
     pairs = cut(pairs)
-    seen = None
+    seen, n = None, pairs.count()
     for _ in range(max_rounds):
+        tasks = max(LEAST_TASKS, min(most, n // EDGES_A_TASK + 1))
+        pairs = pairs.coalesce(tasks)
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(low, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct().coalesce(tasks)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        pairs = cut(small)
+        pairs = cut(small.coalesce(tasks))
         now = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(now) == seen:
             break
-        seen = tuple(now)
+        seen, n = tuple(now), now[0]
     else:
         raise RuntimeError("connected components did not settle")
     roots = pairs.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
