@@ -156,8 +156,8 @@ def train(docs: DataFrame, labels: DataFrame, rounds: int = 30, depth: int = 4,
     """Fit on labelled documents: docs(doc_id, text), labels(doc_id, toxic).
 
     Labels whose id is held out (crc32 of its text modulo 5 is 0) are not used; of several labels of an id the
-    largest counts, null ones don't. At most SAMPLE_ROWS ids, of smallest hash, are used: the lexicon is learned
-    from all of them, the trees from four of five and the calibration from the fifth.
+    largest counts, null ones don't. At most SAMPLE_ROWS ids, of smallest hash, are used: the lexicon and the trees
+    learn from four of five, the calibration from the fifth, which neither has seen.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out("doc_id", 5, 0)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(SAMPLE_ROWS)
@@ -167,8 +167,9 @@ def train(docs: DataFrame, labels: DataFrame, rounds: int = 30, depth: int = 4,
     rate = toxic / n if n else 0.0
     if not 0 < toxic < n:
         return ToxicityModel(Lexicon(), rate)
-    lexicon = _learn_lexicon(sample, rate)
-    rows = annotate(sample, lexicon).select("doc_id", "toxic", "_quill_features", (F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.lit(5)) == 0).alias("kept"))
+    kept = F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.lit(5)) == 0
+    lexicon = _learn_lexicon(sample.where(~kept), rate)
+    rows = annotate(sample, lexicon).select("doc_id", "toxic", "_quill_features", kept.alias("kept"))
     rows = materialize(rows, "toxicity-features").coalesce(8).select(F.col("toxic").cast("double").alias("label"), array_to_vector("_quill_features").alias("features"), "kept")
     fit = rows.where("not kept")
     if fit.select("label").distinct().count() < 2:
