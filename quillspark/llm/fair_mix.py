@@ -44,7 +44,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     Returns doc_id, source, size, source_size, target, virtual_start, virtual_finish (of the first copy) and
     taken, the words that the mix takes of all copies of the row.
 
-    Within its source a document stands at the place its seeded hash gives. Its first copy is served from
+    Within its source a document stands at the place its seeded hash gives (60 bits of the MD5 of doc_id, size and
+    seed, which SQL has too). Its first copy is served from
     virtual time start / target to end / target, where start and end are the source's cumulative words; its
     next copies follow after a whole pass of the source. The budget, the sum of all targets, ends at virtual
     time 1: copies that finish by then are taken whole, the copy in service is cut there, later ones are not
@@ -62,8 +63,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
         targets = F.broadcast(targets)
     t = targets.select(F.col("source").alias("t_source"), "source_size", "source_no", "target", F.ceil(F.col("rows") / F.lit(bucket_rows)).alias("buckets"))
     placed = sizes.join(t, sizes["source"].eqNullSafe(t["t_source"])).drop("t_source")
-    placed = placed.withColumn("place", F.xxhash64(F.lit(seed), "doc_id", "size"))
-    placed = placed.withColumn("bucket", F.floor((F.col("place") / F.lit(2.0**64) + 0.5) * F.col("buckets")))
+    key = F.concat_ws(":", F.col("doc_id").cast("string"), F.col("size").cast("string"), F.lit(str(seed)))
+    placed = placed.withColumn("place", F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("long"))
+    placed = placed.withColumn("bucket", F.floor(F.col("place") / F.lit(2.0**60) * F.col("buckets")))
     sums = placed.groupBy("source_no", "bucket").agg(F.sum("size").alias("bucket_size"))
     earlier = Window.partitionBy("source_no").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("source_no", "bucket", F.coalesce(F.sum("bucket_size").over(earlier), F.lit(0)).alias("ahead"))

@@ -70,6 +70,16 @@ ORACLE_SQL: dict[str, str] = {
 w as (select *, max(page_id) over (partition by payload_digest) as top from p)
 select page_id, payload_bytes, payload_digest, case when payload_bytes>=1000 and page_id<top then 'revisit' else 'response' end as record_type,
  case when payload_bytes>=1000 and page_id<top then top end as refers_to from w""",
+    "op9_fair_mix": r"""with s as (select doc_id, source, cast(len(regexp_extract_all(coalesce(text,''),'[^\x20\x09-\x0D]+')) as bigint) as size from documents),
+p as (select *, cast('0x'||substr(md5(concat_ws(':',cast(doc_id as varchar),cast(size as varchar),'17')),1,15) as bigint) as place from s),
+b as (select source, cast(sum(size) as bigint) as source_size, row_number() over (order by source nulls last) as source_no from s group by 1),
+c as (select *, cast([5,2,1][(source_no-1)%3+1] as double) as weight, 2*cast(source_size as double) as cap, cast(sum(source_size) over () as double)*cast(1.5 as double) as budget from b),
+l as (select *, (budget-coalesce(sum(cap) over (order by cap/weight, source_no rows between unbounded preceding and 1 preceding),0))/sum(weight) over (order by cap/weight, source_no rows between current row and unbounded following) as level,
+ row_number() over (order by cap/weight, source_no) as i from c),
+t as (select source, source_size, coalesce(least(cap, weight*(select min_by(level, i) from l where level<=cap/weight)), cap) as target from l),
+q as (select p.doc_id, p.source, p.size, t.source_size, t.target, cast(sum(p.size) over (partition by p.source order by p.place, p.doc_id nulls first rows unbounded preceding) as bigint) as stop from p join t on p.source is not distinct from t.source)
+select doc_id, source, size, source_size, target, case when target>0 then (stop-size)/target end as virtual_start, case when target>0 then stop/target end as virtual_finish,
+ cast(greatest(0,least(size,round(target)-(stop-size)))+greatest(0,least(size,round(target)-(stop-size)-source_size)) as bigint) as taken from q""",
     "op10_near_dup": r"""with recursive d as (select doc_id, regexp_extract_all(translate(text,'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz'),'[^\x20\x09-\x0D]+') as w from documents),
 u as (select doc_id, unnest(w) as w, unnest(range(len(w))) as i, len(w) as n from d),
 g as (select doc_id, n, w||' '||lead(w,1) over o||' '||lead(w,2) over o||' '||lead(w,3) over o||' '||lead(w,4) over o as s from u window o as (partition by doc_id order by i)),
