@@ -11,7 +11,7 @@ from quillspark.operators import corpus as C
 from quillspark.operators import knowledge as K
 from quillspark.operators import quality as Q
 from quillspark.operators import retrieval as R
-from quillspark.plans import audits  # noqa: F401
+from quillspark.plans import audits, more, rollups  # noqa: F401
 from quillspark.plans import queries as P
 from quillspark.sources import files as S
 from quillspark.streaming import metrics as M
