@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,9 +14,10 @@ EXTRACTION_MARKS = "­�"
 HEADER = r"(?i)^(reprint\s+\d{4}\s*-\s*\d{2}|(mathematics|science)\s*\|\s*grade\s+\d+|chapter\s+\d+|fig\.?\s*\d+(\.\d+)?|table\s+\d+(\.\d+)?)$"
 #: What marks a line of a book's imprint.
 IMPRINT = r"(?i)\b(isbn|copyright|all rights reserved|published by|republication|no part of this publication|printed at)\b"
+#: A line that is a page number, and one that is a heading.
 PAGE_NUMBER = r"(?i)^(page\s*(no\.?)?\s*)?\d{1,4}$"
 HEADING = r"(?i)^((chapter|unit|lesson|section)\s+\d+|\d+(\.\d+)+\s)"
-#: Thresholds of the formula and table predicates by profile: longest formula, longest short line.
+#: Thresholds of the formula and table predicates by profile: longest formula, longest short line.
 PROFILES = {"basic": (180, 28), "audit": (160, 25), "extract": (220, 28), "semantic": (260, 34)}
 
 
@@ -129,45 +131,93 @@ def word_windows(docs: DataFrame, target: int = 350, longest: int = 450) -> Data
     return rows.select("doc_id", F.col("piece").cast("long").alias("piece_no"), F.size(part).cast("long").alias("n_words"), F.array_join(part, " ").alias("text")).where("n_words > 0")
 
 
-def fold_groups(lengths: Column, target: int, most: int, least: int = 0, joint: int = 0) -> Column:
-    """Greedy grouping of an array of lengths: the number of each element's group.
+def _starts(lengths, target: int, most: int, least: int, joint: int) -> list[int]:
+    """Places, from 1, at which the groups of a greedy fold begin."""
+    out, total = [], 0
+    for place, x in enumerate(lengths, 1):
+        longer = total + joint + abs(x)
+        if out and x >= 0 and total >= 0 and (longer <= target or (total < least and longer <= most)):
+            total = longer
+        else:
+            out.append(place)
+            total = x
+    return out
+
+
+def fold_starts(lengths: Column, target: int, most: int = 1 << 60, least: int = 0, joint: int = 0) -> Column:
+    """Greedy grouping of an array of lengths: the places, from 1, at which groups begin.
 
     An element joins the group before it while the sum, with `joint` between elements, is at most `target`, or
-    at most `most` where the group is still below `least`.
+    at most `most` where the group is still below `least`. An element of negative length stands alone. One pass
+    over lengths in Arrow batches; texts don't go through Python.
     """
-    state = F.struct(F.array().cast("array<int>").alias("ids"), F.lit(0).alias("id"), F.lit(0).cast("long").alias("sum"))
 
-    def step(s: Column, x: Column) -> Column:
-        total = s["sum"] + joint + x
-        fits = (F.size(s["ids"]) > 0) & ((total <= target) | ((s["sum"] < least) & (total <= most)))
-        number = F.when(F.size(s["ids"]) == 0, 0).when(fits, s["id"]).otherwise(s["id"] + 1)
-        return F.struct(F.concat(s["ids"], F.array(number)).alias("ids"), number.alias("id"), F.when(fits, total).otherwise(x.cast("long")).alias("sum"))
+    @F.pandas_udf("array<int>")
+    def fold(values: pd.Series) -> pd.Series:
+        return values.map(lambda x: _starts(x.tolist(), target, most, least, joint))
+
+    return fold(lengths)
+
+
+def grouped(parts: str, starts: str, separator: str) -> Column:
+    """The parts of each group joined, by the places at which groups begin."""
+    stop = lambda i: F.coalesce(F.get(F.col(starts), i + 1), F.size(parts) + 1)
+    return F.transform(starts, lambda s, i: F.array_join(F.slice(parts, s, stop(i) - s), separator))
 
-    return F.aggregate(lengths, state, step, lambda s: s["ids"])
+
+def merge_parts(docs: DataFrame, parts: Column, length, separator: str, target: int, most: int = 1 << 60, least: int = 0, joint: int = 0) -> DataFrame:
+    """Parts of each text merged to chunks by fold_starts, within a row and without a shuffle: doc_id, chunk_no, text."""
+    rows = docs.select("doc_id", parts.alias("parts")).where(F.size("parts") > 0)
+    rows = rows.withColumn("starts", fold_starts(F.transform("parts", lambda p: length(p).cast("long")), target, most, least, joint))
+    rows = rows.select("doc_id", F.posexplode(grouped("parts", "starts", separator)).alias("chunk_no", "text"))
+    return rows.withColumn("chunk_no", F.col("chunk_no").cast("long"))
+
+
+def spaced_words(text: Column) -> Column:
+    """Runs of other than white space."""
+    return F.coalesce(F.regexp_count(text, F.lit(r"\S+")), F.lit(0)).cast("long")
 
 
 def merge_paragraphs(docs: DataFrame, target_min: int = 800, target_max: int = 1500, hard_max: int = 5000) -> DataFrame:
     """Adjacent lines of a document merged to chunks: doc_id, chunk_no, n_chars, text.
 
-    The decision depends on lengths alone, so the fold runs over lengths within a document.
+    A line joins the chunk before it up to target_max characters, or up to hard_max while that chunk is below
+    target_min; a longer line is a chunk by itself.
     """
-    rows = docs.select("doc_id", T.lines("text").alias("parts")).where(F.size("parts") > 0)
-    rows = rows.withColumn("ids", fold_groups(F.transform("parts", lambda p: F.length(p)), target_max, hard_max, target_min, 2))
-    rows = rows.select("doc_id", F.posexplode(F.arrays_zip("ids", "parts")).alias("ord", "x")).groupBy("doc_id", F.col("x.ids").cast("long").alias("chunk_no"))
-    merged = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", F.col("x.parts").alias("p")))), lambda s: s["p"]), "\n\n")
-    return rows.agg(merged.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+    return merge_parts(docs, T.lines("text"), F.length, "\n\n", target_max, hard_max, target_min, 2).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def semantic_chunks(docs: DataFrame, least: int = 200, most: int = 400) -> DataFrame:
     """Chunks of whole sentences of a document, at most `most` words unless one sentence has more: doc_id, chunk_no, n_words, text.
 
-    A chunk ends at the first sentence end after `least` words; a last one shorter than that joins the one before.
+    A chunk ends at the first sentence end at which it has `least` words; the last one may have fewer.
+    """
+    return merge_parts(docs, T.sentences("text"), spaced_words, " ", least, most, least).withColumn("n_words", spaced_words(F.col("text")))
+
+
+def merge_short_paragraphs(docs: DataFrame, least: int = 120) -> DataFrame:
+    """Paragraphs joined to the one before while that has fewer than `least` characters: doc_id, chunk_no, text."""
+    return merge_parts(docs, T.paragraphs("text"), F.length, "\n\n", -1, least=least, joint=2)
+
+
+def section_pieces(docs: DataFrame, most: int = 2000) -> DataFrame:
+    """Texts in pieces of whole lines of at most `most` words, unless one line has more: doc_id, chunk_no, text."""
+    return merge_parts(docs, T.lines("text"), spaced_words, "\n", most)
+
+
+def speech_parts(docs: DataFrame, most: int = 240) -> DataFrame:
+    """Texts in parts of at most `most` characters to be spoken: doc_id, chunk_no, text.
+
+    Whole sentences; those that are too long in clauses, and clauses that are too long in words. A longer word is a part by itself.
     """
-    rows = docs.select("doc_id", T.sentences("text").alias("parts")).where(F.size("parts") > 0)
-    rows = rows.withColumn("ids", fold_groups(F.transform("parts", lambda p: F.coalesce(F.regexp_count(p, F.lit(r"\S+")), F.lit(0))), least, most, least))
-    rows = rows.select("doc_id", F.posexplode(F.arrays_zip("ids", "parts")).alias("ord", "x")).groupBy("doc_id", F.col("x.ids").cast("long").alias("chunk_no"))
-    merged = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", F.col("x.parts").alias("p")))), lambda s: s["p"]), " ")
-    return rows.agg(merged.alias("text")).withColumn("n_words", F.regexp_count("text", F.lit(r"\S+")).cast("long"))
+    inner = lambda pieces, pattern: F.flatten(F.transform(pieces, lambda s: F.when(F.length(s) <= most, F.array(s)).otherwise(F.filter(F.split(s, pattern), lambda x: x != ""))))
+    return merge_parts(docs, inner(inner(F.transform(T.sentences("text"), T.strip), r"(?<=[,;:])\s+"), r"\s+"), F.length, " ", most, joint=1)
+
+
+def atomic_chunks(docs: DataFrame, alone, most: int = 1300) -> DataFrame:
+    """Lines packed to chunks of less than `most` characters; those for which `alone` holds are chunks by themselves: doc_id, chunk_no, text."""
+    signed = lambda p: F.when(alone(p), -F.length(p)).otherwise(F.length(p))
+    return merge_parts(docs, T.lines("text"), signed, "\n\n", most - 2, joint=2)
 
 
 def exact_duplicates(docs: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
 
+#: Words of boilerplate, and what a term is.
 BOILERPLATE = r"(?i)\b(isbn|copyright|all rights reserved|published by|printed at|reprint|contents|table of contents|answer key)\b"
 TERM = "[a-z][a-z0-9_-]{3,}"
 

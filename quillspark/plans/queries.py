@@ -321,16 +321,72 @@ def word_windows(spark, d):
     return C.word_windows(table(spark, d, "documents"))
 
 
-@query()
+_SENTENCES = r"list_filter(string_split(regexp_replace({0},'([.!?।])\s+','\1'||chr(1),'g'),chr(1)), lambda x: regexp_replace(x,'^\s+|\s+$','','g')<>'')"
+_PARAGRAPHS = r"list_filter(list_transform(regexp_split_to_array({0},'\n\s*\n'), lambda x: regexp_replace(x,'^\s+|\s+$','','g')), lambda x: x<>'')"
+_SPACED = r"len(regexp_extract_all({0},'\S+'))"
+
+
+def folded(parts: str, length: str, fits: str, joint: int, separator: str) -> str:
+    """A greedy fold over the parts of each document by recursion; `fits` is about `total`, of the group, and `longer`, with the next part x. A part of negative length stands alone."""
+    fit = fits.replace("longer", f"(total+{joint}+lens[i+1])")
+    fit = f"(total>=0 and lens[i+1]>=0 and ({fit}))"
+    return f"""with recursive l as materialized (select doc_id, {parts} as parts from documents where text is not null), s as materialized (select doc_id, list_transform(parts, lambda x: {length}) as lens, len(parts) as n from l where len(parts)>0),
+g(doc_id, i, id, total) as (select doc_id, 1, 0, cast(lens[1] as bigint) from s union all select g.doc_id, i+1, case when {fit} then id else id+1 end, cast(case when {fit} then total+{joint}+lens[i+1] else lens[i+1] end as bigint) from g join s on s.doc_id=g.doc_id where i<n),
+c as (select g.doc_id, cast(id as bigint) as chunk_no, string_agg(parts[i], {separator} order by i) as text from g join l on l.doc_id=g.doc_id group by 1,2)"""
+
+
+@query(f"{folded(_LINES.format('text'), 'length(x)', 'longer<=1500 or (total<800 and longer<=5000)', 2, 'chr(10)||chr(10)')} select *, length(text) as n_chars from c")
 def adjacent_merge(spark, d):
     return C.merge_paragraphs(table(spark, d, "documents"))
 
 
-@query()
+@query(f"{folded(_SENTENCES.format('text'), _SPACED.format('x'), 'longer<=200 or (total<200 and longer<=400)', 0, chr(39) + ' ' + chr(39))} select *, {_SPACED.format('text')} as n_words from c")
 def semantic_chunks(spark, d):
     return C.semantic_chunks(table(spark, d, "documents"))
 
 
+@query(f"{folded(_PARAGRAPHS.format('text'), 'length(x)', 'total<120', 2, 'chr(10)||chr(10)')} select * from c")
+def paragraph_merge(spark, d):
+    return C.merge_short_paragraphs(table(spark, d, "documents"))
+
+
+@query(f"{folded(_LINES.format('text'), _SPACED.format('x'), 'longer<=2000', 0, 'chr(10)')} select * from c")
+def section_pieces(spark, d):
+    return C.section_pieces(table(spark, d, "documents"))
+
+
+@query(f"{folded(_LINES.format('text'), 'case when regexp_matches(x,' + chr(39) + '[=+*/^-]' + chr(39) + ') then -length(x) else length(x) end', 'longer<=1298', 2, 'chr(10)||chr(10)')} select * from c")
+def atomic_chunks(spark, d):
+    """Lines packed to chunks, those with formulas by themselves."""
+    return C.atomic_chunks(table(spark, d, "documents"), lambda p: p.rlike(r"[=+*/^\-]"))
+
+
+_CLAUSES = r"string_split(regexp_replace(s,'([,;:])\s+','\1'||chr(1),'g'),chr(1))"
+_SPOKEN = rf"flatten(list_transform(flatten(list_transform(list_transform({_SENTENCES.format('text')}, lambda q: regexp_replace(q,'^\s+|\s+$','','g')), lambda s: case when length(s)<=240 then [s] else list_filter({_CLAUSES}, lambda y: y<>'') end)), lambda z: case when length(z)<=240 then [z] else list_filter(regexp_split_to_array(z,'\s+'), lambda y: y<>'') end))"
+
+
+@query(f"{folded(_SPOKEN, 'length(x)', 'longer<=240', 1, chr(39) + ' ' + chr(39))} select * from c")
+def speech_parts(spark, d):
+    """Texts in parts of 240 characters at most."""
+    return C.speech_parts(table(spark, d, "documents"))
+
+
+_PROFILES = ((100, 200), (150, 300), (200, 400), (250, 500))
+
+
+@query(f"""with {', '.join(f"p{a} as (select doc_id, " + str(a) + " as least, " + str(b) + f" as most, n_words from ({folded(_SENTENCES.format('text'), _SPACED.format('x'), f'longer<={a} or (total<{a} and longer<={b})', 0, chr(39) + ' ' + chr(39))} select *, {_SPACED.format('text')} as n_words from c))" for a, b in _PROFILES)},
+u as ({' union all '.join(f'select * from p{a}' for a, _ in _PROFILES)}), g as (select least, most, count(*) as chunks, round(avg(n_words),6) as mean_words, round(100*count(*) filter (n_words between least and most)/count(*),6) as score from u group by 1,2)
+select *, row_number() over (order by score desc, least)=1 as best from g""")
+def chunking_profiles(spark, d):
+    """Profiles of chunk lengths, scored by the share of chunks within them; the best one marked."""
+    docs, parts = table(spark, d, "documents"), None
+    for least, most in _PROFILES:
+        c = C.semantic_chunks(docs, least, most).select(F.lit(least).alias("least"), F.lit(most).alias("most"), "n_words")
+        parts = c if parts is None else parts.unionByName(c)
+    g = parts.groupBy("least", "most").agg(F.count("*").alias("chunks"), F.round(F.avg("n_words"), 6).alias("mean_words"), F.round(100 * F.count_if(F.col("n_words").between(F.col("least"), F.col("most"))) / F.count("*"), 6).alias("score"))
+    return g.withColumn("best", F.row_number().over(Window.orderBy(F.desc("score"), "least")) == 1)  # four rows
+
+
 _TERM_ROWS = f"""tok as (select doc_id, unnest({_TERMS.format('text', '[a-z0-9]{4,}')}) as term, unnest(range(len({_TERMS.format('text', '[a-z0-9]{4,}')}))) as pos from documents),
 tc as (select doc_id, term, count(*) as n, min(pos) as first_at from tok where not list_contains({_STOP}, term) group by 1,2),
 top as (select doc_id, term, n, row_number() over (partition by doc_id order by n desc, first_at) as rank from tc)"""
