@@ -25,7 +25,7 @@ def _c(x: Text) -> Column:
 
 def strip(text: Text) -> Column:
     """Without white space at either end."""
-    return F.regexp_replace(_c(text), r"^\s+|\s+$", "")
+    return F.btrim(_c(text), F.lit(" \t\n\x0b\f\r"))
 
 
 def normalize_text(text: Text) -> Column:
@@ -93,6 +93,12 @@ def shingles(words: Column, n: int) -> Column:
     return bound(words, lambda w: F.transform(starts(w), lambda i: F.array_join(F.slice(w, i, n), " ")))
 
 
+def word_runs(normalized: Text, n: int) -> Column:
+    """Runs of n words of a text with single spaces, none if it has fewer: one pass of an expression that looks ahead."""
+    run = " ".join([r"\S+"] * n)
+    return F.regexp_extract_all(_c(normalized), F.lit(rf"(?<!\S)(?=({run}))\S"), F.lit(1))
+
+
 def fragments(text: Text, widths: tuple[int, ...] = (3, 2, 1), limit: int = 24) -> Column:
     """Distinct word n-grams, wide ones first, at most `limit`."""
     w = tokens(text, "[a-z0-9]+")

@@ -67,7 +67,7 @@ def facts(df: DataFrame, text: str = "text") -> DataFrame:
         "short28": of(lambda x: F.length(x) <= 28), "short34": of(lambda x: F.length(x) <= 34),
         "listed": like("(?i)" + CHAPTER_LISTING), "chapter_lines": like("(?i)" + CHAPTER_LINE),
         "short_nav": of(lambda x: (F.length(x) <= 80) & F.lower(x).rlike(word(NAVIGATION_WORDS))),
-        "printable": F.length(F.regexp_replace("t", UNPRINTABLE, "")), "plain": F.regexp_count("t", F.lit(PLAIN)),
+        "printable": F.length(F.regexp_replace("t", UNPRINTABLE + "+", "")), "plain": F.length("t") - F.length(F.regexp_replace("t", PLAIN + "+", "")),
         "symbols": F.regexp_count("t", F.lit(SYMBOLS)),
     })
     return out

@@ -35,7 +35,7 @@ def is_header_footer(t: Column) -> Column:
 
 
 def is_formula_only(t: Column, profile: str = "basic") -> Column:
-    letters = F.length(F.regexp_replace(t, r"[^\p{L}]", ""))
+    letters = F.length(F.regexp_replace(t, r"[^\p{L}]+", ""))
     return (F.length(t) <= PROFILES[profile][0]) & t.rlike(r"[=+\-×÷*/^√∠∆π≤≥<>°]") & (T.word_count(t) <= 10) & (letters < 35)
 
 
@@ -48,7 +48,7 @@ def is_table_fragment(t: Column, profile: str = "basic") -> Column:
 
 
 def is_extraction_noise(t: Column) -> Column:
-    symbols = F.length(F.regexp_replace(t, r"[\p{L}\p{Nd}\s]", ""))
+    symbols = F.length(F.regexp_replace(t, r"[\p{L}\p{Nd}\s]+", ""))
     spaced = (F.length(t) >= 12) & t.rlike(r"(?:[A-Za-z]\s){5,}[A-Za-z]")
     return t.rlike(f"[{EXTRACTION_MARKS}]") | spaced | ((F.length(t) >= 20) & (symbols / F.greatest(F.length(t), F.lit(1)) > 0.45))
 
@@ -58,15 +58,19 @@ def classify_chunks(chunks: DataFrame, order: list[str], text: str = "text", lea
     DUPLICATE_CONTENT whatever else they are.
 
     Copies are found by one hash aggregate of the smallest place of each hash, joined back, so a very common
-    chunk is a skewed join key and not one window partition.
+    chunk is a skewed join key and not one window partition. Rules are tested before that join: where `cleaned`
+    isn't used later, hash, place and class alone are shuffled.
     """
     c = chunks.withColumn("cleaned", clean_chunk(F.col(text))).withColumn("_hash", T.content_hash("cleaned"))
     place = F.struct(*order)
     first = c.groupBy("_hash").agg(F.min(place).alias("_first"))
     t = F.col("cleaned")
+    small = F.length(t) < 20  # tested first, as most rules are for short chunks alone
     short = (F.length(t) < least_chars) | (T.word_count(t) < least_words)
-    rule = F.when(t == "", "EMPTY_CONTENT").when(place != F.col("_first"), "DUPLICATE_CONTENT").when(is_page_number(t), "PAGE_NUMBER").when(is_header_footer(t), "HEADER_FOOTER").when(is_extraction_noise(t), "OCR_NOISE").when(is_formula_only(t), "FORMULA_ONLY").when(is_table_fragment(t), "TABLE_FRAGMENT").when(short, "SHORT_FRAGMENT").otherwise("EDUCATIONAL_TEXT")
-    return c.join(first, "_hash").withColumn("chunk_class", rule).drop("_hash", "_first")
+    own = F.when(t == "", "EMPTY_CONTENT").when(small & is_page_number(t), "PAGE_NUMBER").when(is_header_footer(t), "HEADER_FOOTER").when(is_extraction_noise(t), "OCR_NOISE").when((F.length(t) <= PROFILES["basic"][0]) & is_formula_only(t), "FORMULA_ONLY").when(t.contains("\n") & is_table_fragment(t), "TABLE_FRAGMENT").when(short, "SHORT_FRAGMENT").otherwise("EDUCATIONAL_TEXT")
+    classed = c.withColumn("_own", own).join(first, "_hash")
+    rule = F.when((F.col("_own") != "EMPTY_CONTENT") & (place != F.col("_first")), "DUPLICATE_CONTENT").otherwise(F.col("_own"))
+    return classed.withColumn("chunk_class", rule).drop("_hash", "_first", "_own")
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -227,26 +231,31 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     return hashed.join(first, "text_hash").withColumn("keep", F.col("doc_id") == F.col("first_id"))
 
 
-def shingle_key(text: Column, width: int = 5, smallest: int = 18, least_words: int = 10) -> Column:
-    """SHA-1 of the `smallest` first distinct word shingles in order; null below least_words words."""
-    w = F.split(T.normalize_text(text), " ")
-    return F.when(F.size(w) >= least_words, F.sha1(F.array_join(F.slice(F.array_sort(F.array_distinct(T.shingles(w, width))), 1, smallest), "|")))
+def with_shingle_key(docs: DataFrame, *columns: str, width: int = 5, smallest: int = 18, least_words: int = 10) -> DataFrame:
+    """columns and key, the SHA-1 of the `smallest` first distinct word shingles in order; texts below least_words words are left out.
+
+    The key is never null and the filter is on the number of words, so no filter repeats the work of the key.
+    """
+    norm = T.normalize_text("text")
+    long_enough = docs.where(F.regexp_count(norm, F.lit(" ")) + 1 >= least_words)
+    runs = F.slice(F.array_sort(F.array_distinct(T.word_runs(norm, width))), 1, smallest)
+    return long_enough.select(*columns, F.coalesce(F.sha1(F.array_join(runs, "|")), F.lit("")).alias("key"))
 
 
 def key_groups(docs: DataFrame) -> DataFrame:
     """Groups of documents with one shingle key: key, first_id, documents."""
-    keyed = docs.select("doc_id", shingle_key(F.col("text")).alias("key")).where("key is not null")
-    return keyed.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("documents")).where("documents > 1")
+    return with_shingle_key(docs, "doc_id").groupBy("key").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("documents")).where("documents > 1")
 
 
 def key_group_similarity(docs: DataFrame, least: float = 0.75) -> DataFrame:
-    """Documents against the first of their shingle key: doc_id, first_id, similarity (Jaccard of 5-word shingles)."""
-    w = F.split(T.normalize_text("text"), " ")
-    sets = docs.select("doc_id", "text", shingle_key(F.col("text")).alias("key")).where("key is not null")
-    groups = key_groups(docs).select("key", "first_id")
-    members = sets.join(groups, "key").where("doc_id <> first_id").select("doc_id", "first_id", F.array_distinct(T.shingles(w, 5)).alias("a"))
-    firsts = docs.select(F.col("doc_id").alias("first_id"), F.array_distinct(T.shingles(w, 5)).alias("b"))
-    both = members.join(firsts, "first_id")
+    """Documents against the first of their shingle key: doc_id, first_id, similarity (Jaccard of 5-word shingles).
+
+    Texts of groups alone are cut into shingles; the others leave by the join on the key.
+    """
+    grouped_texts = with_shingle_key(docs, "doc_id", "text").join(key_groups(docs).select("key", "first_id"), "key")
+    sets = grouped_texts.select("key", "doc_id", "first_id", F.array_distinct(T.word_runs(T.normalize_text("text"), 5)).alias("a"))
+    firsts = sets.where("doc_id = first_id").select("key", F.col("a").alias("b"))
+    both = sets.where("doc_id <> first_id").join(firsts, "key")
     shared = F.size(F.array_intersect("a", "b"))
     return both.select("doc_id", "first_id", F.round(shared / (F.size("a") + F.size("b") - shared), 4).alias("similarity")).where(F.col("similarity") >= least)
 
