@@ -273,8 +273,12 @@ def near_duplicates(docs: DataFrame, percent: int = 75, miss: float = 1e-6, seed
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """docs without the rows that near_duplicates does not keep, and one row of each doc_id; same columns."""
+    """docs without the rows that near_duplicates does not keep, and one row of each doc_id; same columns.
+
+    Of rows that share a doc_id the one with the smallest hash of all its columns stays, so reruns agree. Rows
+    with null doc_id stay.
+    """
     kept = near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
-    named = docs.where(F.col("doc_id").isNotNull())
-    one = named.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns)))
+    one = docs.where(F.col("doc_id").isNotNull()).join(kept, "doc_id", "left_semi").withColumn("_quill_place", place).where("_quill_place = 1")
     return one.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))

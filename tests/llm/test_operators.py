@@ -496,6 +496,13 @@ def test_near_duplicates_odd(spark):
     assert {r.component_id for r in near_dup.near_duplicates(again).collect()} == {2}
 
 
+def test_row_kept_of_a_shared_id(spark):
+    """Of rows that share an id the same one stays, however the rows are dealt; null ids stay."""
+    rows = [(1, "a b c d e f g", "x"), (1, "quite another text of seven words here", "y"), (1, "a b c d e f g", "z"), (None, "a b c d e f g", "n"), (2, None, "q")]
+    kept = [sorted(map(str, near_dup.drop_near_duplicates(spark.createDataFrame(r, "doc_id long, text string, source string").repartition(n)).collect())) for r, n in ((rows, 1), (rows[::-1], 4))]
+    assert kept[0] == kept[1] and len(kept[0]) == 3
+
+
 def test_least_matches():
     assert near_dup.least_matches(128, 0.75, 1e-6) < 96 < near_dup.least_matches(128, 0.75, 0.6)
     assert near_dup.least_matches(16, 0.75, 1e-9) == 1
