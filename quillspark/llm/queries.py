@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import arc_convert, decontaminate, fair_mix, html_blocks, langid, line_dedup, near_dup, rabitq, separator_scan, toxicity
+from quillspark.llm import arc_convert, cross_tokenizer, decontaminate, fair_mix, html_blocks, langid, line_dedup, near_dup, periodic_runs, personal_data, rabitq, separator_scan, toxicity
 from quillspark.llm.common import drop_scratch, materialize, scratch_path, table
 
 
@@ -61,9 +61,21 @@ def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_html_blocks, op2_langid, op3_rabitq, op4_separator_scan, op5_line_dedup, op6_toxicity, op7_decontaminate, op8_arc_to_warc, op9_fair_mix, op10_near_dup)}
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.report(personal_data.find(table(spark, sf_dir, "documents")))
 
-#: The others learn a model, search approximately, tokenise or depend on a hash that SQL doesn't have; tests
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.report(periodic_runs.find(periodic_runs.with_planted_periods(table(spark, sf_dir, "documents")), min_exponent=4, min_length=6))
+
+
+def op13_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_tokenizer.align(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_html_blocks, op2_langid, op3_rabitq, op4_separator_scan, op5_line_dedup, op6_toxicity, op7_decontaminate, op8_arc_to_warc, op9_fair_mix, op10_near_dup, op11_personal_data, op12_periodic_runs, op13_cross_tokenizer)}
+
+#: The others learn a model, search approximately, tokenise, search for runs or offsets, or depend on a hash that SQL doesn't have; tests
 #: hold them against brute force, round trips or held-out labels.
 ORACLE_SQL: dict[str, str] = {
     "op8_arc_to_warc": """with p as (select page_id, cast(strlen(coalesce(html,'')) as bigint) as payload_bytes, sha1(coalesce(html,'')) as payload_digest from pages),
