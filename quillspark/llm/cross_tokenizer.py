@@ -18,7 +18,7 @@ BYTE_VOCABULARY, PIECE_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json", "/opt/t
 #: Split pattern of the byte-level vocabulary; a fixed value that belongs to it.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Documents that follow one another are counted together in blocks of so many links, or of one document of more.
-BLOCK_LINKS = 1 << 19
+BLOCK_LINKS = 1 << 21
 #: Links of one document that are expanded at a time.
 EXPANDED = 1 << 21
 #: A pair of ids in one number: the A id times PAIR, plus the B id.
@@ -52,16 +52,39 @@ class Tokenizers:
         pieces = [self._b.id_to_piece(i) for i in range(self._b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self._b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.lengths_a, self.lengths_b = (np.array([len(t) for t in x], np.int64) for x in (self.bytes_a, self.bytes_b))
+        self.said_a, self.said_b = ([f"{i}{sign}" for sign in signs for i in range(len(x))] for x, signs in ((self.bytes_a, ",|"), (self.bytes_b, ",;")))
+        self.said_a, self.said_b = np.array(self.said_a, object), np.array(self.said_b, object)
 
-    def encode(self, text: str | None) -> tuple[list[int], list[int]]:
+    def encode(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of A for space + text and of B for text; none if either's bytes are not those of space + text."""
+        none = np.array([], np.int64)
         if not text:
-            return [], []
+            return none, none
         source = (" " + text).encode()
         a, b = self._a.encode_ordinary(" " + text), self._b.encode(text)
-        if b"".join([self.bytes_a[i] for i in a]) != source or b"".join([self.bytes_b[i] for i in b]) != source:
-            return [], []
-        return a, b
+        if b"".join(map(self.bytes_a.__getitem__, a)) != source or b"".join(map(self.bytes_b.__getitem__, b)) != source:
+            return none, none
+        return np.array(a, np.int64), np.array(b, np.int64)
+
+    def slices(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the groups of encode()'s ids end in each of them."""
+        stops = slices(np.cumsum(self.lengths_a[a]).tolist(), np.cumsum(self.lengths_b[b]).tolist())
+        return np.array(stops[0], np.int64), np.array(stops[1], np.int64)
+
+    def digest(self, a: np.ndarray, b: np.ndarray, stops_a: np.ndarray, stops_b: np.ndarray) -> str:
+        """Hex SHA-256 of the groups as `a1,a2|b1;a3|b2,b3`, '' without tokens.
+
+        Every token is said with the sign after it, all at the places they have when groups follow one another.
+        """
+        if not len(a):
+            return ""
+        last_a, last_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        last_a[stops_a - 1], last_b[stops_b - 1] = len(self.bytes_a), len(self.bytes_b)
+        n_a, n_b = np.diff(stops_a, prepend=0), np.diff(stops_b, prepend=0)
+        said = np.empty(len(a) + len(b), object)
+        said[np.arange(len(a)) + np.repeat(stops_b - n_b, n_a)] = self.said_a[a + last_a]
+        said[np.arange(len(b)) + np.repeat(stops_a, n_b)] = self.said_b[b + last_b]
+        return hashlib.sha256("".join(said.tolist())[:-1].encode()).hexdigest()
 
 
 def slices(ends_a: list[int], ends_b: list[int]) -> tuple[list[int], list[int]]:
@@ -72,7 +95,7 @@ def slices(ends_a: list[int], ends_b: list[int]) -> tuple[list[int], list[int]]:
     """
     index_a, index_b = dict(zip(ends_a, range(1, len(ends_a) + 1))), dict(zip(ends_b, range(1, len(ends_b) + 1)))
     both = sorted(index_a.keys() & index_b.keys())
-    return [index_a[e] for e in both], [index_b[e] for e in both]
+    return list(map(index_a.__getitem__, both)), list(map(index_b.__getitem__, both))
 
 
 def linked_pairs(a: np.ndarray, b: np.ndarray, stops_a: np.ndarray, stops_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -106,17 +129,6 @@ def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return keys, np.bincount(place, np.concatenate([n for _, n in parts]), len(keys)).astype(np.int64)
 
 
-def digest(a: list[int], b: list[int], stops_a: list[int], stops_b: list[int]) -> str:
-    """Hex SHA-256 of the groups as `a1,a2|b1;a3|b2,b3`, '' without tokens."""
-    if not a:
-        return ""
-    x, y, parts, i, j = [str(t) for t in a], [str(t) for t in b], [], 0, 0
-    for k, m in zip(stops_a, stops_b):
-        parts.append(f"{x[i] if k == i + 1 else ','.join(x[i:k])}|{y[j] if m == j + 1 else ','.join(y[j:m])}")
-        i, j = k, m
-    return hashlib.sha256(";".join(parts).encode()).hexdigest()
-
-
 def groups(docs: DataFrame, byte_vocabulary: str = BYTE_VOCABULARY, piece_vocabulary: str = PIECE_VOCABULARY) -> DataFrame:
     """Aligned groups of every row of docs(doc_id, text): doc_id, a and b (token ids), stops_a and stops_b (tokens up to the end of each group).
 
@@ -133,7 +145,7 @@ def groups(docs: DataFrame, byte_vocabulary: str = BYTE_VOCABULARY, piece_vocabu
                 rows = []
                 for text in part.column(1):
                     a, b = t.encode(text.as_py())
-                    rows.append((a, b, *(slices(np.cumsum(t.lengths_a[a]).tolist(), np.cumsum(t.lengths_b[b]).tolist()) if a else ([], []))))
+                    rows.append((a, b, *t.slices(a, b)))
                 yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(c, pa.list_(pa.int32())) for c in zip(*rows, strict=True)]], names)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, a array<int>, b array<int>, stops_a array<int>, stops_b array<int>")
@@ -151,17 +163,13 @@ def measured(docs: DataFrame, byte_vocabulary: str = BYTE_VOCABULARY, piece_voca
                 rows = []
                 for text in part.column(1):
                     a, b = t.encode(text.as_py())
-                    if not a:
-                        rows.append((block, 0, 0, 0, 0, "", b"", b""))
-                        continue
-                    x, y = np.array(a), np.array(b)
-                    stops_a, stops_b = slices(np.cumsum(t.lengths_a[x]).tolist(), np.cumsum(t.lengths_b[y]).tolist())
-                    pairs, times = linked_pairs(x, y, np.array(stops_a), np.array(stops_b))
+                    stops_a, stops_b = t.slices(a, b)
+                    pairs, times = linked_pairs(a, b, stops_a, stops_b)
                     links = int(times.sum())
                     if held and held + links > BLOCK_LINKS:
                         block, held = block + 1, 0
                     held += links
-                    rows.append((block, len(a), len(b), len(stops_a), links, digest(a, b, stops_a, stops_b), pairs.tobytes(), times.astype(np.int32 if links < 1 << 31 else np.int64).tobytes()))
+                    rows.append((block, len(a), len(b), len(stops_a), links, t.digest(a, b, stops_a, stops_b), pairs.tobytes(), times.astype(np.int32 if links < 1 << 31 else np.int64).tobytes()))
                 yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), types[1:], strict=True)]], names)
 
     kinds = "doc_id long, block long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs binary, times binary"
