@@ -1,6 +1,8 @@
 """Registered queries against their SQL, and operators on small hand-made input."""
 
 import datetime as dt
+import importlib
+import pkgutil
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,12 +13,15 @@ from quillspark.operators import corpus as C
 from quillspark.operators import knowledge as K
 from quillspark.operators import quality as Q
 from quillspark.operators import retrieval as R
-from quillspark.plans import audits, more, rollups  # noqa: F401
+from quillspark import plans
 from quillspark.plans import queries as P
 from quillspark.sources import files as S
 from quillspark.streaming import metrics as M
 from tests import compare
 
+for _module in pkgutil.iter_modules(plans.__path__):  # every module of queries registers its own
+    importlib.import_module(f"quillspark.plans.{_module.name}")
+
 
 @pytest.fixture(scope="module")
 def con(sf):
