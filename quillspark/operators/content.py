@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -131,15 +133,23 @@ def navigation_reason() -> Column:
     ], None)
 
 
-def with_first(df: DataFrame, place: str = "doc_id") -> DataFrame:
-    """df with `again`: whether an equal normalised text stands at a smaller place. One hash aggregate, joined back by hash and place alone."""
-    hashed = df.withColumn("_hash", F.sha2("norm", 256))
-    first = hashed.groupBy("_hash").agg(F.min(place).alias("_first"))
-    return hashed.join(first, "_hash").withColumn("again", (F.col(place) != F.col("_first")) & (F.col("norm") != "")).drop("_hash", "_first")
+def with_first(df: DataFrame, place: str, rule: Callable[[], Column], name: str) -> DataFrame:
+    """df over facts() with `name`: the class that rule gives, which may ask for `again`, whether an equal normalised text stands at a smaller place. `again` stays too.
+
+    The rule is evaluated beside the text for both answers, so the text never leaves its task: a hash and the place
+    alone are shuffled, and what comes back for each place that is not the first of its hash is one flag. Empty texts,
+    of which there may be many, are never again and take no part.
+    """
+    both = df.withColumn("again", F.lit(False)).withColumn("_once", rule()).withColumn("again", F.lit(True)).withColumn("_again", rule()).drop("again")
+    hashed = df.where("norm <> ''").select(F.xxhash64("norm").alias("_h1"), F.sha2("norm", 256).alias("_h2"), F.col(place).alias("_place"))
+    first = hashed.groupBy("_h1", "_h2").agg(F.min("_place").alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    later = hashed.join(first, ["_h1", "_h2"]).where("_place <> _first").select("_place").distinct().withColumn("_later", F.lit(True))
+    joined = both.join(later, F.col(place).eqNullSafe(F.col("_place")), "left").withColumn("again", F.coalesce("_later", F.lit(False)))
+    return joined.withColumn(name, F.when(F.col("again"), F.col("_again")).otherwise(F.col("_once"))).drop("_place", "_later", "_once", "_again")
 
 
 def quality_class() -> Column:
-    """One of nine classes, over with_first(facts())."""
+    """One of nine classes, for with_first over facts()."""
     return first_of([
         ("EMPTY", F.col("norm") == ""), ("DUPLICATE", F.col("again")), ("TABLE_OF_CONTENTS", is_toc()), ("HEADER_FOOTER", is_imprint()), ("OCR_NOISE", is_noise()),
         ("FORMULA_ONLY", is_formula()), ("TABLE_FRAGMENT", is_table()), ("SHORT_FRAGMENT", F.col("words") < 100),
@@ -147,7 +157,7 @@ def quality_class() -> Column:
 
 
 def extraction_class() -> Column:
-    """One of eight classes of extracted text, over with_first(facts())."""
+    """One of eight classes of extracted text, for with_first over facts()."""
     headed = C.is_page_number(F.col("t")) | C.is_header_footer(F.col("t")) | F.col("text").rlike(C.IMPRINT)
     return first_of([
         ("EMPTY", F.col("norm") == ""), ("DUPLICATE", F.col("again")), ("HEADER_FOOTER", headed), ("OCR_NOISE", is_noise(21, 0.42)),

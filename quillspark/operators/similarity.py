@@ -124,7 +124,7 @@ class Recent:
         return any(matching_ratio(text, self.texts[newest - (newest - i) % self._last]) >= self._least for i in may.tolist())
 
 
-def near_repeats(rows: DataFrame, keys: list[str], last: int = 40, least: float = 0.95, max_rounds: int = 1000) -> DataFrame:
+def near_repeats(rows: DataFrame, keys: list[str], last: int = 40, least: float = 0.95, ranges: int | None = None, max_rounds: int = 1000) -> DataFrame:
     """Whether each row of rows(keys, doc_id, text) repeats an earlier one: doc_id, text_key (hash of its text), status.
 
     In order of doc_id, a row is `exact` if its normalised text has come before, whatever its keys; else `near` if its
@@ -135,7 +135,9 @@ def near_repeats(rows: DataFrame, keys: list[str], last: int = 40, least: float
     What is kept hangs on what was kept before. So that a bucket isn't one task's work, rows are dealt into ranges of
     (bucket, doc_id), and every range is folded at once as if it were the first. Then ranges whose bucket began
     earlier are folded again from the texts the range before ended with, until none begins with other texts than
-    before; a range seldom ends otherwise because it began otherwise, so few are folded twice. The first range is right after a round, each next one a round later at most, so the end is that of one long fold.
+    before. A range seldom ends otherwise because it began otherwise, so few are folded twice. The first range is right
+    after a round, each next one a round later at most, so the end is that of one long fold. There are as many ranges
+    as shuffle partitions unless `ranges` says how many.
     """
     bucket = F.to_json(F.struct(*keys)) if keys else F.lit("")
     norm = rows.select(bucket.alias("bucket"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), T.normalize_text("text").alias("text"))
@@ -146,8 +148,9 @@ def near_repeats(rows: DataFrame, keys: list[str], last: int = 40, least: float
     equal = lambda a, b: reduce(lambda x, y: x & y, [a[c].eqNullSafe(b[c]) for c in both])
     exact = norm.join(first, equal(norm, first), "left_anti").select(*both, F.lit("exact").alias("status"))
     rest = norm.join(first, equal(norm, first), "left_semi")
-    dealt = checkpointed(rest.repartitionByRange("bucket", "doc_id", "text_key").select("*", F.spark_partition_id().alias("part")))
-    ranges = checkpointed(dealt.select("bucket", "part").distinct().withColumn("before", F.lag("part").over(Window.partitionBy("bucket").orderBy("part"))))
+    order = ("bucket", "doc_id", "text_key")
+    dealt = checkpointed((rest.repartitionByRange(ranges, *order) if ranges else rest.repartitionByRange(*order)).select("*", F.spark_partition_id().alias("part")))
+    placed = checkpointed(dealt.select("bucket", "part").distinct().withColumn("before", F.lag("part").over(Window.partitionBy("bucket").orderBy("part"))))
     schema = "bucket string, part int, doc_id long, text_key long, kept boolean, state array<string>"
     target = pa.schema([("bucket", pa.string()), ("part", pa.int32()), ("doc_id", pa.int64()), ("text_key", pa.int64()), ("kept", pa.bool_()), ("state", pa.list_(pa.string()))])
 
@@ -167,14 +170,15 @@ def near_repeats(rows: DataFrame, keys: list[str], last: int = 40, least: float
         return pa.Table.from_arrays([pa.array([*x, end], t) for x, end, t in zip([*ids, kept, [None] * n], [ids[0][0], ids[1][0], None, None, None, recent.tail()], target.types, strict=True)], schema=target)
 
     def folded(some: DataFrame, states: DataFrame) -> DataFrame:
-        return checkpointed(some.groupBy("bucket", "part").cogroup(states.groupBy("bucket", "part")).applyInArrow(fold, schema))
+        begins = states.select(F.col("bucket").alias("to_bucket"), F.col("part").alias("to_part"), "state")
+        return checkpointed(some.groupBy("bucket", "part").cogroup(begins.groupBy("to_bucket", "to_part")).applyInArrow(fold, schema))
 
     on = ["bucket", "part"]
-    used = ranges.select(*on, F.array().cast("array<string>").alias("state"))
+    used = placed.select(*on, F.array().cast("array<string>").alias("state"))
     done = folded(dealt, used.limit(0))
     for _ in range(max_rounds):
         ends = done.where("state is not null").select("bucket", F.col("part").alias("before"), "state")
-        begins = ranges.where("before is not null").join(ends, ["bucket", "before"]).select(*on, "state")
+        begins = placed.where("before is not null").join(ends, ["bucket", "before"]).select(*on, "state")
         changed = checkpointed(begins.join(used.select(*on, F.col("state").alias("old")), on).where("state <> old").select(*on, "state"))
         if changed.isEmpty():
             kept = done.where("kept is not null").select(*both, F.when(F.col("kept"), "kept").otherwise("near").alias("status"))

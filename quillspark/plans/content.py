@@ -81,14 +81,14 @@ def cleaning_report(spark, d):
 @query(f"with {FACTS} select doc_id, {_QUALITY} as quality_class from f")
 def quality_classes(spark, d):
     """The quality class of each document; later copies of a text are DUPLICATE."""
-    return K.with_first(_facts(spark, d).drop("lines")).select("doc_id", K.quality_class().alias("quality_class"))
+    return K.with_first(_facts(spark, d), "doc_id", K.quality_class, "quality_class").select("doc_id", "quality_class")
 
 
 @query(rf"""with {FACTS} select doc_id, case when norm='' then 'EMPTY' when again then 'DUPLICATE' when regexp_matches(t,'{C.PAGE_NUMBER}') or regexp_matches(t,'{C.HEADER}') or regexp_matches(text,'{C.IMPRINT}') then 'HEADER_FOOTER' when {_noise(21, 0.42)} then 'OCR_NOISE' when {_formula(220, 18)} then 'FORMULA_ONLY'
  when {_table('short28', 0.62, 0.30)} then 'TABLE_FRAGMENT' when words<100 then 'SHORT_FRAGMENT' else 'GOOD' end as extraction_class from f""")
 def extraction_classes(spark, d):
     """The extraction class of each document."""
-    return K.with_first(_facts(spark, d).drop("lines")).select("doc_id", K.extraction_class().alias("extraction_class"))
+    return K.with_first(_facts(spark, d), "doc_id", K.extraction_class, "extraction_class").select("doc_id", "extraction_class")
 
 
 @query(rf"""with {FACTS} select doc_id, case when n=0 then 'empty_navigation' when {_says('contents?|table of contents|index|chapter index|answer key|answers', 'lower(text)')} and (listed>=1 or n<=45) then 'toc_heading' when n>=3 and listed/n>=0.25 then 'page_listing'
@@ -104,7 +104,7 @@ select source, count(*) as chunks, count(*) filter (c='GOOD') as good, round(gre
  count(*) filter (c not in ('EMPTY','DUPLICATE','TABLE_OF_CONTENTS','HEADER_FOOTER','OCR_NOISE')) as after_cleaning from q group by 1""")
 def pack_quality_projection(spark, d):
     """The second quality score of each source and the chunks that cleaning would leave."""
-    c = K.with_first(_facts(spark, d).drop("lines")).select("source", "words", K.quality_class().alias("c"))
+    c = K.with_first(_facts(spark, d), "doc_id", K.quality_class, "c").select("source", "words", "c")
     n, of = F.count("*"), lambda *names: F.count_if(F.col("c").isin(*names))
     score = 70 * of("GOOD") / n + 15 * F.least(F.avg("words") / 220, F.lit(1.0)) - 18 * of("DUPLICATE") / n - 10 * of("SHORT_FRAGMENT") / n - 22 * of("OCR_NOISE", "FORMULA_ONLY", "TABLE_FRAGMENT") / n - 12 * of("TABLE_OF_CONTENTS", "HEADER_FOOTER") / n
     cleaned = n - of("EMPTY", "DUPLICATE", "TABLE_OF_CONTENTS", "HEADER_FOOTER", "OCR_NOISE")
@@ -116,7 +116,7 @@ select lang, count(*) as pages, cast(sum(words) as bigint) as words, round(avg(w
  round(count(*) filter (c='OCR_NOISE')/count(*),6) as noise_ratio, cast(ceil(sum(case when c in ('GOOD','SHORT_FRAGMENT') then words else 0 end)/400) as bigint) as repaired_chunks from q group by 1""")
 def extraction_audit(spark, d):
     """Pages, words, ratios and the chunks that a repair would make, by language."""
-    c = K.with_first(_facts(spark, d).drop("lines")).select("lang", "words", "again", K.quality_class().alias("c"))
+    c = K.with_first(_facts(spark, d), "doc_id", K.quality_class, "c").select("lang", "words", "again", "c")
     n, useful = F.count("*"), F.when(F.col("c").isin("GOOD", "SHORT_FRAGMENT"), F.col("words")).otherwise(0)
     return c.groupBy("lang").agg(n.alias("pages"), F.sum("words").alias("words"), F.round(F.avg("words"), 6).alias("mean_words"), F.count_if(F.col("words") < 100).alias("short_pages"), F.round(F.count_if("again") / n, 6).alias("duplicate_ratio"),
         F.round(F.count_if(F.col("c") == "OCR_NOISE") / n, 6).alias("noise_ratio"), F.ceil(F.sum(useful) / 400).cast("long").alias("repaired_chunks"))
@@ -126,7 +126,7 @@ def extraction_audit(spark, d):
 select cause, count(*) as chunks, round(100*count(*)/sum(count(*)) over (),6) as percent, row_number() over (order by count(*) desc, cause) as place from m group by 1""")
 def root_causes(spark, d):
     """Causes of unusable chunks with their percentage, the commonest first."""
-    c = K.with_first(_facts(spark, d).drop("lines")).select(K.quality_class().alias("c"))
+    c = K.with_first(_facts(spark, d), "doc_id", K.quality_class, "c").select("c")
     of = lambda *names: F.col("c").isin(*names)
     cause = K.first_of([("extraction", of("EMPTY", "SHORT_FRAGMENT")), ("parsing", of("OCR_NOISE", "TABLE_FRAGMENT", "FORMULA_ONLY")), ("deduplication", of("DUPLICATE")), ("cleanup", of("TABLE_OF_CONTENTS", "HEADER_FOOTER"))], "none")
     g = c.groupBy(cause.alias("cause")).agg(F.count("*").alias("chunks"))  # five rows at most

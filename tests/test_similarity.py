@@ -106,13 +106,13 @@ def loop(rows, last=40, least=0.95):
     return out
 
 
-@pytest.mark.parametrize("last", [1, 3, 40])
-def test_near_repeats_against_a_loop(spark, last):
+@pytest.mark.parametrize("last, ranges", [(1, 7), (3, 1), (3, 9), (40, 6)])
+def test_near_repeats_against_a_loop(spark, last, ranges):
     r = random.Random(last)
     base = [words(r, 25) for _ in range(12)]
     rows = [(i, r.choice(["a", "a", "a", "b", None]), r.choice([None, ""]) if r.random() < 0.02 else changed(r, r.choice(base), r.choice([0, 1, 2, 4, 8]))) for i in range(400)]
     df = spark.createDataFrame(rows, "doc_id long, source string, text string")
-    got = {x.doc_id: x.status for x in S.near_repeats(df, ["source"], last=last).collect()}
+    got = {x.doc_id: x.status for x in S.near_repeats(df, ["source"], last=last, ranges=ranges).collect()}
     assert got == loop(rows, last) and len(set(got.values())) == 3
 
 
