@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import html as html_lib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,14 +31,39 @@ TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?
 ENDS = {name: re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I) for name in RAW}
 
 
-def _closes(page: str, at: int, name: str, depth: int) -> bool:
-    """Whether an element that is open `depth` deep is closed after a place in a page."""
-    for m in TOKEN.finditer(page, at):
-        if m[2] is not None and m[2].lower() == name and not m[3].rstrip().endswith("/"):
-            depth += -1 if m[1] else 1
-            if depth <= 0:
-                return True
-    return False
+class _Closes:
+    """Whether an element that is open is closed further on, in time linear in the page for all questions together.
+
+    One pass finds all tags; for a name, the depth after each of its tags and the least depth from there on tell
+    whether an element open at a place is ever closed.
+    """
+
+    def __init__(self, page: str) -> None:
+        self._page, self._tags, self._names, self._unended = page, None, {}, set()
+
+    def __call__(self, at: int, name: str, depth: int) -> bool:
+        if self._tags is None:
+            self._tags = {}
+            for m in TOKEN.finditer(self._page):
+                if m[2] is not None and not m[3].rstrip().endswith("/"):
+                    self._tags.setdefault(m[2].lower(), []).append((m.start(), -1 if m[1] else 1))
+        if name not in self._names:
+            found = self._tags.get(name, [])
+            depths = list(accumulate((d for _, d in found), initial=0))
+            least = list(accumulate(reversed(depths), min))[::-1]
+            self._names[name] = [p for p, _ in found], depths, least
+        places, depths, least = self._names[name]
+        i = bisect_left(places, at)
+        return i < len(places) and least[i + 1] <= depths[i] - depth
+
+    def end_of(self, at: int, name: str) -> re.Match | None:
+        """The end tag of a raw element after a place; a page without one is searched once a name."""
+        if name in self._unended:
+            return None
+        found = ENDS[name].search(self._page, at)
+        if found is None:
+            self._unended.add(name)
+        return found
 
 
 def page_lines(page: str) -> list[tuple[str, int, bool]]:
@@ -66,7 +93,7 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
             if in_link:
                 linked += len(text.strip())
 
-    size = len(page)
+    size, closes = len(page), _Closes(page)
     while at < size:
         m = TOKEN.search(page, at)
         if not m:
@@ -79,7 +106,7 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
         name, closing = m[2].lower(), bool(m[1])
         if skip:
             if name in ("article", "main") and not closing and skip not in ("article", "main") and held is None:
-                held = skip not in ("header", "form") and name == "article" and _closes(page, at, skip, depth)
+                held = skip not in ("header", "form") and name == "article" and closes(at, skip, depth)
             if name in ("article", "main") and not closing and skip not in ("article", "main") and not held:
                 skip = ""  # an unclosed element beside the article
             elif name == skip:
@@ -95,12 +122,12 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
                 skip = ""
             else:
                 if name in RAW and not closing:
-                    e = ENDS[name].search(page, at)
+                    e = closes.end_of(at, name)
                     at = e.end() if e else (size if name in ("script", "style") else at)
                 continue
         if name in RAW:
             if not closing and not m[3].rstrip().endswith("/"):
-                e = ENDS[name].search(page, at)
+                e = closes.end_of(at, name)
                 if e or name in ("script", "style", "textarea", "title"):
                     at = e.end() if e else size
                 gap()

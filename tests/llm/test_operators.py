@@ -519,3 +519,12 @@ def test_pipeline(spark, sf):
         out = stage(spark, docs.limit(60), sf)
         assert i == 3 or out.columns == columns
     assert corpus_pipeline.run(spark, sf).where("taken > 0").count() > 50
+
+
+def test_html_blocks_time_is_linear():
+    import time
+
+    began = time.process_time()
+    for part in ("<aside><article>", "<svg>", "<div class=ad><article>", "<nav>x", "<select>", "<!--", "<a b='"):
+        html_blocks.main_text(part * (1_000_000 // len(part)))
+    assert time.process_time() - began < 20
