@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.sources.scratch import checkpointed
+
 
 def count_where(condition: Column) -> Column:
     return F.count_if(condition).cast("long")
@@ -111,13 +113,22 @@ def transition_violations(events: DataFrame, key: str, ts: str, state: str, allo
     return events.withColumn("previous", before).where(F.col("previous").isNotNull() & ~fine)
 
 
-def eviction_plan(items: DataFrame, budget: int) -> DataFrame:
-    """items(item, size, last_accessed): most recently used stay while their sizes fit the budget, the rest go.
+def running_sum(rows: DataFrame, order: list[Column], value: str, name: str) -> DataFrame:
+    """rows with the running sum of a column in an order of the whole table, without a window over the whole table.
 
-    The running sum is over the items of a device or cache, a bounded list, so it is one window.
+    Rows are dealt into ranges of the order, each range is summed in its own tasks, and sums of ranges, one row each,
+    say what comes before.
     """
-    w = Window.orderBy(F.desc("last_accessed"), "item").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return items.withColumn("held", F.sum("size").over(w)).withColumn("evict", F.col("held") > budget)
+    ranged = checkpointed(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    sums = ranged.groupBy("_part").agg(F.sum(value).alias("_sum"))  # a row for each range
+    before = sums.select("_part", F.coalesce(F.sum("_sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    within = F.sum(value).over(Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return ranged.withColumn(name, within).join(before, "_part").withColumn(name, F.col(name) + F.col("_before")).drop("_part", "_before")
+
+
+def eviction_plan(items: DataFrame, budget: int) -> DataFrame:
+    """items(item, size, last_accessed): most recently used stay while their sizes fit the budget, the rest go."""
+    return running_sum(items, [F.desc("last_accessed"), F.asc("item")], "size", "held").withColumn("evict", F.col("held") > budget)
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

@@ -61,6 +61,12 @@ def defined_terms(rows: DataFrame, keys: list[str]) -> DataFrame:
     return found.where("term <> ''")
 
 
+def formulas(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Formulas in texts: keys, formula, a row for each occurrence."""
+    marked = rows.where(F.col("text").rlike("[=<>≤≥≈∝]")).select(*keys, F.explode(F.regexp_extract_all("text", F.lit(FORMULA), F.lit(1))).alias("f"))
+    return marked.select(*keys, T.strip(F.regexp_replace("f", r"\s+", " ")).alias("formula")).where(F.length("formula").between(3, 120))
+
+
 def _early_text(rows: DataFrame, keys: list[str], on: list[str]) -> DataFrame:
     """The first EVIDENCE_CHARS characters or so of a group's rows in order, ROW_CHARS of each: on, evidence."""
     order = Window.partitionBy(*on).orderBy("doc_id")
@@ -86,9 +92,7 @@ def candidates(rows: DataFrame, keys: list[str]) -> DataFrame:
     words = priority_words(rows, keys).where(F.col("place") <= CANDIDATES)
     defined = defined_terms(rows, keys).withColumn("key", F.lower("term"))
     start = F.substring("text", 1, ROW_CHARS).alias("start")
-    marked = rows.where(F.col("text").rlike("[=<>≤≥≈∝]"))
     short = lambda c, n: T.strip(F.regexp_replace(F.substring(c, 1, n), r"\s+", " "))
-    formulas = marked.select(*keys, F.explode(F.regexp_extract_all("text", F.lit(FORMULA), F.lit(1))).alias("f")).select(*keys, T.strip(F.regexp_replace("f", r"\s+", " ")).alias("f")).where(F.length("f").between(3, 120))
     objectives = rows.select(*keys, F.explode(F.regexp_extract_all("text", F.lit("(?i)" + OBJECTIVE), F.lit(0))).alias("o"))
     is_worked, is_shown = F.col("text").rlike("(?i)" + WORKED), F.col("text").rlike("(?i)" + SHOWN)
     shown = rows.groupBy(*keys).agg(F.count("*").alias("n_rows"), F.count_distinct(F.when(is_worked, short("text", 1200))).alias("n_worked"), F.count_distinct(F.when(~is_worked & is_shown, short("text", 1000))).alias("n_examples"))
@@ -98,7 +102,7 @@ def candidates(rows: DataFrame, keys: list[str]) -> DataFrame:
         other = right.select(*[F.col(c).alias(f"_{c}") if c in on else F.col(c) for c in right.columns])
         return left.join(other, reduce(lambda a, b: a & b, [left[c].eqNullSafe(other[f"_{c}"]) for c in on]), how).drop(*[f"_{c}" for c in on])
 
-    facts = joined(shown, formulas.groupBy(*keys).agg(F.count_distinct("f").alias("n_formulas")), keys)
+    facts = joined(shown, formulas(rows, keys).groupBy(*keys).agg(F.count_distinct("formula").alias("n_formulas")), keys)
     facts = joined(facts, objectives.groupBy(*keys).agg(F.count_distinct(T.strip(F.regexp_replace("o", r"\s+", " "))).alias("n_objectives")), keys)
     facts = joined(facts, _early_text(rows.select(*keys, "doc_id", start), keys, keys), keys)
     by_term = defined.groupBy(*keys, "key").agg(F.count("*").alias("n_defined"), F.min(F.struct("doc_id", "no", "term", "said")).alias("d"))

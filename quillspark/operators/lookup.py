@@ -101,8 +101,9 @@ def resolve(asked: DataFrame, references: DataFrame, asked_keys: list[Column], r
     return keyed.join(best, "_quill_no", "left").select(*asked.columns, F.col("b.reference").alias("reference"), F.col("b.key_no").cast("long").alias("key_no"))
 
 
-def substring_hits(docs: DataFrame, probes: DataFrame, scope: list[str], text: str = "text", gram: int = 3, used: int = 3) -> DataFrame:
+def substring_hits(docs: DataFrame, probes: DataFrame, scope: list[str], text: str = "text", gram: int = 3, used: int = 3, result_keys: bool = False) -> DataFrame:
     """Documents of a probe's scope whose text holds the probe: probe_id, doc_id, hit (false for those that were verified in vain).
+    With result_keys the scope comes first, for ids that are unique within their scope only.
 
     docs: scope, doc_id and a text; probes: scope, probe_id and probe. A trigram index: postings are made of the
     trigrams that some probe has, a probe's `used` rarest ones in its scope are intersected, and what is left is
@@ -123,4 +124,4 @@ def substring_hits(docs: DataFrame, probes: DataFrame, scope: list[str], text: s
     some = met.join(needed, [*scope, "probe_id", "probe"]).where("met = n").select(*scope, "probe_id", "probe", "doc_id")
     short = own.where(F.length("probe") < gram).join(whole.select(*scope, "doc_id").distinct(), scope).select(*scope, "probe_id", "probe", "doc_id")
     checked = some.unionByName(short).join(whole, [*scope, "doc_id"])
-    return checked.groupBy("probe_id", "doc_id").agg(F.bool_or(F.contains("_text", "probe")).alias("hit"))
+    return checked.groupBy(*(scope if result_keys else []), "probe_id", "doc_id").agg(F.bool_or(F.contains("_text", "probe")).alias("hit"))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,21 +46,64 @@ def top_hits(scores: DataFrame, score: str, k: int) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 
 
-def dense(vectors: DataFrame, queries: DataFrame, k: int, block_rows: int = 256) -> DataFrame:
-    """Best k of vectors(vec_id, embedding) for each query vector by inner product: query_id, vec_id, score, rank.
+def dense(vectors: DataFrame, queries: DataFrame, k: int, block_rows: int = 4096) -> DataFrame:
+    """Best k of vectors(vec_id, embedding) for each query vector by inner product, rounded to six places: query_id, vec_id, score, rank.
+
+    A query's own vec_id is no hit; vectors of another length score 0; null vectors and null ids take no part. Ties go
+    to the smaller vec_id.
 
-    Queries are packed in hash blocks of about block_rows; every vector meets every block, and what it scores is
-    cut to the k best of each query and task before the shuffle.
+    Queries are taken in blocks of at most block_rows, dealt by their number in order. A block, so many vectors at
+    most, is sent to every executor, and all vectors pass it where they are: a task multiplies matrices and keeps the
+    k best of each query, so no vector is copied or shuffled, and what is shuffled is k rows a query and task.
     """
-    blocks = max(1, -(-queries.count() // block_rows))
-    packed = queries.select(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"), F.struct(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")).alias("a"))
-    packed = packed.groupBy("block").agg(F.collect_list("a").alias("asked"))
-    rows = vectors.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(packed, "block").select("vec_id", "embedding", F.explode("asked").alias("a"))
-    scored = rows.select("a.query_id", "vec_id", F.round(T.dot("embedding", "a.q"), 6).alias("score")).where("query_id <> vec_id")
+    asked = queries.where("vec_id is not null and embedding is not null").select("vec_id", "embedding").distinct()
+    blocks = max(1, -(-asked.count() // block_rows))
+    numbered = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(2 * blocks if blocks > 1 else 1)))  # twice as many, so that none is over the bound but by great chance
+    stored = vectors.where("vec_id is not null and embedding is not null").select("vec_id", "embedding")
+    found = None
+    for no in range(2 * blocks if blocks > 1 else 1):
+        part = _best_of_block(stored, numbered.where(F.col("block") == no).select("vec_id", "embedding").collect(), k)
+        found = part if found is None else found.unionByName(part)
+    scored = found.groupBy("query_id", "vec_id").agg(F.max(F.round("score", 6)).alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return scored.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 
 
+def _best_of_block(vectors: DataFrame, asked: list, k: int) -> DataFrame:
+    """The k best of each task's vectors for each of a bounded list of queries: query_id, vec_id, score."""
+    by_length: dict[int, tuple[list[int], list]] = {}
+    for q in asked:
+        ids, rows = by_length.setdefault(len(q["embedding"]), ([], []))
+        ids.append(q["vec_id"])
+        rows.append(q["embedding"])
+    shared = vectors.sparkSession.sparkContext.broadcast([(n, np.array(ids, np.int64), np.array(rows, float).reshape(len(ids), n)) for n, (ids, rows) in by_length.items()])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for batch in (b.slice(at, 2000) for b in batches for at in range(0, b.num_rows, 2000)):
+            ids, lengths = batch.column(0).to_numpy(), batch.column(1).value_lengths().to_numpy()
+            flat = np.asarray(batch.column(1).flatten().to_numpy(zero_copy_only=False), float)
+            starts = np.cumsum(lengths) - lengths
+            for n, q_ids, matrix in shared.value:
+                scores = np.zeros((len(q_ids), len(ids)))
+                same = np.flatnonzero(lengths == n)
+                if len(same) and n:
+                    scores[:, same] = matrix @ flat[starts[same][:, None] + np.arange(n)].T
+                rounded = np.round(scores, 6)
+                for i, q in enumerate(q_ids.tolist()):
+                    old_ids, old = best.get(q, (ids[:0], rounded[i, :0]))
+                    at = np.flatnonzero(ids != q)
+                    if len(old) == k:
+                        at = at[rounded[i, at] >= old.min()]
+                    every, score = np.concatenate([old_ids, ids[at]]), np.concatenate([old, rounded[i, at]])
+                    order = np.lexsort((every, -score))[:k]
+                    best[q] = every[order], score[order]
+        for q, (ids, scores) in best.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), q)), pa.array(ids), pa.array(scores)], ["query_id", "vec_id", "score"])
+
+    return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(run, "query_id long, vec_id long, score double")
+
+
 def fuse(dense_score: Column, lexical: Column, matches: list[Column] | None = None, chunk_type: Column | None = None) -> Column:
     """0.55 dense + 0.35 lexical + 0.10 for each matching filter + 0.05 for an answering kind of chunk, to six places."""
     score = 0.55 * dense_score + 0.35 * lexical

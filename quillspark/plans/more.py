@@ -60,9 +60,8 @@ select s_suppkey, score, row_number() over (order by score desc, s_suppkey) as p
 def composite_ranking(spark, d):
     """Reports joined by key, ranked by a weighted score; the hundred best."""
     l = table(spark, d, "lineitem")
-    back = l.groupBy("l_suppkey").agg(F.count("*").alias("n"), F.count_if(F.col("l_returnflag") == "R").alias("back"))
-    done = l.groupBy("l_suppkey").agg(F.count_if(F.col("l_linestatus") == "F").alias("done"))
-    j = table(spark, d, "supplier").join(back.join(done, "l_suppkey"), F.col("s_suppkey") == F.col("l_suppkey"), "left").na.fill(0, ["n", "back", "done"])
+    counts = l.groupBy("l_suppkey").agg(F.count("*").alias("n"), F.count_if(F.col("l_returnflag") == "R").alias("back"), F.count_if(F.col("l_linestatus") == "F").alias("done"))
+    j = table(spark, d, "supplier").join(counts, F.col("s_suppkey") == F.col("l_suppkey"), "left").na.fill(0, ["n", "back", "done"])
     of = F.greatest("n", F.lit(1))
     score = F.round(0.5 * F.col("done") / of + 0.3 * (1 - F.col("back") / of) + F.when(F.col("s_acctbal") > 0, 0.2).otherwise(0.0), 6)
     best = j.select("s_suppkey", score.alias("score")).orderBy(F.desc("score"), "s_suppkey").limit(100)
