@@ -115,8 +115,10 @@ def train(docs: DataFrame, alpha: float = 1.0, beta: float = 1.0, l1: float = 0.
     df[counted["bucket"].to_numpy()] = counted["n"].to_numpy()
     idf = np.log((1 + total) / (1 + df)) + 1
 
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id")
-    chosen = known.where(F.col("doc_id").isNotNull()).select("doc_id", "lang").withColumn("r", F.row_number().over(order)).where(F.col("r") <= ROWS_PER_LANGUAGE).select("doc_id").distinct()
+    row = F.xxhash64("doc_id", "lang", "text").alias("row")
+    each = known.where(F.col("doc_id").isNotNull()).select("doc_id", "lang", row).distinct()
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id", "row")
+    chosen = each.withColumn("r", F.row_number().over(order)).where(F.col("r") <= ROWS_PER_LANGUAGE).select("row")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = Grams()
@@ -124,8 +126,10 @@ def train(docs: DataFrame, alpha: float = 1.0, beta: float = 1.0, l1: float = 0.
             rows = [grams(t.as_py()) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([a.astype(np.uint16).tobytes() for a, _ in rows], pa.binary()), pa.array([n.astype(np.float32).tobytes() for _, n in rows], pa.binary())], ["doc_id", "lang", "buckets", "counts"])
 
-    # the broadcast holds at most ROWS_PER_LANGUAGE ids of each language
-    sample = known.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "lang").mapInArrow(features, "doc_id long, lang string, buckets binary, counts binary").collect()
+    # the broadcast holds at most ROWS_PER_LANGUAGE numbers of each language, and as many rows are collected: repeats
+    # of a row go, and other rows of its doc_id are not joined. A row has at most BUCKETS buckets of six bytes.
+    fitted = known.withColumn("row", row).join(F.broadcast(chosen), "row").dropDuplicates(["row"])
+    sample = fitted.select("doc_id", "text", "lang").mapInArrow(features, "doc_id long, lang string, buckets binary, counts binary").collect()
     sample.sort(key=lambda r: ((r["doc_id"] * 0x9E3779B97F4A7C15) % 2**64, r["doc_id"], r["lang"], r["buckets"]))
     languages = sorted({r["lang"] for r in sample})
     if not languages:

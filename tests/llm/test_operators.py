@@ -528,3 +528,13 @@ def test_html_blocks_time_is_linear():
     for part in ("<aside><article>", "<svg>", "<div class=ad><article>", "<nav>x", "<select>", "<!--", "<a b='"):
         html_blocks.main_text(part * (1_000_000 // len(part)))
     assert time.process_time() - began < 20
+
+
+def test_langid_fits_a_bounded_sample(spark, monkeypatch):
+    rows = [(i, f"das ist ein Satz mit der Nummer {i} und mehr", "de") for i in range(9)] + [(77, f"this is a sentence and that is number {i}", "en") for i in range(150)] + [(78, "the same row again and again", "en")] * 150
+    fitted = []
+    fit = langid._ftrl
+    monkeypatch.setattr(langid, "ROWS_PER_LANGUAGE", 2)
+    monkeypatch.setattr(langid, "_ftrl", lambda some, *a: fitted.append(len(some)) or fit(some, *a))
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.languages == ["de", "en"] and fitted[0] <= 4
