@@ -15,6 +15,10 @@ from quillspark.functions import text as T
 ANSWER_TYPES = ("definition", "formula", "example", "qa", "explanation")
 NOISE_TYPES = ("metadata", "table_of_contents", "header_footer", "ocr_noise")
 TERM = "[a-z0-9]{4,}"
+#: What kinds are worth whatever is asked, the others, and a long formula; words that ask for a kind and what it is worth then.
+WORTH = {"": 0.0, **dict.fromkeys(NOISE_TYPES, 0.0), "formula": 0.15, "definition": 0.6, "explanation": 0.6, "qa": 0.6}
+OTHER_WORTH, LONG_FORMULA = 0.3, 0.55
+ASKED_FOR = {"definition": ("define|what is|meaning", 1.0), "formula": ("formula|equation", 1.0), "example": ("example", 0.9), "experiment": ("experiment|activity|procedure", 0.9)}
 
 
 def postings(docs: DataFrame, doc_id: str = "doc_id", pattern: str = TERM) -> DataFrame:
@@ -123,22 +127,12 @@ def merge_hits(*sources: DataFrame) -> DataFrame:
 
 
 def type_score(query: Column, chunk_type: Column, text: Column) -> Column:
-    """How well the kind of a chunk suits what a query asks for."""
-    q = F.lower(query)
-    asks = lambda *words: F.lit(False) if not words else q.rlike("|".join(words))
-    long_formula = (T.word_count(text) >= 50) & (F.length(text) >= 220)
-    return (
-        F.when(F.coalesce(chunk_type, F.lit("")) == "", 0.0)
-        .when(chunk_type.isin(*NOISE_TYPES), 0.0)
-        .when(asks("define", "what is", "meaning") & (chunk_type == "definition"), 1.0)
-        .when(asks("formula", "equation") & (chunk_type == "formula"), 1.0)
-        .when(asks("example") & (chunk_type == "example"), 0.9)
-        .when(asks("experiment", "activity", "procedure") & (chunk_type == "experiment"), 0.9)
-        .when((chunk_type == "formula") & long_formula, 0.55)
-        .when(chunk_type == "formula", 0.15)
-        .when(chunk_type.isin("definition", "explanation", "qa"), 0.6)
-        .otherwise(0.3)
-    )
+    """How well the kind of a chunk suits what a query asks for: the largest of what its kind is worth, what it is worth if asked for, and LONG_FORMULA for a formula that is explained at length."""
+    kind, asked = F.coalesce(chunk_type, F.lit("")), F.lower(query)
+    unasked = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in WORTH.items() for x in pair]), kind), F.lit(OTHER_WORTH))
+    when_asked = [F.when((kind == k) & asked.rlike(words), worth) for k, (words, worth) in ASKED_FOR.items()]
+    explained = F.when((kind == "formula") & (T.word_count(text) >= 50) & (F.length(text) >= 220), LONG_FORMULA)
+    return F.greatest(unasked, explained, *when_asked)
 
 
 def topic_band(asked: Column, topics: Column, prerequisites: Column, related: Column) -> Column:

@@ -165,3 +165,10 @@ def test_streams_equal_batch(spark, sf, tmp_path):
     assert late.agg(F.sum("events")).first()[0] == events.count()
     assert M.rolling_success(events).count() > 0
     assert isinstance(events.agg(F.max("ts")).first()[0], dt.datetime)
+
+
+def test_type_score(spark):
+    long = "word " * 60
+    cases = [("What is light?", "definition", "x", 1.0), ("tell", "definition", "x", 0.6), ("the equation", "formula", "x", 1.0), ("tell", "formula", long, 0.55), ("tell", "formula", "x", 0.15), ("an example", "example", "x", 0.9), ("tell", "example", "x", 0.3), ("procedure", "experiment", "x", 0.9), ("what is", "ocr_noise", "x", 0.0), ("what is", "", "x", 0.0), ("what is", None, "x", 0.0), ("tell", "qa", "x", 0.6), ("tell", "table", "x", 0.3), ("define", "formula", None, 0.15)]
+    df = spark.createDataFrame(cases, "q string, kind string, t string, want double").withColumn("got", R.type_score(F.col("q"), F.col("kind"), F.col("t")))
+    assert all(r.got == r.want for r in df.collect())
