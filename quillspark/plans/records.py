@@ -8,6 +8,8 @@ from quillspark.functions import text as T
 from quillspark.operators import analytics as A
 from quillspark.operators import audit as U
 from quillspark.operators import knowledge as K
+from quillspark.operators import retrieval as R
+from quillspark.plans import queries as Q
 from quillspark.plans.queries import ORACLE_SQL, query, table
 
 _BOTH = "with old as (select p_partkey as pack_id, cast(p_size as double) as held from part), new as (select l_partkey as pack_id, max(l_quantity) as held from lineitem where l_returnflag='R' group by 1)"
@@ -101,3 +103,26 @@ select source, 'Which term means: '||definition||'?' as question, array_to_strin
 def glossary_quizzes(spark, sf_dir):
     """A question for each entry of a source's glossary, with the next three terms as wrong answers."""
     return K.quizzes(K.glossary(table(spark, sf_dir, "documents"), ["source"]), ["source"]).withColumn("options", F.array_join("options", "|"))
+
+
+_KIND = r"case when regexp_matches(lt,'\b(is defined as|definition|refers to)\b') then 'definition' when regexp_matches(lt,'formula|[a-z]\s*=\s*[a-z0-9]') then 'formula' when regexp_matches(lt,'\b(for example|example)\b') then 'example' when regexp_matches(lt,'\b(experiment|activity|procedure)\b') then 'experiment' when regexp_matches(lt,'\b(question|answer)\b|\?') then 'qa' else 'explanation' end"
+_WORTH = "case kind " + " ".join(f"when '{k}' then {v}e0" for k, v in R.WORTH.items()) + f" else {R.OTHER_WORTH}e0 end"
+_ASKED = ",".join(f"case when kind='{k}' and regexp_matches(lower(query),'{w}') then {v}e0 else 0e0 end" for k, (w, v) in R.ASKED_FOR.items())
+
+
+@query(rf"""with {Q._BM25}, h as (select query_id, doc_id, round(raw,10) as bm25 from bm qualify row_number() over (partition by query_id order by round(raw,10) desc, doc_id)<=20),
+j as (select h.*, b.text as query, d.text, lower(d.text) as lt, d.lang, d.source from h join benchmark b on b.item_id=h.query_id join documents d on d.doc_id=h.doc_id),
+k as (select *, {_KIND} as kind, {Q._CONTENT.format('query')} as a, {Q._CONTENT.format('text')} as b from j),
+e as (select *, 0.40e0*case lang when 'en' then 1e0 when 'de' then 0.75e0 when 'fr' then 0.6e0 else 0e0 end+0.20e0*(source is not distinct from 'src0')::double+0.15e0*(lang is not distinct from 'en')::double
+ +0.25e0*greatest({_WORTH}, case when kind='formula' and len(regexp_extract_all(text,'[A-Za-z0-9]+'))>=50 and length(text)>=220 then {R.LONG_FORMULA}e0 else 0e0 end, {_ASKED}) as education from k),
+s as (select query_id, doc_id, text, round(0.35e0*greatest(0e0,least(1e0,bm25/20))+0.35e0*(len(list_intersect(a,b))/greatest(len(a),1))+0.30e0*education+case when length(text)<2000 then 0.08e0 else 0e0 end,6) as final_score from e),
+c as (select query_id, doc_id, final_score from s where final_score>=0.25 qualify row_number() over (partition by query_id, {Q._NORM.format('substr(text,1,500)')} order by final_score desc, doc_id)=1)
+select *, row_number() over (partition by query_id order by final_score desc, doc_id) as rank from c qualify rank<=5""")
+def reranked_hits(spark, sf_dir):
+    """The five best of each benchmark item's twenty lexical hits by what they teach, once a text: topics are languages, chapters sources, and short documents are at hand."""
+    docs, questions = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    hits = R.top_hits(R.bm25(docs, questions.withColumnRenamed("query", "text"), places=10), "bm25", 20).drop("rank")
+    rows = hits.join(docs.select("doc_id", "text", "lang", "source"), "doc_id").join(questions, "query_id")
+    band = R.topic_band(F.array(F.lit("en")), F.array(F.coalesce("lang", F.lit(""))), F.array(F.lit("de")), F.array(F.lit("fr")))
+    rows = rows.withColumns({"score": F.col("bm25") / 20, "chunk_type": K.first_class(F.col("text")), "topic_score": band, "chapter_match": F.col("source").eqNullSafe("src0"), "subject_match": F.col("lang").eqNullSafe("en"), "local": F.length("text") < 2000})
+    return R.rerank(rows, 5).select("query_id", "doc_id", "final_score", "rank")
