@@ -267,7 +267,7 @@ def test_alignment_of_odd_texts(spark):
 
 
 def test_alignment_query(spark, sf, monkeypatch):
-    monkeypatch.setattr(cross_tokenizer, "BLOCK_LINKS", 3000)  # many blocks
+    monkeypatch.setattr(cross_tokenizer, "BLOCK_LINKS", 30_000)  # several blocks
     monkeypatch.setattr(cross_tokenizer, "EXPANDED", 200)
     texts = texts_of(spark, sf)
     got = {r.doc_id: tuple(r[c] for c in COLUMNS) for r in queries.op13_cross_tokenizer(spark, sf).collect()}
