@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -46,8 +47,8 @@ def _once(rows: DataFrame) -> DataFrame:
     return rows.dropDuplicates(["vec_id", "embedding"])
 
 
-def build_index(vectors: DataFrame, dim: int, seed: int = 11) -> DataFrame:
-    """The code of every vector: vec_id, embedding, code (packed bits), norm (distance from the centre), corr.
+def build_index(vectors: DataFrame, dim: int, seed: int = 11) -> tuple[DataFrame, np.ndarray]:
+    """The code of every vector: vec_id, embedding, code (packed bits), norm (distance from the centre), corr; and the centre.
 
     A vector minus the centre, made a unit vector o, is rotated; its code is the signs of the components,
     standing for the unit vector x with components +-1/sqrt(dim). corr is <x, o>, the correction by which an
@@ -69,8 +70,7 @@ def build_index(vectors: DataFrame, dim: int, seed: int = 11) -> DataFrame:
             corr = np.abs(o).sum(1) / math.sqrt(dim)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([r.tobytes() for r in _pack(bits)], pa.binary()), pa.array(norm), pa.array(corr)], ["vec_id", "embedding", "code", "norm", "corr"])
 
-    coded = vectors.mapInArrow(run, f"vec_id long, embedding {vectors.schema['embedding'].dataType.simpleString()}, code binary, norm double, corr double")
-    return coded.withColumn("centre", F.array(*[F.lit(float(x)) for x in centre]))
+    return vectors.mapInArrow(run, f"vec_id long, embedding {vectors.schema['embedding'].dataType.simpleString()}, code binary, norm double, corr double"), centre
 
 
 def nearest(block: dict, queries: tuple[np.ndarray, np.ndarray], k: int, seed: int, eps: float, chunk: int = 32) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -124,6 +124,25 @@ def nearest(block: dict, queries: tuple[np.ndarray, np.ndarray], k: int, seed: i
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+def _within(vectors: DataFrame, queries: DataFrame, dim: int, v_blocks: int, q_blocks: int, k: int, seed: int, eps: float) -> DataFrame:
+    """The k nearest of each block of vectors for each query, all of one length: query_id, vec_id, score."""
+    index, centre = build_index(vectors, dim, seed)
+    left = index.withColumn("v", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(v_blocks))).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
+    right = queries.withColumn("q", F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(q_blocks)).cast("int")).withColumn("v", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(v_blocks - 1).cast("long"))))
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        found = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        if a.num_rows and b.num_rows:
+            a, b = a.combine_chunks(), b.combine_chunks()
+            one = lambda t, n: t.column(n).combine_chunks() if isinstance(t.column(n), pa.ChunkedArray) else t.column(n)
+            codes = np.frombuffer(b"".join(one(a, "code").to_pylist()), np.uint64).reshape(a.num_rows, -1)
+            block = {"ids": one(a, "vec_id").to_numpy(), "vectors": _matrix(one(a, "embedding"), dim), "codes": codes, "norm": one(a, "norm").to_numpy(), "corr": one(a, "corr").to_numpy(), "centre": centre}
+            found = nearest(block, (one(b, "vec_id").to_numpy(), _matrix(one(b, "embedding"), dim)), k, seed, eps)
+        return pa.table({"query_id": pa.array(found[0], pa.int64()), "vec_id": pa.array(found[1], pa.int64()), "score": pa.array(found[2], pa.float64())})
+
+    return left.groupBy("q", "v").cogroup(right.groupBy("q", "v")).applyInArrow(run, "query_id long, vec_id long, score double")
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int = 10, seed: int = 11, eps: float = 2.2, block_rows: int = 8192, query_rows: int = 1024) -> DataFrame:
     """The k nearest of vectors(vec_id, embedding) for each row of queries(vec_id, embedding).
 
@@ -134,36 +153,21 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, seed: int = 11,
     query_rows, and each pair of blocks is one bounded group; the k best of the blocks are then merged.
 
     Vectors that are null, empty, zero or hold null or non-finite components, and rows with null vec_id, take
-    no part. Only vectors of the commonest length take part, the smaller length at a tie. Copies of a vector
-    under other ids are all candidates; repeated rows count once, in queries too. Fewer than k candidates: all of them. No queries or no vectors: no rows.
+    no part. A vector is compared with those of its own length, each length having an index of its own; lengths are
+    few, as each adds to the plan. Copies of a vector under other ids are all candidates; repeated rows count once,
+    in queries too. Fewer than k candidates: all of them. No queries or no vectors: no rows.
     """
-    schema = "query_id long, vec_id long, score double"
     spark = vectors.sparkSession
-    good = _once(usable(vectors))
-    by_length = good.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    ask = _once(usable(queries))
-    asked = ask.where(F.size("embedding") == by_length["d"]).count() if by_length else 0
-    if not asked:
+    good, ask = _once(usable(vectors)), _once(usable(queries))
+    of_length = lambda rows, n: rows.groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias(n))
+    lengths = of_length(good, "rows").join(of_length(ask, "asked"), "dim").orderBy("dim").collect()  # a row for each length
+    if not lengths:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dim, rows = by_length["d"], by_length["count"]
-    same = F.size("embedding") == dim
     kind = "array<double>" if "array<double>" in (vectors.schema["embedding"].dataType.simpleString(), queries.schema["embedding"].dataType.simpleString()) else "array<float>"
-    index = build_index(good.where(same).select("vec_id", F.col("embedding").cast(kind).alias("embedding")), dim, seed)
-    q_blocks, v_blocks = math.ceil(asked / query_rows), math.ceil(rows / block_rows)
-    left = index.withColumn("v", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(v_blocks))).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
-    right = ask.where(same).withColumn("q", F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(q_blocks)).cast("int")).withColumn("v", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(v_blocks - 1).cast("long")))).select("vec_id", F.col("embedding").cast(kind).alias("embedding"), "q", "v")
-
-    def run(a: pa.Table, b: pa.Table) -> pa.Table:
-        empty = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-        if a.num_rows and b.num_rows:
-            a, b = a.combine_chunks(), b.combine_chunks()
-            one = lambda t, n: t.column(n).combine_chunks() if isinstance(t.column(n), pa.ChunkedArray) else t.column(n)
-            codes = np.frombuffer(b"".join(one(a, "code").to_pylist()), np.uint64).reshape(a.num_rows, -1)
-            block = {"ids": one(a, "vec_id").to_numpy(), "vectors": _matrix(one(a, "embedding"), dim), "codes": codes, "norm": one(a, "norm").to_numpy(), "corr": one(a, "corr").to_numpy(), "centre": np.array(one(a, "centre")[0].as_py())}
-            empty = nearest(block, (one(b, "vec_id").to_numpy(), _matrix(one(b, "embedding"), dim)), k, seed, eps)
-        return pa.table({"query_id": pa.array(empty[0], pa.int64()), "vec_id": pa.array(empty[1], pa.int64()), "score": pa.array(empty[2], pa.float64())})
-
-    found = left.groupBy("q", "v").cogroup(right.groupBy("q", "v")).applyInArrow(run, schema)
+    good, ask = (df.select("vec_id", F.col("embedding").cast(kind).alias("embedding")) for df in (good, ask))
+    same = lambda rows, dim: rows.where(F.size("embedding") == dim)
+    parts = [_within(same(good, r["dim"]), same(ask, r["dim"]), r["dim"], math.ceil(r["rows"] / block_rows), math.ceil(r["asked"] / query_rows), k, seed, eps) for r in lengths]
+    found = reduce(DataFrame.unionByName, parts)
     found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))  # an id may have several vectors
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

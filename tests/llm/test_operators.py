@@ -132,6 +132,25 @@ def test_rabitq(spark):
     assert rabitq.search(few, few.limit(0)).count() == 0
 
 
+def test_rabitq_lengths_and_ties(spark):
+    """Vectors of several lengths, equal distances and columns with other operators' names, against all pairs of one length."""
+    r = np.random.default_rng(2)
+    rows = [(i, [float(x) for x in r.integers(-2, 3, (1, 2, 3, 9)[i % 4])]) for i in range(0, 400)]
+    rows = [(i, v) for i, v in rows if any(v)] + [(999, [1.0] * 5), (1000, [1.0] * 6), (1001, [2.0] * 6)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    named = df.selectExpr("vec_id", "embedding", "'x' as dim", "1 as rows", "2 as q", "3 as v", "4 as score")
+    got = rabitq.search(named, named.where("vec_id % 10 = 0 or vec_id in (1, 3, 999)"), k=10, block_rows=30, query_rows=7).collect()
+    want, known = {}, dict(rows)
+    for q, x in rows:
+        if q % 10 == 0 or q in (1, 3, 999):
+            found = sorted((float(np.sqrt(((np.array(x) - np.array(y)) ** 2).sum())), i) for i, y in rows if i != q and len(y) == len(x))[:10]
+            want |= {(q, n + 1): f for n, f in enumerate(found)}
+    assert {(x.query_id, x["rank"]): x.score for x in got} == pytest.approx({key: d for key, (d, _) in want.items()}, abs=1e-12)
+    assert all(len(known[x.query_id]) == len(known[x.vec_id]) for x in got) and (999, 1) not in want and want[(1000, 1)][1] == 1001
+    hits = sum(x.vec_id == want[(x.query_id, x["rank"])][1] for x in got)
+    assert hits / len(want) >= 0.97  # ties go to the smaller id
+
+
 # 4
 
 
