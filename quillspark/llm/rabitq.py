@@ -79,11 +79,13 @@ def nearest(block: dict, queries: tuple[np.ndarray, np.ndarray], k: int, seed: i
     With y the rotated unit query on 4-bit steps, <x, y> comes from popcounts of the code with the four bit
     planes of y. <o, y> is estimated as <x, y> / corr, and lies within
     eps * sqrt((1 - corr^2) / corr^2 / (dim - 1)) of it but for a small chance. The k smallest estimates are
-    measured exactly; every vector whose lower bound does not exceed the k-th exact distance is measured too.
+    measured exactly; every vector whose lower bound does not exceed the k-th exact distance, or has none as squares
+    overflow, is measured too. Where ids repeat, k is multiplied by the most vectors an id has, so that k ids are found.
     """
     ids, vectors, codes, norm, corr, centre = (block[n] for n in ("ids", "vectors", "codes", "norm", "corr", "centre"))
     q_ids, q_vectors = queries
     dim, n = vectors.shape[1], len(ids)
+    k *= int(np.unique(ids, return_counts=True)[1].max())
     turn = rotation(dim, seed)
     ones = np.bitwise_count(codes).sum(1).astype(np.float64)
     safe = np.where(corr > 0, corr, 1)
@@ -100,7 +102,7 @@ def nearest(block: dict, queries: tuple[np.ndarray, np.ndarray], k: int, seed: i
         for j in range(4):
             plane = _pack((u >> j) & 1)
             for w in range(codes.shape[1]):
-                dots += (1 << j) * np.bitwise_count(codes[None, :, w] & plane[:, None, w])
+                dots += np.multiply(np.bitwise_count(codes[None, :, w] & plane[:, None, w]), 1 << j, dtype=np.float64)  # a byte holds no more than 255
         # <x, y> = (2 * sum of y over set bits - sum of y) / sqrt(dim), with y = low + step * u
         inner = (2 * (low[:, None] * ones + step[:, None] * dots) - y.sum(1)[:, None]) / math.sqrt(dim) / safe
         base = norm**2 + (q_norm**2)[:, None]
@@ -108,13 +110,13 @@ def nearest(block: dict, queries: tuple[np.ndarray, np.ndarray], k: int, seed: i
         estimate, bound = base - scale * inner, base - scale * (inner + slack + step[:, None])
         for i, q in enumerate(q_ids[at : at + chunk]):
             own = ids == q
-            guess = np.where(own, np.inf, estimate[i])
+            guess = np.where(own, np.inf, np.nan_to_num(estimate[i], nan=np.finfo(float).max))
             least = min(k, n - int(own.sum()))
             if least <= 0:
                 continue
             first = np.argpartition(guess, least - 1)[:least]
             limit = ((vectors[first] - q_vectors[at + i]) ** 2).sum(1).max()
-            pick = np.flatnonzero(~own & (bound[i] <= limit * (1 + 1e-9)))
+            pick = np.flatnonzero(~own & ~(bound[i] > limit * (1 + 1e-9)))
             pick = np.union1d(pick, first)
             d = np.sqrt(((vectors[pick] - q_vectors[at + i]) ** 2).sum(1))
             order = np.lexsort((ids[pick], d))[:k]
@@ -163,7 +165,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, seed: int = 11,
     lengths = of_length(good, "rows").join(of_length(ask, "asked"), "dim").orderBy("dim").collect()  # a row for each length
     if not lengths:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    kind = "array<double>" if "array<double>" in (vectors.schema["embedding"].dataType.simpleString(), queries.schema["embedding"].dataType.simpleString()) else "array<float>"
+    kind = "array<float>" if {df.schema["embedding"].dataType.simpleString() for df in (vectors, queries)} == {"array<float>"} else "array<double>"
     good, ask = (df.select("vec_id", F.col("embedding").cast(kind).alias("embedding")) for df in (good, ask))
     same = lambda rows, dim: rows.where(F.size("embedding") == dim)
     parts = [_within(same(good, r["dim"]), same(ask, r["dim"]), r["dim"], math.ceil(r["rows"] / block_rows), math.ceil(r["asked"] / query_rows), k, seed, eps) for r in lengths]

@@ -151,6 +151,41 @@ def test_rabitq_lengths_and_ties(spark):
     assert hits / len(want) >= 0.97  # ties go to the smaller id
 
 
+@pytest.mark.parametrize("dim", [64, 70, 128, 384])
+def test_rabitq_aligned_rows(spark, dim):
+    """Near vectors share most bits with a query: clusters, copies, two far groups, rows of two ranks, lengths of many scales."""
+    r = np.random.default_rng(3)
+    g, n = r.standard_normal, 1000
+    kinds = (g((n // 20, dim)).repeat(20, 0) + 0.1 * g((n, dim)), g((n // 40, dim)).repeat(40, 0), np.where(np.arange(n)[:, None] % 2, 1e4, -1e4) + g((n, dim)), g((n, 2)) @ g((2, dim)), g((n, dim)) * np.exp(3 * g((n, 1))))
+    for v in (x.astype(np.float32).astype(float) for x in kinds):
+        df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>")
+        by = defaultdict(list)
+        for x in rabitq.search(df, df.where("vec_id % 100 = 0"), block_rows=400).collect():
+            by[x.query_id].append(x.vec_id)
+        hits = 0
+        for q in range(0, n, 100):
+            d = np.sqrt(((v - v[q]) ** 2).sum(1))
+            d[q] = np.inf
+            hits += len(set(by[q]) & set(np.lexsort((np.arange(n), d))[:10].tolist()))
+        assert hits / (10 * len(range(0, n, 100))) >= 0.97
+
+
+def test_rabitq_repeated_ids_and_wide_numbers(spark):
+    """Ids with many vectors don't crowd out others, squares may overflow, and whole numbers keep all their figures."""
+    r = np.random.default_rng(4)
+    rows = [(0, [1.0] * 8)] + [(1, (1 + 0.01 * r.standard_normal(8)).tolist()) for _ in range(50)] + [(i, (1 + i * r.random(8)).tolist()) for i in range(2, 40)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    best = defaultdict(lambda: np.inf)
+    for i, x in rows[1:]:
+        best[i] = min(best[i], float(np.sqrt(((np.array(x) - 1) ** 2).sum())))
+    got = rabitq.search(df, df.where("vec_id = 0")).orderBy("rank").collect()
+    assert [x.vec_id for x in got] == sorted(best, key=best.get)[:10]
+    huge = spark.createDataFrame([(i, [1e200 * (i + 1), 1.0]) for i in range(5)] + [(i, [float(i), 2.0]) for i in range(5, 20)], "vec_id long, embedding array<double>")
+    assert [x.vec_id for x in rabitq.search(huge, huge.where("vec_id = 10"), k=4).orderBy("rank").collect()] == [9, 11, 8, 12]
+    whole = spark.createDataFrame([(i, [2**40 + i, 1]) for i in range(5)], "vec_id long, embedding array<long>")
+    assert [(x.vec_id, x.score) for x in rabitq.search(whole, whole.where("vec_id = 0")).orderBy("rank").collect()] == [(1, 1.0), (2, 2.0), (3, 3.0), (4, 4.0)]
+
+
 # 4
 
 
