@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: A word is a run of characters other than the six ASCII white-space characters.
@@ -36,11 +36,16 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it again, so that lost executors cost no lineage."""
+def stored(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """Write df as Parquet to the shared folder and read it again, so that lost executors cost no lineage; and its path, for drop_scratch."""
     spark, path = df.sparkSession, scratch_path(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def materialize(df: DataFrame, label: str) -> DataFrame:
+    """stored() for a table that stays."""
+    return stored(df, label)[0]
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -68,13 +73,20 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Returns (node, component), one row for each node of a non-loop edge.
 
     Alternating large-star and small-star rounds: each is one aggregation and one join, hubs are split by
-    AQE's skew join, and the driver sees only a count and a checksum per round. The number of tasks that write a
+    AQE's skew join, and the driver sees only a count and a checksum per round, in one query. The number of tasks that write a
     round's edges follows their number, so few edges don't leave a file in every shuffle partition.
     """
     most = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pairs = edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).where("u <> v").distinct()
-    pairs = cut(pairs)
-    seen, n = None, pairs.count()
+
+    def settled(edges: DataFrame) -> tuple[DataFrame, tuple]:
+        """cut(edges), with the count and checksum that its own pass observes, so that a round is one query."""
+        state = Observation()
+        out = cut(edges.observe(state, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum")))
+        return out, (state.get["n"], state.get["sum"])
+
+    pairs, seen = settled(pairs)
+    n = seen[0]
     for _ in range(max_rounds):
         tasks = max(LEAST_TASKS, min(most, n // EDGES_A_TASK + 1))
         pairs = pairs.coalesce(tasks)
@@ -83,11 +95,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = both.join(low, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct().coalesce(tasks)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        pairs = cut(small.coalesce(tasks))
-        now = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(now) == seen:
+        pairs, now = settled(small.coalesce(tasks))
+        if now == seen:
             break
-        seen, n = tuple(now), now[0]
+        seen, n = now, now[0]
     else:
         raise RuntimeError("connected components did not settle")
     roots = pairs.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()

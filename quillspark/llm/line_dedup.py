@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import connected_components, cut, materialize
+from quillspark.llm.common import connected_components, cut, drop_scratch, materialize, stored
 
 #: Codes of linked lines differ in at most so many of 63 bits.
 RADIUS = 14
@@ -26,6 +26,9 @@ LEAST_CHARS, VOTERS = 5, 4
 #: Words of 64 bits of a bitmap of ids; a broadcast bitmap has at most so many rows, whatever the input.
 BITMAP_WORDS = 1 << 18
 
+#: Before all others, so many pairs of a line with lines of other components are measured, those of nearest codes.
+FIRST_PAIRS = 4
+
 #: ASCII characters that are no letters or digits. Every run of them separates words.
 SEPARATORS = "[\\x00-/:-@\\[-`{-\\x7f]+"
 
@@ -154,16 +157,18 @@ def _perhaps_in(rows: DataFrame, column: str, bitmap: DataFrame) -> DataFrame:
     return keyed.join(F.broadcast(bitmap), "word").where(F.call_function("shiftrightunsigned", F.col("bits"), F.col("_bit")).bitwiseAND(F.lit(1)) == 1).select(*rows.columns)
 
 
-def _texts(docs: DataFrame, lines: DataFrame, nodes: DataFrame, pairs: DataFrame, label: str) -> DataFrame:
-    """line, norm (its words joined) of the lines in pairs, each read from one row that has it."""
+def _texts(docs: DataFrame, lines: DataFrame, nodes: DataFrame, pairs: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """line, norm (its words joined) of the lines in pairs, each read from one row that has it; and the path they are in."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("line")).distinct()
     wanted = nodes.select("line", "row").join(wanted, "line", "left_semi")
     places = lines.select("line", "row", "line_no").join(wanted, ["line", "row"]).groupBy("row", "line").agg(F.min("line_no").alias("line_no"))
-    places = materialize(places.groupBy("row").agg(F.collect_list(F.struct("line", "line_no")).alias("places")), f"{label}-places")
+    places, at = stored(places.groupBy("row").agg(F.collect_list(F.struct("line", "line_no")).alias("places")), f"{label}-places")
     some = _perhaps_in(_named(docs).select("row", "text"), "row", _bitmap(places, "row")).join(places, "row")
     texts = some.select(F.split("text", "\n").alias("raw"), F.explode("places").alias("p"))
     texts = texts.select("p.line", F.array_join(words_of(F.get("raw", F.col("p.line_no"))), " ").alias("norm"))
-    return materialize(texts.groupBy("line").agg(F.min("norm").alias("norm")), f"{label}-texts")
+    out = stored(texts.groupBy("line").agg(F.min("norm").alias("norm")), f"{label}-texts")
+    drop_scratch(docs.sparkSession, at)
+    return out
 
 
 def line_groups(docs: DataFrame, lines: DataFrame, similarity: float = 0.9) -> DataFrame:
@@ -175,23 +180,30 @@ def line_groups(docs: DataFrame, lines: DataFrame, similarity: float = 0.9) -> D
     Lines that share a key are in a bucket. They are first compared with the head of the bucket, the line that
     shares the largest part of its keys, as an unedited line shares more than its edited copies. Where that leaves a bucket
     with several components, lines outside its largest one are compared with those of other components, but for
-    pairs whose distances from the head differ by more than a link allows. So a bucket of one group costs a pass,
-    and no link within a bucket is missed.
+    pairs whose distances from the head differ by more than a link allows. Of these the FIRST_PAIRS of nearest codes
+    of each line are measured first, then those that are still in two components. So a bucket of one group costs a
+    pass, and no link within a bucket is missed. Scratch tables are deleted as soon as they are no longer read.
     """
-    nodes = materialize(lines.groupBy("line").agg(F.min("row").alias("row"), F.count("*").alias("n"), F.min("code").alias("code"), F.min("chars").alias("chars"), F.min(F.size("keys")).alias("n_keys")), "line-nodes")
+    spark = docs.sparkSession
+    nodes, nodes_at = stored(lines.groupBy("line").agg(F.min("row").alias("row"), F.count("*").alias("n"), F.min("code").alias("code"), F.min("chars").alias("chars"), F.min(F.size("keys")).alias("n_keys")), "line-nodes")
     keys = lines.select("line", F.explode("keys").alias("bucket")).where("bucket is not null")
     shared = keys.groupBy("bucket").agg(F.min("line").alias("lo"), F.max("line").alias("hi")).where("lo < hi").select("bucket")
-    members = materialize(keys.join(shared.hint("shuffle_hash"), "bucket", "left_semi").distinct(), "line-members")
+    members, members_at = stored(keys.join(shared.hint("shuffle_hash"), "bucket", "left_semi").distinct(), "line-members")
     share = F.floor(F.least(F.col("shared") / F.col("n_keys"), F.lit(1.0)) * ((1 << 20) - 1)).cast("long")
     rank = F.shiftleft(share, 43).bitwiseOR(F.col("line").bitwiseAND(F.lit((1 << 43) - 1)))
     facts = members.groupBy("line").agg(F.count("*").alias("shared")).join(nodes, "line").select("line", "code", "chars", rank.alias("rank"))
-    members = materialize(members.join(facts, "line").select("bucket", "rank", F.col("line").alias("b"), F.col("code").alias("b_code"), F.col("chars").alias("b_chars")), "line-facts")
+    members, facts_at = stored(members.join(facts, "line").select("bucket", "rank", F.col("line").alias("b"), F.col("code").alias("b_code"), F.col("chars").alias("b_chars")), "line-facts")
+    drop_scratch(spark, members_at)
     heads = members.groupBy("bucket").agg(*[F.max_by(f"b{c}", "rank").alias(f"a{c}") for c in ("", "_code", "_chars")])
     star = members.join(heads, "bucket").where((F.col("a") != F.col("b")) & _close("a", "b", similarity))
 
     def measured(pairs: DataFrame, label: str, reach: int) -> DataFrame:
-        pairs = materialize(pairs, f"{label}-pairs")
-        return cut(edits(pairs, _texts(docs, lines, nodes, pairs, label), similarity, reach))
+        pairs, at = stored(pairs, f"{label}-pairs")
+        texts, texts_at = _texts(docs, lines, nodes, pairs, label)
+        out = cut(edits(pairs, texts, similarity, reach))
+        drop_scratch(spark, at)
+        drop_scratch(spark, texts_at)
+        return out
 
     near = measured(star.select("a", "b").distinct(), "line-star", 2)
     link = lambda pairs: pairs.where("edits <= most").select(F.col("a").alias("src"), F.col("b").alias("dst"))
@@ -204,18 +216,31 @@ def line_groups(docs: DataFrame, lines: DataFrame, similarity: float = 0.9) -> D
     mixed = placed.join(divided, "bucket").join(heads.select("bucket", "a"), "bucket").join(near, ["a", "b"], "left")
     far = F.lit(1 << 30)
     known = mixed.withColumns({"least": F.when(F.col("a") == F.col("b"), 0).when(F.col("most").isNull(), 0).otherwise(F.coalesce("edits", 2 * F.col("most") + 1)), "upmost": F.when(F.col("a") == F.col("b"), 0).otherwise(F.coalesce("edits", far))})
-    known = materialize(known.select("bucket", "part", "main", "least", "upmost", F.col("b").alias("y"), F.col("b_code").alias("y_code"), F.col("b_chars").alias("y_chars")), "line-divided")
+    known, known_at = stored(known.select("bucket", "part", "main", "least", "upmost", F.col("b").alias("y"), F.col("b_code").alias("y_code"), F.col("b_chars").alias("y_chars")), "line-divided")
+    drop_scratch(spark, facts_at)
     outside = known.where("part <> main").select("bucket", *[F.col(c).alias("x_" + c) for c in ("part", "least", "upmost")], F.col("y").alias("x"), F.col("y_code").alias("x_code"), F.col("y_chars").alias("x_chars"))
     allowed = most_edits("x_chars", "y_chars", similarity)
     metric = (F.col("x_least") - F.col("upmost") <= allowed) & (F.col("least") - F.col("x_upmost") <= allowed)
     once = (F.col("part") == F.col("main")) | (F.col("x") < F.col("y"))
     crossing = outside.join(known, (outside["bucket"] == known["bucket"]) & (F.col("part") != F.col("x_part")) & once & metric & _close("x", "y", similarity))
-    crossing = crossing.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    more = link(measured(crossing, "line-crossing", 1))
-    parts = cut(connected_components(more.unionByName(parts.select(F.col("node").alias("src"), F.col("component").alias("dst")))))
+    apart = F.coalesce(F.bit_count(F.col("x_code").bitwiseXOR(F.col("y_code"))), F.lit(RADIUS + 1))
+    crossing = crossing.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "x", "part", "x_part", apart.alias("apart")).distinct()
+    crossing, crossing_at = stored(crossing, "line-crossing")
+    drop_scratch(spark, known_at)
+    rest, known_parts = crossing.select("a", "b").distinct(), parts.select(F.col("node").alias("src"), F.col("component").alias("dst"))
+    near_first = Window.partitionBy("x").orderBy("apart", "a", "b")
+    first = crossing.withColumn("place", F.row_number().over(near_first)).where(F.col("place") <= FIRST_PAIRS).select("a", "b").distinct()
+    links = cut(connected_components(link(measured(first, "line-first", 1)).unionByName(known_parts)))
+    of = lambda c: links.select(F.col("node").alias(c), F.col("component").alias(c + "_part"))
+    rest = rest.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("a_part", "a") != F.coalesce("b_part", "b")).select("a", "b")
+    more = link(measured(rest, "line-rest", 1))
+    drop_scratch(spark, crossing_at)
+    parts = cut(connected_components(more.unionByName(links.select(F.col("node").alias("src"), F.col("component").alias("dst")))))
 
     named = nodes.select("line", "n").join(parts.withColumnRenamed("node", "line"), "line", "left")
-    return named.where(F.col("component").isNotNull() | (F.col("n") > 1)).select("line", F.coalesce("component", "line").alias("part"))
+    out = materialize(named.where(F.col("component").isNotNull() | (F.col("n") > 1)).select("line", F.coalesce("component", "line").alias("part")), "line-groups")
+    drop_scratch(spark, nodes_at)
+    return out
 
 
 def duplicate_lines(docs: DataFrame, least_words: int = 5, similarity: float = 0.9) -> DataFrame:
@@ -223,13 +248,15 @@ def duplicate_lines(docs: DataFrame, least_words: int = 5, similarity: float = 0
 
     Of each connected group of lines one occurrence stays: that of smallest doc_id, row and line number.
     """
-    lines = materialize(sketches(docs, least_words), "line-sketches")
-    groups = materialize(line_groups(docs, lines, similarity), "line-groups")
+    lines, lines_at = stored(sketches(docs, least_words), "line-sketches")
+    groups = line_groups(docs, lines, similarity)
     found = lines.select("line", F.struct("doc_id", "row", "line_no").alias("at")).join(groups, "line").select("part", "at")
     keepers = found.groupBy("part").agg(F.min("at").alias("keeper"))
     drops = found.join(keepers, "part").where("at <> keeper").groupBy("at.doc_id", "at.row").agg(F.array_sort(F.collect_set("at.line_no")).alias("drop"))
     full = lines.groupBy("doc_id", "row").agg(F.count_distinct("line_no").alias("full"))
-    return drops.join(full, ["doc_id", "row"]).select("doc_id", "row", "drop", (F.size("drop") == F.col("full")).alias("gone"))
+    out = materialize(drops.join(full, ["doc_id", "row"]).select("doc_id", "row", "drop", (F.size("drop") == F.col("full")).alias("gone")), "line-drops")
+    drop_scratch(docs.sparkSession, lines_at)
+    return out
 
 
 def _with_drops(docs: DataFrame, keyed: DataFrame, least_words: int, similarity: float) -> DataFrame:

@@ -1,6 +1,7 @@
 """The ten operators against brute force, exact round trips and held-out labels, and on odd input."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -12,6 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from quillspark.llm import arc_convert, decontaminate, fair_mix, html_blocks, langid, line_dedup, near_dup, rabitq, separator_scan, toxicity
+from quillspark.llm.common import shared_dir
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -261,6 +263,18 @@ def brute_lines(docs):
     return {o for g in groups.values() for o in set(g) - {min(g)}}
 
 
+def test_line_dedup_leaves_no_scratch(spark):
+    """What only one step reads is deleted after it; what is returned can still be read."""
+    base = shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(base)) if os.path.isdir(base) else set()
+    text = "many words of this line come again in another document of the table with a few edits"
+    docs = spark.createDataFrame([(1, text), (2, text.replace("many", "most")), (3, "a line that is nowhere else in all of these documents")], "doc_id long, text string")
+    rows = {r.doc_id: r.n_dropped for r in line_dedup.report(docs).collect()}
+    assert rows == {1: 0, 2: 1, 3: 0}
+    left = {x.rsplit("-", 1)[0] for x in set(os.listdir(base)) - before if x.startswith("line-")}
+    assert left <= {"line-groups", "line-drops", "line-repeated"}
+
+
 def test_line_dedup_against_brute_force(spark):
     r = random.Random(3)
     vocabulary = ["".join(r.choice("abcdefghij") for _ in range(r.randint(2, 8))) for _ in range(400)]
