@@ -171,6 +171,23 @@ def _texts(docs: DataFrame, lines: DataFrame, nodes: DataFrame, pairs: DataFrame
     return out
 
 
+def pairs_across(known: DataFrame, similarity: float) -> DataFrame:
+    """Pairs of lines that share a bucket, are in different components and may be linked: a, b, x (the one outside the bucket's main component, or the smaller), apart (bits that their codes differ in). Each pair comes once.
+
+    known: members y of buckets with several components, with part, main (the bucket's largest component), least and
+    upmost (bounds of the distance from the head), y_code, y_chars and y_in (the buckets of y). A pair that shares several
+    buckets meets in the least of them only: what proves it apart there does so for all, and what does not, need not be said again.
+    """
+    outside = known.where("part <> main").select(F.col("bucket").alias("x_bucket"), *[F.col(c).alias("x_" + c) for c in ("part", "least", "upmost")], F.col("y").alias("x"), F.col("y_code").alias("x_code"), F.col("y_chars").alias("x_chars"), F.col("y_in").alias("x_in"))
+    allowed = most_edits("x_chars", "y_chars", similarity)
+    metric = (F.col("x_least") - F.col("upmost") <= allowed) & (F.col("least") - F.col("x_upmost") <= allowed)
+    once = (F.col("part") == F.col("main")) | (F.col("x") < F.col("y"))
+    here = F.array_min(F.array_intersect("x_in", "y_in")) == F.col("bucket")
+    crossing = outside.join(known, (F.col("x_bucket") == F.col("bucket")) & (F.col("part") != F.col("x_part")) & once & metric & _close("x", "y", similarity) & here)
+    apart = F.coalesce(F.bit_count(F.col("x_code").bitwiseXOR(F.col("y_code"))), F.lit(RADIUS + 1))
+    return crossing.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "x", apart.alias("apart"))
+
+
 def line_groups(docs: DataFrame, lines: DataFrame, similarity: float = 0.9) -> DataFrame:
     """Distinct normalised lines that occur more than once or are linked to another line.
 
@@ -180,7 +197,8 @@ def line_groups(docs: DataFrame, lines: DataFrame, similarity: float = 0.9) -> D
     Lines that share a key are in a bucket. They are first compared with the head of the bucket, the line that
     shares the largest part of its keys, as an unedited line shares more than its edited copies. Where that leaves a bucket
     with several components, lines outside its largest one are compared with those of other components, but for
-    pairs whose distances from the head differ by more than a link allows. Of these the FIRST_PAIRS of nearest codes
+    pairs whose distances from the head differ by more than a link allows; a pair that shares several such buckets
+    meets only in the least of them, as a bucket that proves it apart does so for all. Of these the FIRST_PAIRS of nearest codes
     of each line are measured first, then those that are still in two components. So a bucket of one group costs a
     pass, and no link within a bucket is missed. Scratch tables are deleted as soon as they are no longer read.
     """
@@ -216,18 +234,11 @@ def line_groups(docs: DataFrame, lines: DataFrame, similarity: float = 0.9) -> D
     mixed = placed.join(divided, "bucket").join(heads.select("bucket", "a"), "bucket").join(near, ["a", "b"], "left")
     far = F.lit(1 << 30)
     known = mixed.withColumns({"least": F.when(F.col("a") == F.col("b"), 0).when(F.col("most").isNull(), 0).otherwise(F.coalesce("edits", 2 * F.col("most") + 1)), "upmost": F.when(F.col("a") == F.col("b"), 0).otherwise(F.coalesce("edits", far))})
-    known, known_at = stored(known.select("bucket", "part", "main", "least", "upmost", F.col("b").alias("y"), F.col("b_code").alias("y_code"), F.col("b_chars").alias("y_chars")), "line-divided")
+    known, known_at = stored(known.select("bucket", "part", "main", "least", "upmost", F.col("b").alias("y"), F.col("b_code").alias("y_code"), F.col("b_chars").alias("y_chars"), F.collect_list("bucket").over(Window.partitionBy("b")).alias("y_in")), "line-divided")
     drop_scratch(spark, facts_at)
-    outside = known.where("part <> main").select("bucket", *[F.col(c).alias("x_" + c) for c in ("part", "least", "upmost")], F.col("y").alias("x"), F.col("y_code").alias("x_code"), F.col("y_chars").alias("x_chars"))
-    allowed = most_edits("x_chars", "y_chars", similarity)
-    metric = (F.col("x_least") - F.col("upmost") <= allowed) & (F.col("least") - F.col("x_upmost") <= allowed)
-    once = (F.col("part") == F.col("main")) | (F.col("x") < F.col("y"))
-    crossing = outside.join(known, (outside["bucket"] == known["bucket"]) & (F.col("part") != F.col("x_part")) & once & metric & _close("x", "y", similarity))
-    apart = F.coalesce(F.bit_count(F.col("x_code").bitwiseXOR(F.col("y_code"))), F.lit(RADIUS + 1))
-    crossing = crossing.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "x", "part", "x_part", apart.alias("apart")).distinct()
-    crossing, crossing_at = stored(crossing, "line-crossing")
+    crossing, crossing_at = stored(pairs_across(known, similarity), "line-crossing")
     drop_scratch(spark, known_at)
-    rest, known_parts = crossing.select("a", "b").distinct(), parts.select(F.col("node").alias("src"), F.col("component").alias("dst"))
+    rest, known_parts = crossing.select("a", "b"), parts.select(F.col("node").alias("src"), F.col("component").alias("dst"))
     near_first = Window.partitionBy("x").orderBy("apart", "a", "b")
     first = crossing.withColumn("place", F.row_number().over(near_first)).where(F.col("place") <= FIRST_PAIRS).select("a", "b").distinct()
     links = cut(connected_components(link(measured(first, "line-first", 1)).unionByName(known_parts)))

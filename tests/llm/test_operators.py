@@ -275,6 +275,15 @@ def test_line_dedup_leaves_no_scratch(spark):
     assert left <= {"line-groups", "line-drops", "line-repeated"}
 
 
+def test_line_dedup_pairs_meet_once(spark):
+    """Lines that share several buckets make one pair, not one a bucket, and none if the bounds of one bucket rule it out."""
+    rows = []
+    for y, part, buckets in ((1, 1, (10, 20, 30)), (2, 2, (10, 20, 30)), (3, 3, (20, 30)), (4, 4, (40,)), (5, 5, (40,))):
+        rows += [(k, part, 2 if k < 40 else 4, 90 if y == 5 else 0, 1 << 30 if y != 4 else 0, y, None, 100, list(buckets)) for k in buckets]
+    known = spark.createDataFrame(rows, "bucket long, part long, main long, least int, upmost int, y long, y_code long, y_chars int, y_in array<long>")
+    assert sorted((r.a, r.b) for r in line_dedup.pairs_across(known, 0.9).collect()) == [(1, 2), (1, 3), (2, 3)]
+
+
 def test_line_dedup_against_brute_force(spark):
     r = random.Random(3)
     vocabulary = ["".join(r.choice("abcdefghij") for _ in range(r.randint(2, 8))) for _ in range(400)]
