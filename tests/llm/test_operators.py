@@ -4,6 +4,7 @@ import hashlib
 import os
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -13,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from quillspark.llm import arc_convert, decontaminate, fair_mix, html_blocks, langid, line_dedup, near_dup, rabitq, separator_scan, toxicity
-from quillspark.llm.common import shared_dir
+from quillspark.llm.common import SHUFFLE_CLEANUP, shared_dir, stored
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -263,6 +264,22 @@ def brute_lines(docs):
     return {o for g in groups.values() for o in set(g) - {min(g)}}
 
 
+def test_stored_leaves_no_shuffle_files(spark):
+    """The shuffle files of what is stored go with its query, not with the driver's next collection; the setting is as before."""
+    def shuffled():
+        tops = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+        return {f for top in tops for _, _, names in os.walk(top) for f in names if f.startswith("shuffle_") and f.endswith(".data")}
+
+    was, before = spark.conf.get(SHUFFLE_CLEANUP), shuffled()
+    counts = spark.range(100000).groupBy((F.col("id") % 1000).alias("k")).count()
+    out, _ = stored(counts, "counts")
+    deadline = time.time() + 30  # they go in the background
+    while shuffled() - before and time.time() < deadline:
+        time.sleep(0.2)
+    assert not shuffled() - before and spark.conf.get(SHUFFLE_CLEANUP) == was
+    assert out.count() == 1000
+
+
 def test_line_dedup_leaves_no_scratch(spark):
     """What only one step reads is deleted after it; what is returned can still be read."""
     base = shared_dir(spark).removeprefix("file:")
