@@ -1,4 +1,4 @@
-"""Looking things up by name: aliases within texts, references by ordered keys, and substrings by a trigram index."""
+"""Looking things up by name: aliases within texts, references by ordered keys, and substrings."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
+from quillspark.operators.scan import strings_held
 
 #: Characters of all aliases that are sent to every executor as one automaton; larger lists are joined.
 AUTOMATON_CHARS = 8_000_000
@@ -101,27 +102,14 @@ def resolve(asked: DataFrame, references: DataFrame, asked_keys: list[Column], r
     return keyed.join(best, "_quill_no", "left").select(*asked.columns, F.col("b.reference").alias("reference"), F.col("b.key_no").cast("long").alias("key_no"))
 
 
-def substring_hits(docs: DataFrame, probes: DataFrame, scope: list[str], text: str = "text", gram: int = 3, used: int = 3, result_keys: bool = False) -> DataFrame:
-    """Documents of a probe's scope whose text holds the probe: probe_id, doc_id, hit (false for those that were verified in vain).
+def substring_hits(docs: DataFrame, probes: DataFrame, scope: list[str], text: str = "text", result_keys: bool = False) -> DataFrame:
+    """Documents of a probe's scope whose text holds the probe: probe_id, doc_id, hit (true).
     With result_keys the scope comes first, for ids that are unique within their scope only.
 
-    docs: scope, doc_id and a text; probes: scope, probe_id and probe. A trigram index: postings are made of the
-    trigrams that some probe has, a probe's `used` rarest ones in its scope are intersected, and what is left is
-    verified. Probes shorter than gram characters are verified against their scope. Case counts. Null texts, probes
-    and scopes find nothing; repeated doc_ids are rows of one document.
+    docs: scope, doc_id and a text; probes: scope, probe_id and probe. Texts are read once for all probes at once and
+    are not shuffled; see strings_held. Case counts. Null texts, probes and scopes find nothing; repeated doc_ids are
+    rows of one document.
     """
-    whole = docs.select(*scope, "doc_id", F.col(text).alias("_text")).where(F.col("_text").isNotNull())
     own = probes.select(*scope, "probe_id", "probe").where("probe <> ''").distinct()
-    cut = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit("(?s)(?=(" + "." * gram + ")).") , 1))
-    long = own.where(F.length("probe") >= gram).select(*scope, "probe_id", "probe", F.explode(cut(F.col("probe"))).alias("gram"))
-    asked = long.select(*scope, "gram").distinct()
-    postings = whole.select(*scope, "doc_id", F.explode(cut(F.col("_text"))).alias("gram")).join(asked, [*scope, "gram"]).distinct()
-    sizes = postings.groupBy(*scope, "gram").agg(F.count("*").alias("docs"))
-    order = Window.partitionBy(*scope, "probe_id", "probe").orderBy("docs", "gram")
-    rare = long.join(sizes, [*scope, "gram"], "left").withColumn("place", F.row_number().over(order)).where(F.col("place") <= used)
-    needed = rare.groupBy(*scope, "probe_id", "probe").agg(F.count("*").alias("n"))
-    met = rare.join(postings, [*scope, "gram"]).groupBy(*scope, "probe_id", "probe", "doc_id").agg(F.count("*").alias("met"))
-    some = met.join(needed, [*scope, "probe_id", "probe"]).where("met = n").select(*scope, "probe_id", "probe", "doc_id")
-    short = own.where(F.length("probe") < gram).join(whole.select(*scope, "doc_id").distinct(), scope).select(*scope, "probe_id", "probe", "doc_id")
-    checked = some.unionByName(short).join(whole, [*scope, "doc_id"])
-    return checked.groupBy(*(scope if result_keys else []), "probe_id", "doc_id").agg(F.bool_or(F.contains("_text", "probe")).alias("hit"))
+    held = strings_held(docs.select(*scope, "doc_id", F.col(text).alias("text")), own, scope, [*scope, "doc_id"])
+    return held.join(own, [*scope, "probe"]).select(*(scope if result_keys else []), "probe_id", "doc_id").distinct().withColumn("hit", F.lit(True))

@@ -1,9 +1,22 @@
 """Queries on small tables that have what larger ones have: many rows of a group, nulls, repeated names."""
 
+import random
+import re
+
 import duckdb
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
 
+from quillspark.functions import text as T
+from quillspark.operators import concepts as K
+from quillspark.operators import coverage as V
+from quillspark.operators import lookup as L
+from quillspark.operators import scan
+from quillspark.operators import similarity as S
 from quillspark.plans import audits
-from quillspark.plans.queries import ORACLE_SQL
+from quillspark.plans.queries import ORACLE_SQL, table
 from tests import compare
 
 
@@ -19,3 +32,41 @@ def against_sql(spark, folder, query, **tables):
 def test_chapter_sequence_beyond_three_digits(spark, tmp_path):
     part = "select i as p_partkey, case when i%50<>7 then 'name '||(i%9) end as p_name, case when i%100<>3 then 'Brand#'||(i%2) end as p_brand from range(2400) t(i)"
     assert against_sql(spark, tmp_path, audits.chapter_sequence, part=part) == ""
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def odd_strings(r):
+    some = lambda n: "".join(r.choice("abé\nθ ") for _ in range(n))
+    strings = list({(r.randint(0, 1), some(r.randint(1, 9)) if r.random() < 0.9 else some(3) * r.randint(1, 20)) for _ in range(300)})
+    return strings, [(r.randint(0, 1), some(r.randint(0, 200)) + r.choice(strings)[1] * r.randint(0, 1)) for _ in range(300)]
+
+
+@pytest.mark.parametrize("piece", [7, 1 << 20])
+def test_scan_against_contains(monkeypatch, piece):
+    monkeypatch.setattr(scan, "PIECE", piece)
+    strings, texts = odd_strings(random.Random(piece))
+    of = lambda rows: np.array([g * 12345 + 7 for g, _ in rows], np.uint64)
+    rows, said = scan.Sought(pa.array([p for _, p in strings]), of(strings)).held(*scan._bytes(pa.array([t for _, t in texts])), of(texts))
+    got = list(zip(rows.tolist(), said.tolist(), strict=True))
+    assert set(got) == {(i, j) for i, (g, t) in enumerate(texts) for j, (h, p) in enumerate(strings) if g == h and p in t} and len(set(got)) == len(got)
+
+
+def test_strings_in_several_blocks(spark):
+    strings, texts = odd_strings(random.Random(1))
+    df = spark.createDataFrame([(g, i, t) for i, (g, t) in enumerate(texts)] + [(None, 900, "ab"), (1, 901, None)], "g int, i int, text string").repartition(3)
+    probes = spark.createDataFrame([*strings, (None, "a"), (0, ""), (1, None), strings[0]], "g long, probe string")
+    want = {(i, p) for i, (g, t) in enumerate(texts) for h, p in strings if g == h and p in t}
+    for block in (2000, 10**7):
+        got = [tuple(x) for x in scan.strings_held(df, probes, ["g"], ["i"], block_bytes=block).collect()]
+        assert set(got) == want and len(got) == len(want)
+        assert {tuple(x) for x in scan.strings_held(df, probes, ["g"], ["g"], once=True, block_bytes=block).collect()} == {(texts[i][0], p) for i, p in want}
+
+
+def test_substrings_are_not_cut_into_trigrams(spark):
+    df = spark.createDataFrame([(1, "x", "abcabc")], "doc_id long, s string, text string")
+    assert "Generate" not in plan(L.substring_hits(df, df.select(F.col("doc_id").alias("probe_id"), "s", F.lit("cab").alias("probe")), ["s"]))
+
+
