@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
+from quillspark.operators.scan import strings_held
 from quillspark.sources.scratch import checkpointed
 
 # Fixed values, which must be as they are for equal results: word lists, patterns and limits.
@@ -44,20 +45,34 @@ def title(name: Column) -> Column:
     return F.array_join(F.transform(F.regexp_extract_all(F.lower(name), F.lit("[a-z]+|[^a-z]+"), 0), F.initcap), "")
 
 
+def joined(left: DataFrame, right: DataFrame, on: list[str], how: str = "left") -> DataFrame:
+    """A join in which null keys are equal."""
+    other = right.select(*[F.col(c).alias(f"_{c}") if c in on else F.col(c) for c in right.columns])
+    return left.join(other, reduce(lambda a, b: a & b, [left[c].eqNullSafe(other[f"_{c}"]) for c in on]), how).drop(*[f"_{c}" for c in on])
+
+
 def priority_words(rows: DataFrame, keys: list[str], k: int = PRIORITY) -> DataFrame:
     """The k commonest words of each group, ties by first occurrence: keys, term, n, place (from 1)."""
     found = rows.select(*keys, "doc_id", F.posexplode(T.tokens("text", "[a-z0-9]+")).alias("at", "term"))
     found = found.where((F.length("term") >= LEAST) & ~F.col("term").isin(*LABELS) & ~F.col("term").rlike("^[0-9]+$"))
-    counts = found.groupBy(*keys, "term").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "at")).alias("first"))
+    # places of occurrence are needed of terms that are common enough only
+    often = F.rank().over(Window.partitionBy(*keys).orderBy(F.desc("n")))
+    common = checkpointed(found.groupBy(*keys, "term").agg(F.count("*").alias("n")).withColumn("often", often).where(F.col("often") <= k).drop("often"))
+    counts = joined(found, common, [*keys, "term"], "inner").groupBy(*keys, "term", "n").agg(F.min(F.struct("doc_id", "at")).alias("first"))
     order = Window.partitionBy(*keys).orderBy(F.desc("n"), "first")
     return counts.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).drop("first")
 
 
 def defined_terms(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Terms that a sentence defines: keys, doc_id, no (of the match in its text), term (cleaned), said (the whole match)."""
-    pair = F.arrays_zip(F.regexp_extract_all("text", F.lit("(?i)" + DEFINED), F.lit(1)).alias("term"), F.regexp_extract_all("text", F.lit("(?i)" + DEFINED), F.lit(0)).alias("said"))
-    found = rows.where(F.col("text").rlike(r"(?i)\s(is|are|means|refers)\s")).select(*keys, "doc_id", F.posexplode(pair).alias("no", "p"))
-    found = found.select(*keys, "doc_id", "no", clean_term(F.col("p.term")).alias("term"), T.strip(F.regexp_replace("p.said", r"\s+", " ")).alias("said"))
+    """Terms that a sentence defines: keys, doc_id, no (of the match in its text), term (cleaned), said (the whole match).
+
+    A match ends with its sentence and holds no other end, so a sentence has one at most. Only sentences with a verb
+    that defines are searched for it, and the term is cut out of the match.
+    """
+    sentences = F.filter(F.regexp_extract_all("text", F.lit("[^.?!]++[.?!]?"), F.lit(0)), lambda s: s.rlike(r"(?i)\s(?:is|are|means|refers\s+to)\s"))
+    matches = F.filter(F.transform(sentences, lambda s: F.regexp_extract(s, "(?i)" + DEFINED, 0)), lambda m: m != "")
+    found = rows.where(F.col("text").rlike(r"(?i)\s(is|are|means|refers)\s")).select(*keys, "doc_id", F.posexplode(matches).alias("no", "m"))
+    found = found.select(*keys, "doc_id", "no", clean_term(F.regexp_extract("m", "(?i)" + DEFINED, 1)).alias("term"), T.strip(F.regexp_replace("m", r"\s+", " ")).alias("said"))
     return found.where("term <> ''")
 
 
@@ -76,48 +91,60 @@ def _early_text(rows: DataFrame, keys: list[str], on: list[str]) -> DataFrame:
     return some.groupBy(*on).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_no", "start"))), lambda x: x["start"]), " ").alias("evidence"))
 
 
-def candidates(rows: DataFrame, keys: list[str]) -> DataFrame:
+def _words_and_terms(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The commonest words that are candidates, and the terms that sentences define with their key; stored, as both are read often."""
+    words = priority_words(rows, keys).where(F.col("place") <= CANDIDATES)
+    return checkpointed(words), checkpointed(defined_terms(rows, keys).withColumn("key", F.lower("term")))
+
+
+def candidate_keys(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The names of all candidates in small letters, each once: keys, key."""
+    words, defined = _words_and_terms(rows.select(*keys, "doc_id", "text").where(T.strip("text") != ""), keys)
+    return words.select(*keys, F.col("term").alias("key")).unionByName(defined.select(*keys, "key")).distinct()
+
+
+def candidates(rows: DataFrame, keys: list[str], evidence: bool = True) -> DataFrame:
     """Candidate concepts of each group of rows(keys, doc_id, text) with their evidence.
 
     A group's commonest words are candidates, and so are the terms that its sentences define. Columns: keys, key
     (the name in small letters), name, place (their order: words by rank, then terms by first definition),
     frequency, definition (the first, null if none), n_formulas, n_objectives, n_examples, n_worked, n_chunks and
     evidence (the start of the texts that speak of it). The first EVIDENCE words gather all formulas, objectives and
-    examples of their group, each counted to MOST_LISTED. Blank rows have no part; keys may be null; an empty table
+    examples of their group, each counted to MOST_LISTED. Without evidence there are no columns n_objectives,
+    n_examples, n_worked, n_chunks and evidence, which rejection does not ask for. Blank rows have no part; keys may be null; an empty table
     gives no rows.
 
     Everything is grouped with partial aggregates; windows that order texts take a bounded number of rows a group.
     """
     rows = rows.select(*keys, "doc_id", "text").where(T.strip("text") != "")
-    words = priority_words(rows, keys).where(F.col("place") <= CANDIDATES)
-    defined = defined_terms(rows, keys).withColumn("key", F.lower("term"))
+    words, defined = _words_and_terms(rows, keys)
     start = F.substring("text", 1, ROW_CHARS).alias("start")
     short = lambda c, n: T.strip(F.regexp_replace(F.substring(c, 1, n), r"\s+", " "))
     objectives = rows.select(*keys, F.explode(F.regexp_extract_all("text", F.lit("(?i)" + OBJECTIVE), F.lit(0))).alias("o"))
     is_worked, is_shown = F.col("text").rlike("(?i)" + WORKED), F.col("text").rlike("(?i)" + SHOWN)
     shown = rows.groupBy(*keys).agg(F.count("*").alias("n_rows"), F.count_distinct(F.when(is_worked, short("text", 1200))).alias("n_worked"), F.count_distinct(F.when(~is_worked & is_shown, short("text", 1000))).alias("n_examples"))
 
-    def joined(left: DataFrame, right: DataFrame, on: list[str], how: str = "left") -> DataFrame:
-        """A join in which null keys are equal."""
-        other = right.select(*[F.col(c).alias(f"_{c}") if c in on else F.col(c) for c in right.columns])
-        return left.join(other, reduce(lambda a, b: a & b, [left[c].eqNullSafe(other[f"_{c}"]) for c in on]), how).drop(*[f"_{c}" for c in on])
-
+    if not evidence:
+        shown = rows.groupBy(*keys).agg(F.count("*").alias("n_rows"))
     facts = joined(shown, formulas(rows, keys).groupBy(*keys).agg(F.count_distinct("formula").alias("n_formulas")), keys)
-    facts = joined(facts, objectives.groupBy(*keys).agg(F.count_distinct(T.strip(F.regexp_replace("o", r"\s+", " "))).alias("n_objectives")), keys)
-    facts = joined(facts, _early_text(rows.select(*keys, "doc_id", start), keys, keys), keys)
+    if evidence:
+        facts = joined(facts, objectives.groupBy(*keys).agg(F.count_distinct(T.strip(F.regexp_replace("o", r"\s+", " "))).alias("n_objectives")), keys)
+        facts = joined(facts, _early_text(rows.select(*keys, "doc_id", start), keys, keys), keys)
     by_term = defined.groupBy(*keys, "key").agg(F.count("*").alias("n_defined"), F.min(F.struct("doc_id", "no", "term", "said")).alias("d"))
     word = joined(joined(words.withColumn("key", F.col("term")), facts, keys), by_term, [*keys, "key"])
     first = F.col("place") <= EVIDENCE
     counted = lambda c: F.when(first, F.least(F.coalesce(F.col(c), F.lit(0)), F.lit(MOST_LISTED))).otherwise(0).cast("long").alias(c)
     none = lambda c: F.lit(0).cast("long").alias(c)
-    listed = ("n_formulas", "n_objectives", "n_examples", "n_worked")
+    listed = ("n_formulas", "n_objectives", "n_examples", "n_worked") if evidence else ("n_formulas",)
+    more = lambda n: [F.least(n, F.lit(MOST_ROWS)).cast("long").alias("n_chunks"), F.col("evidence")] if evidence else []
     order = lambda lead, doc, no: F.struct(F.lit(lead).alias("lead"), doc.cast("long").alias("doc_id"), no.cast("long").alias("no"))
-    ranked = word.select(*keys, "key", title(F.col("key")).alias("name"), order(0, F.col("place"), F.lit(0)).alias("place"), (F.col("n_rows") * F.when(first, 2).otherwise(1) + 2 * F.coalesce("n_defined", F.lit(0))).alias("frequency"), F.col("d.said").alias("definition"), *[counted(c) for c in listed], F.least("n_rows", F.lit(MOST_ROWS)).cast("long").alias("n_chunks"), "evidence")
+    ranked = word.select(*keys, "key", title(F.col("key")).alias("name"), order(0, F.col("place"), F.lit(0)).alias("place"), (F.col("n_rows") * F.when(first, 2).otherwise(1) + 2 * F.coalesce("n_defined", F.lit(0))).alias("frequency"), F.col("d.said").alias("definition"), *[counted(c) for c in listed], *more(F.col("n_rows")))
     rest = joined(by_term, words.select(*keys, F.col("term").alias("key")), [*keys, "key"], "left_anti")
-    own = joined(defined.select(*keys, "key", "doc_id").distinct(), rest.select(*keys, "key"), [*keys, "key"], "left_semi")
-    texts = own.join(rows.select("doc_id", start), "doc_id")
-    said = joined(rest, _early_text(texts, keys, [*keys, "key"]), [*keys, "key"])
-    named = said.select(*keys, "key", title(F.col("d.term")).alias("name"), order(1, F.col("d.doc_id"), F.col("d.no")).alias("place"), (2 * F.col("n_defined") + 1).alias("frequency"), F.col("d.said").alias("definition"), *[none(c) for c in listed], F.lit(1).cast("long").alias("n_chunks"), "evidence")
+    if evidence:
+        own = joined(defined.select(*keys, "key", "doc_id").distinct(), rest.select(*keys, "key"), [*keys, "key"], "left_semi")
+        texts = own.join(rows.select("doc_id", start), "doc_id")
+        rest = joined(rest, _early_text(texts, keys, [*keys, "key"]), [*keys, "key"])
+    named = rest.select(*keys, "key", title(F.col("d.term")).alias("name"), order(1, F.col("d.doc_id"), F.col("d.no")).alias("place"), (2 * F.col("n_defined") + 1).alias("frequency"), F.col("d.said").alias("definition"), *[none(c) for c in listed], *more(F.lit(1)))
     return ranked.unionByName(named)
 
 
@@ -153,33 +180,30 @@ def concept_type(name: Column, evidence: Column, has_formula: Column, has_exampl
     return F.coalesce(F.when(has_formula | said.rlike("[=<>≤≥]"), F.lit("FORMULA")), *by_word, F.when(has_example, F.lit("EXAMPLE")), F.when(has_definition, F.lit("DEFINITION")), F.lit("CONCEPT"))
 
 
+def valid_names(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Candidates that no rule rejects, without what their type hangs on: keys, key, name, place, frequency, definition, n_formulas."""
+    return candidates(rows, keys, evidence=False).where(rejection(F.col("name"), F.col("frequency"), F.col("definition").isNotNull(), F.col("n_formulas") > 0).isNull())
+
+
 def validated(found: DataFrame) -> DataFrame:
     """Candidates with reason (null for valid ones) and concept_type."""
     formula, example, definition = F.col("n_formulas") > 0, F.col("n_examples") + F.col("n_worked") > 0, F.col("definition").isNotNull()
     return found.withColumns({"reason": rejection(F.col("name"), F.col("frequency"), definition, formula), "concept_type": concept_type(F.col("name"), F.col("evidence"), formula, example, definition)})
 
 
-def holding_pairs(parts: DataFrame, wholes: DataFrame, keys: list[str], gram: int = LEAST) -> DataFrame:
+def holding_pairs(parts: DataFrame, wholes: DataFrame, keys: list[str]) -> DataFrame:
     """Pairs of a group of which one name is part of a longer one: keys, part, whole. parts and wholes: keys and key, each once; keys not null.
 
-    An index of character n-grams: a name looks for longer ones under its rarest n-gram alone, and finds those that
-    hold it are verified in full. So a pair is formed only where a name's rarest n-gram occurs, never of all names.
-    Names shorter than gram look themselves up among the shorter n-grams. Empty names take no part.
+    Every name is read once, for all parts at once; no pair is formed but those found. Empty names take no part.
     """
-    grams = lambda n: F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("key") - n + 1), lambda i: F.substring(F.col("key"), i, F.lit(n))))).alias("gram")
-    long = wholes.where(F.length("key") >= gram).select(*keys, "key", grams(gram))
-    known = long.groupBy(*keys, "gram").agg(F.count("*").alias("names"))
-    own = parts.where(F.length("key") >= gram).select(*keys, "key", grams(gram))
-    rarest = own.join(known, [*keys, "gram"], "left").groupBy(*keys, "key").agg(F.min_by("gram", F.struct("names", "gram")).alias("gram"))
-    found = rarest.withColumnRenamed("key", "part").join(long.withColumnRenamed("key", "whole"), [*keys, "gram"])
-    for n in range(1, gram):
-        short = parts.where(F.length("key") == n).select(*keys, F.col("key").alias("part"), F.col("key").alias("gram"))
-        found = found.unionByName(short.join(wholes.where(F.length("key") > n).select(*keys, F.col("key").alias("whole"), grams(n)), [*keys, "gram"]))
-    return found.where((F.length("part") < F.length("whole")) & F.contains("whole", "part")).select(*keys, "part", "whole")
+    texts = wholes.select(*keys, F.col("key").alias("whole"), F.col("key").alias("text")).repartition(int(wholes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    held = strings_held(texts, parts.select(*keys, F.col("key").alias("probe")), keys, [*keys, "whole"])
+    return held.where("probe <> whole").select(*keys, F.col("probe").alias("part"), "whole")
 
 
 def contained_pairs(names: DataFrame, keys: list[str]) -> DataFrame:
     """Pairs of distinct names of a group of which one is part of the other: keys, part, whole. See holding_pairs."""
+    names = checkpointed(names.select(*keys, "key"))
     return holding_pairs(names, names, keys)
 
 

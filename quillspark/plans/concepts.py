@@ -85,5 +85,4 @@ def concept_extraction(spark, sf_dir):
 @query(f"""{CANDIDATES} select a.source, a.key as part, b.key as whole from c a join c b on a.source=b.source and length(a.key)<length(b.key) and contains(b.key,a.key)""")
 def contained_names(spark, sf_dir):
     """Candidate names of a source that are part of another one."""
-    names = K.candidates(table(spark, sf_dir, "documents").where("source is not null"), ["source"]).select("source", "key")
-    return K.contained_pairs(names, ["source"])
+    return K.contained_pairs(K.candidate_keys(table(spark, sf_dir, "documents").where("source is not null"), ["source"]), ["source"])

@@ -70,3 +70,26 @@ def test_substrings_are_not_cut_into_trigrams(spark):
     assert "Generate" not in plan(L.substring_hits(df, df.select(F.col("doc_id").alias("probe_id"), "s", F.lit("cab").alias("probe")), ["s"]))
 
 
+def test_contained_pairs_come_without_a_join(spark):
+    df = spark.createDataFrame([("x", "wave"), ("x", "light wave"), ("y", "light"), ("x", "")], "g string, key string")
+    got = K.contained_pairs(df, ["g"])
+    assert [tuple(x) for x in got.collect()] == [("x", "wave", "light wave")] and "Join" not in plan(got)
+
+
+def test_candidates_by_either_way(spark, sf):
+    docs = table(spark, sf, "documents").where("source is not null")
+    docs = docs.unionByName(docs.limit(1).select(*[F.lit("Light is " + "so bright a wave " * 3000).alias(c) if c == "text" else F.col(c) for c in docs.columns]))  # a sentence without end
+    found = K.candidates(docs, ["source"])
+    assert sorted(map(tuple, K.candidate_keys(docs, ["source"]).collect())) == sorted(map(tuple, found.select("source", "key").collect()))
+    shown = ["source", "key", "name", "frequency", "definition", "n_formulas"]
+    want = K.validated(found).where("reason is null").select(*shown).collect()
+    bare = K.valid_names(docs, ["source"])
+    assert sorted(bare.select(*shown).collect(), key=repr) == sorted(want, key=repr) and "evidence" not in bare.columns
+    plain = docs.where(F.col("text").rlike(r"^[\x00-\x7F]*$"))
+    pattern = re.compile(K.DEFINED, re.I | re.A)
+    whole = [(d.doc_id, no, m[1], " ".join(m[0].split())) for d in plain.collect() for no, m in enumerate(pattern.finditer(d.text))]
+    dropped = lambda term: term.lower().strip("- \n") in K.LABELS
+    want = sorted((i, no, said) for i, no, term, said in whole if not dropped(term))
+    assert sorted((x.doc_id, x.no, x.said) for x in K.defined_terms(plain, ["source"]).collect()) == want and len(want) > 50
+
+
