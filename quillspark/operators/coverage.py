@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
 from quillspark.operators.lookup import substring_hits
+from quillspark.operators.scan import strings_held
 from quillspark.sources.scratch import checkpointed
 
 # Kinds of items, with the least length of their terms, the terms that count at most, and the share that must be found.
@@ -57,14 +58,14 @@ def coverage(items: DataFrame, published: DataFrame, keys: list[str]) -> DataFra
     long; formulas also if a text contains them. percent is 100 for kinds without items. missing lists the first
     MOST_MISSING in order. Every group of items has a row a kind; null texts count as empty; keys must not be null.
 
-    Published words are made distinct before they meet the words of items, and texts are searched through an index.
+    Published words are made distinct before they meet the words of items, and texts are read once for all names at once.
     """
     own = checkpointed(items.select(*keys, "kind", F.coalesce("text", F.lit("")).alias("text")).distinct().withColumn("norm", T.normalize_text("text")))
     scope = [k for k in keys if k in published.columns] or ["_all"]
     own, published = (df if scope != ["_all"] else df.withColumn("_all", F.lit(0)) for df in (own, published))
-    out = published.select(*scope, F.monotonically_increasing_id().alias("doc_id"), T.normalize_text("text").alias("text"))
-    sought = own.where(F.col("kind").isin("concept", "formula")).select(*scope, F.col("norm").alias("probe_id"), F.col("norm").alias("probe")).distinct()
-    inside = substring_hits(out, sought, scope, result_keys=True).where("hit").select(*scope, F.col("probe_id").alias("norm")).distinct().withColumn("inside", F.lit(True))
+    out = published.select(*scope, T.normalize_text("text").alias("text"))
+    sought = own.where(F.col("kind").isin("concept", "formula")).select(*scope, F.col("norm").alias("probe"))
+    inside = strings_held(out, sought, scope, scope, once=True).distinct().select(*scope, F.col("probe").alias("norm"), F.lit(True).alias("inside"))
     vocabulary = out.select(*scope, F.explode(F.array_distinct(F.split("text", " "))).alias("word")).where("word <> ''").distinct()
     of = lambda i: reduce(lambda a, k: F.when(F.col("kind") == k, F.lit(OVERLAPS[k][i])).otherwise(a), OVERLAPS, F.lit(None))
     both = list(dict.fromkeys([*keys, *scope]))

@@ -8,6 +8,7 @@ from quillspark.operators import concepts as K
 from quillspark.operators import coverage as V
 from quillspark.plans.concepts import CANDIDATES, _flat
 from quillspark.plans.queries import query, table
+from quillspark.sources.scratch import checkpointed
 
 
 @query(f"""{CANDIDATES}, n as (select source, name from c where reason is null), s as (select distinct source, md5(said) as text_id, said as text from d),
@@ -40,8 +41,7 @@ select ss.source, ss.kind, coalesce(n,0) as n, coalesce(retained,0) as retained,
 def concept_coverage(spark, sf_dir):
     """How many of a source's concepts, definitions and formulas conversations take up."""
     docs = table(spark, sf_dir, "documents").where("source is not null")
-    valid = K.validated(K.candidates(docs, ["source"])).where("reason is null")
-    valid = valid.withColumn("definition", F.regexp_replace("definition", r"[^\x00-\x7F]", "_"))
+    valid = checkpointed(K.valid_names(docs, ["source"]).select("source", "name", F.regexp_replace("definition", r"[^\x00-\x7F]", "_").alias("definition")))
     items = valid.select("source", F.lit("concept").alias("kind"), F.col("name").alias("text")).unionByName(valid.where("definition is not null").select("source", F.lit("definition").alias("kind"), F.col("definition").alias("text")))
     items = items.unionByName(K.formulas(docs, ["source"]).select("source", F.lit("formula").alias("kind"), F.col("formula").alias("text")))
     return V.coverage(items, table(spark, sf_dir, "conversations").select("text"), ["source"]).withColumn("missing", F.array_join("missing", "|"))

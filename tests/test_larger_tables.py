@@ -93,3 +93,10 @@ def test_candidates_by_either_way(spark, sf):
     assert sorted((x.doc_id, x.no, x.said) for x in K.defined_terms(plain, ["source"]).collect()) == want and len(want) > 50
 
 
+def test_coverage_looks_for_names_without_pairs(spark):
+    items = spark.createDataFrame([("x", "concept", "light"), ("x", "concept", "dark")], "g string, kind string, text string")
+    got = V.coverage(items, spark.createDataFrame([("light here",), ("light there",)], "text string"), ["g"])
+    assert [tuple(x) for x in got.where("kind = 'concept'").select("n", "retained", "missing").collect()] == [(2, 1, ["dark"])]
+    assert "contains(" not in plan(got).lower()
+
+
