@@ -8,8 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
-from quillspark.operators.lookup import substring_hits
-from quillspark.operators.scan import strings_held
+from quillspark.operators.scan import names_met, strings_held
 from quillspark.sources.scratch import checkpointed
 
 # Kinds of items, with the least length of their terms, the terms that count at most, and the share that must be found.
@@ -26,27 +25,24 @@ def related_names(texts: DataFrame, names: DataFrame, keys: list[str], least: fl
     """Names of a group that a text is about: keys, text_id, name, contained. texts: keys, text_id, text; names: keys, name.
 
     A text is about a name that it contains, in small letters, or of whose distinct words of four characters or more
-    it has the share `least`. Names of that kind are sought under their rarest n - ceil(least n) + 1 words alone, one
-    of which every text with enough of them has; contained ones through a trigram index. Null and empty names and
-    texts, and rows with null keys, are about nothing; repeats count once.
+    it has the share `least`. Null and empty names and texts, and rows with null keys, are about nothing; repeats
+    count once. Names are sought in one pass over the texts, see names_met: in the bytes, and by n - ceil(least n) + 1
+    of their words, those in the fewest texts, one of which every text with enough of them has.
     """
-    own = checkpointed(names.select(*keys, "name").where("name <> ''").distinct())
-    whole = checkpointed(texts.select(*keys, "text_id", "text").where("text <> ''").distinct())
-    low = whole.select(*keys, F.col("text_id").alias("doc_id"), F.lower("text").alias("text"))
-    inside = substring_hits(low, own.select(*keys, F.col("name").alias("probe_id"), F.lower("name").alias("probe")), keys, result_keys=True).where("hit")
-    inside = inside.select(*keys, F.col("doc_id").alias("text_id"), F.col("probe_id").alias("name"), F.lit(True).alias("contained"))
-    words = own.select(*keys, "name", _tokens(F.col("name")).alias("words")).where(F.size("words") > 0)
-    held = whole.select(*keys, "text_id", F.explode(_tokens(F.col("text"))).alias("word")).distinct()
-    known = held.join(words.select(*keys, F.explode("words").alias("word")).distinct(), [*keys, "word"])
-    often = known.groupBy(*keys, "word").agg(F.count("*").alias("texts"))
-    n = F.size("words")
-    ranked = words.select(*keys, "name", n.alias("n"), F.ceil(least * n - 1e-9).alias("need"), F.explode("words").alias("word")).join(often, [*keys, "word"], "left")
-    place = F.row_number().over(Window.partitionBy(*keys, "name").orderBy("texts", "word"))
-    rare = ranked.withColumn("place", place).where(F.col("place") <= F.col("n") - F.col("need") + 1)
-    met = rare.join(known, [*keys, "word"]).select(*keys, "name", "text_id").distinct()
-    counted = met.join(ranked.select(*keys, "name", "word", "n", "need"), [*keys, "name"]).join(known, [*keys, "text_id", "word"]).groupBy(*keys, "text_id", "name").agg(F.count("*").alias("shared"), F.max("need").alias("need"))
-    near = counted.where(F.col("shared") >= F.col("need")).select(*keys, "text_id", "name", F.lit(False).alias("contained"))
-    return inside.unionByName(near).groupBy(*keys, "text_id", "name").agg(F.bool_or("contained").alias("contained"))
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = checkpointed(names.select(*keys, "name").where("name <> ''").distinct().select("*", _tokens(F.col("name")).alias("words")))
+    whole = texts.select(*keys, "text_id", "text").where("text <> ''").distinct()
+    whole = checkpointed(whole.repartition(parts).select(*keys, "text_id", F.lower("text").alias("text"), _tokens(F.col("text")).alias("words")))
+    listed = own.select(*keys, "name", F.explode("words").alias("word"))
+    held = whole.select(*keys, F.explode("words").alias("word")).groupBy(*keys, "word").agg(F.count("*").alias("texts"))
+    often = listed.join(held, [*keys, "word"], "left").groupBy(*keys, "name").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("texts", F.lit(0)).alias("texts"), "word"))).alias("words"))
+    rest = own.where(F.size("words") == 0).select(*keys, "name", F.array().cast("array<string>").alias("words"))
+    ranked = often.select(*keys, "name", F.col("words.word").alias("words")).unionByName(rest)
+    need = F.greatest(F.ceil(least * F.size("words") - 1e-9), F.lit(1)).alias("need")
+    found = names_met(whole, ranked.select(*keys, "name", F.lower("name").alias("low"), "words", need), keys, [*keys, "text_id"])
+    if whole.groupBy(*keys, "text_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        return found
+    return found.groupBy(*keys, "text_id", "name").agg(F.bool_or("contained").alias("contained"))  # of texts that share an id
 
 
 def coverage(items: DataFrame, published: DataFrame, keys: list[str]) -> DataFrame:

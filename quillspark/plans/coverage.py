@@ -19,8 +19,7 @@ def related_concepts(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").where("source is not null")
     said = F.regexp_replace("said", r"[^\x00-\x7F]", "_")
     texts = K.defined_terms(docs, ["source"]).select("source", F.md5(said).alias("text_id"), said.alias("text"))
-    names = K.validated(K.candidates(docs, ["source"])).where("reason is null").select("source", "name")
-    return V.related_names(texts, names, ["source"])
+    return V.related_names(texts, K.valid_names(docs, ["source"]).select("source", "name"), ["source"])
 
 
 _WORDS = "list_distinct(string_split({},' '))"

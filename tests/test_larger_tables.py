@@ -100,3 +100,20 @@ def test_coverage_looks_for_names_without_pairs(spark):
     assert "contains(" not in plan(got).lower()
 
 
+def test_related_names_come_without_a_join(spark):
+    r = random.Random(3)
+    word = lambda: r.choice(["light", "Wave", "mirror", "lens", "of", "energy"])
+    names = [(r.choice("xy"), " ".join(word() for _ in range(r.randint(1, 5)))) for _ in range(60)]
+    texts = [(r.choice("xy"), i // 2, " ".join(word() for _ in range(r.randint(0, 6)))) for i in range(80)]  # two of an id
+    df, asked = spark.createDataFrame(texts, "g string, text_id int, text string"), spark.createDataFrame(names, "g string, name string")
+    want = {}
+    of = lambda t: {w for w in t.lower().split() if len(w) > 3}
+    for g, i, t in texts:
+        for h, n in names:
+            inside = n.lower() in t.lower()
+            if g == h and t and (inside or of(n) and len(of(n) & of(t)) >= 0.65 * len(of(n))):
+                want[g, i, n] = want.get((g, i, n), False) or inside
+    assert {(x.g, x.text_id, x.name): x.contained for x in V.related_names(df, asked, ["g"]).collect()} == want
+    assert "Join" not in plan(V.related_names(df.where("text_id < 0 or text = ''").unionByName(df.dropDuplicates(["g", "text_id"])), asked, ["g"]))
+
+
