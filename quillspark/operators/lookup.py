@@ -93,11 +93,13 @@ def resolve(asked: DataFrame, references: DataFrame, asked_keys: list[Column], r
     """asked with the reference that the first of its keys finds: asked's columns, reference (its `order` column) and key_no (from 0), nulls where none does.
 
     Any of a reference's keys may be hit, but only references that are equal in the columns `agree` count; of several
-    the smallest in `order` is taken. Keys are compared as strings; null and empty keys find nothing.
+    the smallest in `order` is taken. Keys are compared as strings; null and empty keys find nothing. Of the references
+    that share a key the smallest alone is joined, so no pair is formed but one for each key asked.
     """
     keyed = asked.withColumn("_quill_no", F.xxhash64(*[F.col(c).cast("string") for c in asked.columns]))
-    wanted = keyed.select("_quill_no", *agree, F.posexplode(F.array(*[k.cast("string") for k in asked_keys])).alias("key_no", "key")).where("key <> ''").distinct()
+    wanted = keyed.select("_quill_no", *agree, F.posexplode(F.array(*[k.cast("string") for k in asked_keys])).alias("key_no", "key")).where("key <> ''")
     held = references.select(F.col(order).alias("reference"), *agree, F.explode(F.array_distinct(F.array(*[k.cast("string") for k in reference_keys]))).alias("key")).where("key <> ''")
+    held = held.groupBy("key", *agree).agg(F.min("reference").alias("reference"))
     best = wanted.join(held, ["key", *agree]).groupBy("_quill_no").agg(F.min(F.struct("key_no", "reference")).alias("b"))
     return keyed.join(best, "_quill_no", "left").select(*asked.columns, F.col("b.reference").alias("reference"), F.col("b.key_no").cast("long").alias("key_no"))
 

@@ -117,3 +117,9 @@ def test_related_names_come_without_a_join(spark):
     assert "Join" not in plan(V.related_names(df.where("text_id < 0 or text = ''").unionByName(df.dropDuplicates(["g", "text_id"])), asked, ["g"]))
 
 
+def test_references_that_share_keys_are_joined_once(spark):
+    same = spark.range(300).select(F.col("id").alias("reference"), F.lit("b").alias("brand"), F.when(F.col("id") % 3 > 0, "big ring").otherwise("old ring").alias("name"))
+    asked = same.select(F.col("reference").alias("asked"), "brand", F.col("name").alias("said"))
+    got = L.resolve(asked, same, [F.col("said"), F.lower("said"), T.slug("said")], [F.col("reference"), F.col("name"), T.slug("name")], ["brand"], "reference")
+    assert {tuple(x) for x in got.select("said", "reference", "key_no").collect()} == {("old ring", 0, 0), ("big ring", 1, 0)} and got.count() == 300
+    assert "min(reference" in plan(got)
