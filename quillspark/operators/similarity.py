@@ -18,6 +18,8 @@ from quillspark.sources.scratch import checkpointed
 
 #: Bins in which trigrams are counted to bound ratios. A collision makes the bound looser, never wrong.
 BINS = 4096
+#: Lengths of the runs of characters that are counted, one after the other, before a ratio of texts is measured: texts of a language share most trigrams, but few longer runs.
+LONG_GRAMS = (6, 8)
 
 
 def matching_ratio(a: str, b: str) -> float:
@@ -43,6 +45,23 @@ def possible(lengths: np.ndarray, counts: np.ndarray, length: int, count: np.nda
     return (np.minimum(lengths, length) >= m) & (shared >= m - 2 * (s - 2 * m + 1))
 
 
+def long_grams(text: str, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of n characters of a text as numbers, each once in order, and how often they occur."""
+    c = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
+    h = np.zeros(max(len(c) - n + 1, 0), np.uint64)
+    for i in range(n):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + c[i : i + len(h)]
+    return np.unique(h, return_counts=True)
+
+
+def still_possible(a: str, b: str, a_grams: tuple[np.ndarray, np.ndarray], b_grams: tuple[np.ndarray, np.ndarray], n: int, least: float) -> bool:
+    """Whether two texts can have a ratio of `least` by runs of n characters: as in `possible`, u + 1 blocks share m - (n - 1)(u + 1) of them or more."""
+    s = len(a) + len(b)
+    m = np.floor(least * s / 2 - 1e-6)
+    _, x, y = np.intersect1d(a_grams[0], b_grams[0], assume_unique=True, return_indices=True)
+    return np.minimum(a_grams[1][x], b_grams[1][y]).sum() >= m - (n - 1) * (s - 2 * m + 1)
+
+
 def overlap_pairs(left: DataFrame, right: DataFrame, least: Callable[[Column], Column]) -> DataFrame:
     """Pairs of sets that may share enough items, with how many they share: left_id, right_id, shared, left_size, right_size. left, right: id and items (a set each).
 
@@ -106,12 +125,13 @@ class Recent:
     def __init__(self, texts: list[str], last: int, least: float) -> None:
         self._last, self._least = last, least
         self._counts, self._lengths, self.texts = np.zeros((last, BINS), np.int32), np.zeros(last, np.int64), []
+        self._grams: list[dict] = [{} for _ in range(last)]
         for t in texts:
             self.add(t)
 
     def add(self, text: str) -> None:
         at = len(self.texts) % self._last
-        self._counts[at], self._lengths[at] = trigrams(text), len(text)
+        self._counts[at], self._lengths[at], self._grams[at] = trigrams(text), len(text), {}
         self.texts.append(text)
 
     def tail(self) -> list[str]:
@@ -120,8 +140,20 @@ class Recent:
     def repeats(self, text: str) -> bool:
         n = min(len(self.texts), self._last)
         may = np.flatnonzero(possible(self._lengths[:n], self._counts[:n], len(text), trigrams(text), self._least))
-        newest = len(self.texts) - 1
-        return any(matching_ratio(text, self.texts[newest - (newest - i) % self._last]) >= self._least for i in may.tolist())
+        newest, own = len(self.texts) - 1, {}
+
+        def near(at: int) -> bool:
+            other = self.texts[newest - (newest - at) % self._last]
+            for n in LONG_GRAMS:
+                if n not in own:
+                    own[n] = long_grams(text, n)
+                if n not in self._grams[at]:
+                    self._grams[at][n] = long_grams(other, n)
+                if not still_possible(text, other, own[n], self._grams[at][n], n, self._least):
+                    return False
+            return matching_ratio(text, other) >= self._least
+
+        return any(near(i) for i in may.tolist())
 
 
 def near_repeats(rows: DataFrame, keys: list[str], last: int = 40, least: float = 0.95, ranges: int | None = None, max_rounds: int = 1000) -> DataFrame:

@@ -123,3 +123,24 @@ def test_references_that_share_keys_are_joined_once(spark):
     got = L.resolve(asked, same, [F.col("said"), F.lower("said"), T.slug("said")], [F.col("reference"), F.col("name"), T.slug("name")], ["brand"], "reference")
     assert {tuple(x) for x in got.select("said", "reference", "key_no").collect()} == {("old ring", 0, 0), ("big ring", 1, 0)} and got.count() == 300
     assert "min(reference" in plan(got)
+
+
+def test_ratios_are_bounded_by_longer_runs(monkeypatch):
+    r, tried = random.Random(4), []
+    words = ["".join(r.choice("etaoinshr") for _ in range(r.randint(2, 8))) for _ in range(2000)]
+    texts = [" ".join(r.choice(words) for _ in range(600)) for _ in range(30)]
+    texts += [t[:400] + "x" + t[401:] for t in texts[:5]]
+    plain = S.matching_ratio
+    monkeypatch.setattr(S, "matching_ratio", lambda a, b: tried.append(1) or plain(a, b))
+    recent, kept, want = S.Recent([], 40, 0.95), [], []
+    for t in texts:
+        kept.append(not recent.repeats(t))
+        want.append(not any(plain(t, texts[i]) >= 0.95 for i in range(len(want)) if want[i]))
+        if kept[-1]:
+            recent.add(t)
+    assert kept == want and len(tried) <= 5  # of copies alone
+    for _ in range(2000):
+        a = "".join(r.choice("abcd") for _ in range(r.randint(0, 120)))
+        i, j = sorted((r.randint(0, len(a)), r.randint(0, len(a))))
+        b = a[:i] + r.choice(["", "a", "bc"]) + a[i + r.randint(0, 2) : j] + a[j + r.randint(0, 1) :]
+        assert plain(a, b) < 0.95 or all(S.still_possible(a, b, S.long_grams(a, n), S.long_grams(b, n), n, 0.95) for n in S.LONG_GRAMS)
