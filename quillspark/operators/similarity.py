@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
-from quillspark.operators.concepts import holding_pairs
+from quillspark.operators.concepts import holding_pairs, joined
 from quillspark.sources.scratch import checkpointed
 
 #: Bins in which trigrams are counted to bound ratios. A collision makes the bound looser, never wrong.
@@ -161,8 +160,8 @@ def near_repeats(rows: DataFrame, keys: list[str], last: int = 40, least: float
 
     In order of doc_id, a row is `exact` if its normalised text has come before, whatever its keys; else `near` if its
     matching ratio with one of the last `last` texts of its bucket (rows of equal keys, nulls included) that were
-    kept is `least` or more; else `kept`. Null texts count as empty. Of rows that share doc_id and text one is
-    returned; rows that share a doc_id alone are ordered by text_key. An empty table gives no rows.
+    kept is `least` or more; else `kept`. Null texts count as empty. Of rows that share doc_id and text one, of
+    the first bucket, is returned; rows that share a doc_id alone are ordered by text_key. An empty table gives no rows.
 
     What is kept hangs on what was kept before. So that a bucket isn't one task's work, rows are dealt into ranges of
     (bucket, doc_id), and every range is folded at once as if it were the first. Then ranges whose bucket began
@@ -173,16 +172,17 @@ def near_repeats(rows: DataFrame, keys: list[str], last: int = 40, least: float
     """
     bucket = F.to_json(F.struct(*keys)) if keys else F.lit("")
     norm = rows.select(bucket.alias("bucket"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), T.normalize_text("text").alias("text"))
-    norm = norm.dropDuplicates(["doc_id", "text_key"])
-    at = F.struct("doc_id", "text_key").alias("at")
-    first = norm.select(F.sha2("text", 256).alias("hash"), at).groupBy("hash").agg(F.min("at").alias("at")).select("at.doc_id", "at.text_key")
+    # all but the folds goes by keys, as texts take disk each time they are dealt
     both = ["doc_id", "text_key"]
-    equal = lambda a, b: reduce(lambda x, y: x & y, [a[c].eqNullSafe(b[c]) for c in both])
-    exact = norm.join(first, equal(norm, first), "left_anti").select(*both, F.lit("exact").alias("status"))
-    rest = norm.join(first, equal(norm, first), "left_semi")
+    known = checkpointed(norm.select(*both, "bucket", F.unhex(F.sha2("text", 256)).alias("hash")).groupBy(*both).agg(F.min("bucket").alias("bucket"), F.min("hash").alias("hash")))
+    first = known.groupBy("hash").agg(F.min(F.struct(*both)).alias("at")).select("at.doc_id", "at.text_key")
+    exact = joined(known, first, both, "left_anti").select(*both, F.lit("exact").alias("status"))
     order = ("bucket", "doc_id", "text_key")
-    dealt = checkpointed((rest.repartitionByRange(ranges, *order) if ranges else rest.repartitionByRange(*order)).select("*", F.spark_partition_id().alias("part")))
-    placed = checkpointed(dealt.select("bucket", "part").distinct().withColumn("before", F.lag("part").over(Window.partitionBy("bucket").orderBy("part"))))
+    rest = joined(known, first, both, "left_semi").select(*order)
+    parts = ranges or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    places = checkpointed(rest.repartitionByRange(parts, *order).select("*", F.spark_partition_id().alias("part")))
+    dealt = checkpointed(joined(norm, places, list(order), "inner"))
+    placed = checkpointed(places.select("bucket", "part").distinct().withColumn("before", F.lag("part").over(Window.partitionBy("bucket").orderBy("part"))))
     schema = "bucket string, part int, doc_id long, text_key long, kept boolean, state array<string>"
     target = pa.schema([("bucket", pa.string()), ("part", pa.int32()), ("doc_id", pa.int64()), ("text_key", pa.int64()), ("kept", pa.bool_()), ("state", pa.list_(pa.string()))])
 
@@ -192,6 +192,8 @@ def near_repeats(rows: DataFrame, keys: list[str], last: int = 40, least: float
         left = left.sort_by([("doc_id", "ascending"), ("text_key", "ascending")])
         if left.column("doc_id").null_count:  # nulls come first in Spark's order
             left = pa.concat_tables([left.filter(pa.compute.is_null(left.column("doc_id"))), left.filter(pa.compute.is_valid(left.column("doc_id")))])
+        at = list(zip(*[left.column(c).to_pylist() for c in both], strict=True))
+        left = left.take([i for i in range(len(at)) if not i or at[i] != at[i - 1]])  # each text of a doc_id once
         recent, kept = Recent(right.column("state")[0].as_py() if right.num_rows else [], last, least), []
         for text in left.column("text").to_pylist():
             kept.append(not recent.repeats(text))
